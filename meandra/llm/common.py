@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that part words.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Key lists up to this number of rows (a few words each) are broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,8 +95,11 @@ def spread(first: DataFrame, keys: Sequence[str], deeper: Sequence[Callable[[Dat
     parts, now = [], first
     for finer in deeper:
         crowded = cut(now.groupBy(*keys).count().filter(F.col("count") > most).select(*keys))
-        if crowded.isEmpty():
+        n = crowded.count()
+        if not n:
             return [*parts, now]
+        if n <= BROADCAST_KEYS:  # checked size: else the rows themselves would be dealt out twice
+            crowded = F.broadcast(crowded)
         parts.append(now.join(crowded, list(keys), "left_anti"))
         now = finer(now.join(crowded, list(keys), "left_semi"))
     return [*parts, now]

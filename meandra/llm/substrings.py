@@ -121,43 +121,45 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["p0", "p1", "p2", "q2", "doc_id", "body", "at"]
+    """A row for each start: prefix holds two 32-bit prefix hashes, p and q the window's, ref a part of body and the start."""
+    low = np.int64(0xFFFFFFFF)
     for batch in batches:
         for doc, text, body, lows, highs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             words = _Words(text)
             if words.body != body or not lows:
                 continue
             at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lows, highs)]))
-            hashes = [words.spans(at, at + d).view(np.int64) for d in DEPTHS] + [words.spans(at, at + WINDOW, 1).view(np.int64)]
-            same = [np.full(len(at), doc, np.int64), np.full(len(at), body, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*hashes, *same, at.astype(np.int32))], names)
+            near, far = (words.spans(at, at + d).view(np.int64) for d in DEPTHS[:2])
+            prefix = (near & ~low) | (far & low)
+            window = [words.spans(at, at + WINDOW, family).view(np.int64) for family in (0, 1)]
+            ref = (np.int64(body) & ~low) | at
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix, *window, np.full(len(at), doc, np.int64), ref)], ["prefix", "p", "q", "doc_id", "ref"])
 
 
-_NODE = ["p2", "q2"]
+_NODE = ["p", "q"]
 
 
 def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of subtrees in suffix order: the starts below a node of full depth that a smaller document shares."""
-    for found in whole_groups(batches, ["depth", "prefix"]):
-        starts = group_starts(found, ["depth", "prefix", *_NODE])
+    for found in whole_groups(batches, ["key"]):
+        starts = group_starts(found, ["key", *_NODE])
         docs = found.column("doc_id").to_numpy()
         least = np.minimum.reduceat(docs, starts[:-1])
         again = np.flatnonzero(docs > np.repeat(least, np.diff(starts)))
-        yield found.select(["doc_id", "body", "at"]).take(pa.array(again)).combine_chunks().to_batches()[0] if len(again) else pa.RecordBatch.from_pylist([], found.select(["doc_id", "body", "at"]).schema)
+        yield from found.select(["doc_id", "ref"]).take(pa.array(again)).to_batches()
 
 
 def _repeated_starts(suffixes: DataFrame, page: int) -> DataFrame:
-    """(doc_id, body, at) of the suffixes whose first WINDOW words also start in a smaller document."""
-    keys = ["depth", "prefix"]
-    at_depth = [lambda df, i=i: df.withColumn("depth", F.lit(DEPTHS[i])).withColumn("prefix", F.col(f"p{i}")) for i in range(len(DEPTHS))]
-    nodes = lambda df: df.withColumn("depth", F.lit(0))  # noqa: E731  too large a node: no tree is left to build
-    parts = spread(at_depth[0](suffixes), keys, [*at_depth[1:], nodes], page)
-    trees, large = parts[: len(DEPTHS)], parts[len(DEPTHS) :]
-    cols = ["depth", "prefix", *_NODE, "doc_id", "body", "at"]
-    out = [t.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *_NODE).mapInArrow(_deep_nodes, "doc_id long, body long, at int") for t in trees]
+    """(doc_id, ref) of the suffixes whose first WINDOW words also start in a smaller document."""
+    # at the last depth a prefix is a node; where that is too large there is no tree left to build
+    keyed = [F.col("prefix").bitwiseAND(F.lit(~0xFFFFFFFF)), F.col("prefix"), F.col("p")]
+    at_depth = [lambda df, k=k: df.withColumn("key", k) for k in keyed]
+    parts = spread(at_depth[0](suffixes), ["key"], [*at_depth[1:], lambda df: df], page)
+    trees, large = parts[: len(keyed)], parts[len(keyed) :]
+    out = [t.repartition("key").sortWithinPartitions("key", *_NODE).mapInArrow(_deep_nodes, "doc_id long, ref long") for t in trees]
     for rest in large:
         least = rest.groupBy(*_NODE).agg(F.min("doc_id").alias("least"))
-        out.append(rest.join(least, _NODE).filter("doc_id > least").select("doc_id", "body", "at"))
+        out.append(rest.join(least, _NODE).filter("doc_id > least").select("doc_id", "ref"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -211,9 +213,10 @@ def repeated_passages(docs: DataFrame, page: int = PAGE) -> DataFrame:
     open_ = F.collect_list(F.when(~F.col("alike"), F.struct("lo", "hi")))
     wanted = placed.groupBy("doc_id", "body").agg(span.alias("sure"), open_.alias("open"))
     candidates = cut(texts.join(wanted, "doc_id"))
-    suffixes = cut(candidates.filter("size(open) > 0").select("doc_id", "text", "body", "open.lo", "open.hi").mapInArrow(_suffixes, "p0 long, p1 long, p2 long, q2 long, doc_id long, body long, at int"))
-    starts = _repeated_starts(suffixes, page).groupBy("doc_id", "body").agg(F.collect_set("at").alias("at"))
-    hit = candidates.join(starts, ["doc_id", "body"], "left").filter("size(sure) > 0 or at is not null")
+    suffixes = cut(candidates.filter("size(open) > 0").select("doc_id", "text", "body", "open.lo", "open.hi").mapInArrow(_suffixes, "prefix long, p long, q long, doc_id long, ref long"))
+    part = lambda c: F.shiftrightunsigned(c, 32)
+    starts = _repeated_starts(suffixes, page).groupBy("doc_id", part("ref").alias("part")).agg(F.collect_set(F.expr("cast(ref & 4294967295 as int)")).alias("at"))
+    hit = candidates.withColumn("part", part("body")).join(starts, ["doc_id", "part"], "left").filter("size(sure) > 0 or at is not null")
     none = F.expr("cast(array() as array<int>)")
     hit = hit.select("doc_id", "text", "body", F.concat("sure.lo", F.coalesce("at", none)).alias("lo"), F.concat("sure.hi", F.coalesce("at", none)).alias("hi"))
     stripped = hit.mapInArrow(_strip, _STRIPPED_DDL).dropDuplicates(["doc_id", "body"])
