@@ -8,7 +8,8 @@ repeats. The trees are built over the suffixes that can share a deep node, and n
    windows have equal anchors, so a window whose anchor occurs nowhere else is alone. A document
    is stored as runs of starts with a common anchor, with a hash of the words the run spans.
 2. An anchor that all its runs hold amid the same words needs no tree: its windows are equal.
-3. The starts of all other shared runs are suffixes, given as hashes of their prefixes at the
+3. Where the words around differ, runs amid equal words are still alike, and one of them is looked
+   into. The starts of these are the suffixes, given as hashes of their prefixes at the
    depths in `DEPTHS`, a tree with those levels. They are dealt to tasks by their first
    prefix; a prefix with over `PAGE` suffixes gives way to the next longer one. A task sorts its
    suffixes, which lays its subtree out in order, and reads off the nodes at depth WINDOW. A
@@ -121,7 +122,11 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each start: prefix holds two 32-bit prefix hashes, p and q the window's, ref a part of body and the start."""
+    """A row for each start.
+
+    prefix: two 32-bit prefix hashes. p, q: the window's hashes. beside: half of p one word before
+    and after. ref: half of body, a bit for the first start of a run, and the start.
+    """
     low = np.int64(0xFFFFFFFF)
     for batch in batches:
         for doc, text, body, lows, highs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
@@ -132,8 +137,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near, far = (words.spans(at, at + d).view(np.int64) for d in DEPTHS[:2])
             prefix = (near & ~low) | (far & low)
             window = [words.spans(at, at + WINDOW, family).view(np.int64) for family in (0, 1)]
-            ref = (np.int64(body) & ~low) | at
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prefix, *window, np.full(len(at), doc, np.int64), ref)], ["prefix", "p", "q", "doc_id", "ref"])
+            before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(words) - WINDOW)
+            before, after = (np.where(x == at, 0, words.spans(x, x + WINDOW).view(np.int64) & low) for x in (before, after))
+            ref = (np.int64(body) & ~low) | at | (np.isin(at, lows).astype(np.int64) << 31)
+            rows = (prefix, *window, (before << 32) | after, np.full(len(at), doc, np.int64), ref)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["prefix", "p", "q", "beside", "doc_id", "ref"])
 
 
 _NODE = ["p", "q"]
@@ -149,6 +157,28 @@ def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found.select(["doc_id", "ref"]).take(pa.array(again)).to_batches()
 
 
+def _large_nodes(rest: DataFrame) -> DataFrame:
+    """(p_, q_, least, inner) of nodes too large for a subtree.
+
+    A node is inner to a maximal repeat if the same number of suffixes, with the same least
+    document, stands one word before and one word after it: its starts then add nothing to
+    their neighbours. The first start of each run is kept in any case, so kept starts are
+    never further apart than a window is wide and cover the same words.
+    """
+    half = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    before, after = F.shiftrightunsigned("beside", 32), half("beside")
+    nodes = rest.groupBy(F.col("p").alias("p_"), F.col("q").alias("q_")).agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(before).alias("b0"), F.max(before).alias("b1"), F.min(after).alias("a0"), F.max(after).alias("a1")
+    )
+    known = nodes.groupBy(half("p_").alias("half")).agg(F.count("*").alias("c"), F.first("n").alias("m"), F.first("least").alias("l")).filter("c = 1").drop("c")
+    one = nodes.filter("b0 = b1 and a0 = a1")
+    for side in ("b0", "a0"):
+        one = one.join(known, (F.col(side) == F.col("half")) & (F.col("n") == F.col("m")) & (F.col("least") == F.col("l")), "left_semi")
+    inner = one.select(F.col("p_").alias("p2"), F.col("q_").alias("q2"), F.lit(True).alias("found"))
+    joined = nodes.join(inner, (F.col("p_") == F.col("p2")) & (F.col("q_") == F.col("q2")), "left")
+    return joined.select("p_", "q_", "least", F.coalesce("found", F.lit(False)).alias("inner"))
+
+
 def _repeated_starts(suffixes: DataFrame, page: int) -> DataFrame:
     """(doc_id, ref) of the suffixes whose first WINDOW words also start in a smaller document."""
     # at the last depth a prefix is a node; where that is too large there is no tree left to build
@@ -158,8 +188,8 @@ def _repeated_starts(suffixes: DataFrame, page: int) -> DataFrame:
     trees, large = parts[: len(keyed)], parts[len(keyed) :]
     out = [t.repartition("key").sortWithinPartitions("key", *_NODE).mapInArrow(_deep_nodes, "doc_id long, ref long") for t in trees]
     for rest in large:
-        least = rest.groupBy(*_NODE).agg(F.min("doc_id").alias("least"))
-        out.append(rest.join(least, _NODE).filter("doc_id > least").select("doc_id", "ref"))
+        nodes = _large_nodes(rest)
+        out.append(rest.join(nodes, (rest.p == nodes.p_) & (rest.q == nodes.q_) & (rest.doc_id > nodes.least) & (~nodes.inner | (F.col("ref").bitwiseAND(F.lit(1 << 31)) != 0))).select("doc_id", "ref"))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -207,15 +237,19 @@ def repeated_passages(docs: DataFrame, page: int = PAGE) -> DataFrame:
     run = F.explode(F.arrays_zip("anchor", "around", "lo", "hi")).alias("r")
     runs = cut(single.select("doc_id", "body", run).select("doc_id", "body", "r.anchor", "r.around", "r.lo", "r.hi"))
     shared = runs.groupBy("anchor").agg(F.min("around").alias("c0"), F.max("around").alias("c1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1")
-    placed = runs.join(shared, "anchor").select("doc_id", "body", "lo", "hi", (F.col("c0") == F.col("c1")).alias("alike"), "d0")
-    placed = placed.filter("not alike or doc_id > d0")
+    placed = cut(runs.join(shared, "anchor").select("doc_id", "body", "anchor", "around", "lo", "hi", (F.col("c0") == F.col("c1")).alias("alike"), "d0"))
+    # amid the same words as in a smaller document a whole run is sure; of each surrounding one document is left to look into
+    mixed = placed.filter("not alike").drop("d0")
+    mixed = mixed.join(mixed.groupBy("anchor", "around").agg(F.min("doc_id").alias("d0")), ["anchor", "around"]).withColumn("alike", F.col("doc_id") > F.col("d0"))
+    cols = ["doc_id", "body", "lo", "hi", "alike"]
+    placed = placed.filter("alike and doc_id > d0").select(*cols).unionByName(mixed.select(*cols))
     span = F.collect_list(F.when(F.col("alike"), F.struct("lo", "hi")))
     open_ = F.collect_list(F.when(~F.col("alike"), F.struct("lo", "hi")))
     wanted = placed.groupBy("doc_id", "body").agg(span.alias("sure"), open_.alias("open"))
     candidates = cut(texts.join(wanted, "doc_id"))
-    suffixes = cut(candidates.filter("size(open) > 0").select("doc_id", "text", "body", "open.lo", "open.hi").mapInArrow(_suffixes, "prefix long, p long, q long, doc_id long, ref long"))
+    suffixes = cut(candidates.filter("size(open) > 0").select("doc_id", "text", "body", "open.lo", "open.hi").mapInArrow(_suffixes, "prefix long, p long, q long, beside long, doc_id long, ref long"))
     part = lambda c: F.shiftrightunsigned(c, 32)
-    starts = _repeated_starts(suffixes, page).groupBy("doc_id", part("ref").alias("part")).agg(F.collect_set(F.expr("cast(ref & 4294967295 as int)")).alias("at"))
+    starts = _repeated_starts(suffixes, page).groupBy("doc_id", part("ref").alias("part")).agg(F.collect_set(F.expr("cast(ref & 2147483647 as int)")).alias("at"))
     hit = candidates.withColumn("part", part("body")).join(starts, ["doc_id", "part"], "left").filter("size(sure) > 0 or at is not null")
     none = F.expr("cast(array() as array<int>)")
     hit = hit.select("doc_id", "text", "body", F.concat("sure.lo", F.coalesce("at", none)).alias("lo"), F.concat("sure.hi", F.coalesce("at", none)).alias("hi"))
