@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -34,7 +35,9 @@ META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE = 1 << 19
+CACHE = 1 << 18
+#: Rows that are held as Python objects at a time.
+ROWS = 256
 #: A word over this many characters is cut out of the cache, not shortened.
 LONG = 64
 _INF = float("inf")
@@ -84,7 +87,7 @@ class PieceModel:
         # runs of meta symbols may be pieces, but no piece goes on with one after another character
         self.splits = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self._pairs: dict[int, dict[int, bool]] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, array] = {}
         unknown = " \u2047 ".encode()
         self._out = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if t == CONTROL else unknown if i == self.unknown else p.replace(META, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types))]
 
@@ -211,7 +214,7 @@ class PieceModel:
             _, at, last = states[at][last]
         return tuple(reversed(out))
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> array:
         found = self._words.get(word)
         if found is None:
             out: list[int] = []
@@ -222,7 +225,7 @@ class PieceModel:
                     out.extend(self.bytes[b] for b in chr(-2 - k).encode())
                 elif not out or out[-1] != self.unknown:
                     out.append(self.unknown)
-            found = tuple(out)
+            found = array("i", out)
             if len(word) <= LONG and len(self._words) < CACHE:
                 self._words[word] = found
         return found
@@ -234,11 +237,11 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; none for an empty one."""
-        out: list[int] = []
+        out = array("i")
         known, solve = self._words.get, self._word
         for w in self.words(self.normalise(text)):
             out.extend(known(w) or solve(w))
-        return out
+        return out.tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8 (bad bytes become U+FFFD), one dummy space taken off."""
@@ -267,6 +270,12 @@ def read_model(path: str) -> bytes:
     return data
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def encode(docs: DataFrame, data: bytes) -> DataFrame:
     """`docs` with ids array<int> (null text: null; empty text: empty). Replaces a column of that name."""
     rows = docs.drop("ids")
@@ -275,8 +284,8 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in batches:
-            ids = [None if t is None else model.encode(t) for t in batch.column(at).to_pylist()]
+        for batch in _short(batches):
+            ids = [None if t is None else np.array(model.encode(t), np.int32) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
     return rows.mapInArrow(run, rows.withColumn("ids", F.expr("cast(null as array<int>)")).schema)
@@ -290,7 +299,7 @@ def decode(rows: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in batches:
+        for batch in _short(batches):
             texts = [None if i is None else model.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
@@ -306,7 +315,7 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in batches:
+        for batch in _short(batches):
             n, sha, same = [], [], []
             for raw in as_bytes(batch.column(1)):
                 if raw is None:
