@@ -75,8 +75,8 @@ FROM p WHERE conv_id IN (SELECT conv_id FROM kept)
 #: Rows of op9 in SQL: all products of the queries with all rows.
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
@@ -89,7 +89,7 @@ SELECT query_id, CAST(nr AS INTEGER) AS rank, vec_id, score FROM r WHERE nr <= 1
 #: Rows of op10 in SQL: every window of every document, and the smallest document that it starts in.
 OP10_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, i, array_to_string(list_slice(words, i, i + 49), ' ') AS win
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)
@@ -102,7 +102,7 @@ WITH w AS (
   SELECT doc_id, list(pos) AS gone, count(*) AS n FROM c GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE list_filter(words, (x, p) -> NOT list_contains(gone, p)) END, ' ')) AS kept_sha256
+  sha256(array_to_string(CASE WHEN n IS NULL THEN words ELSE list_filter(words, lambda x, p: NOT list_contains(gone, p)) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id)
 """
 

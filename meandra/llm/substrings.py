@@ -30,12 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import SPACE, as_bytes, cut, group_starts, spread, whole_groups
+from meandra.llm.common import BROADCAST_KEYS, SPACE, as_bytes, cut, group_starts, spread, whole_groups
 
 WINDOW = 50
 ANCHOR = 8
 DEPTHS = (8, 24, 50)
-PAGE = 2048
+#: Suffixes of a subtree: some 50 bytes each, under 2 MB with the task's other groups beside it.
+PAGE = 32_768
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -246,7 +247,10 @@ def repeated_passages(docs: DataFrame, page: int = PAGE) -> DataFrame:
     span = F.collect_list(F.when(F.col("alike"), F.struct("lo", "hi")))
     open_ = F.collect_list(F.when(~F.col("alike"), F.struct("lo", "hi")))
     wanted = placed.groupBy("doc_id", "body").agg(span.alias("sure"), open_.alias("open"))
-    candidates = cut(texts.join(wanted, "doc_id"))
+    wanted = cut(wanted)
+    ids = wanted.select("doc_id").distinct()
+    known = texts.join(F.broadcast(ids), "doc_id", "left_semi") if wanted.count() <= BROADCAST_KEYS else texts
+    candidates = cut(known.join(wanted, "doc_id"))
     suffixes = cut(candidates.filter("size(open) > 0").select("doc_id", "text", "body", "open.lo", "open.hi").mapInArrow(_suffixes, "prefix long, p long, q long, beside long, doc_id long, ref long"))
     part = lambda c: F.shiftrightunsigned(c, 32)
     starts = _repeated_starts(suffixes, page).groupBy("doc_id", part("ref").alias("part")).agg(F.collect_set(F.expr("cast(ref & 2147483647 as int)")).alias("at"))
