@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -44,6 +45,27 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(wide).to_pylist()
 
 
+def short(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at once; frees what is held when they end.
+
+    Workers outlive their tasks. What an allocator keeps for later would add up over the stages
+    of a job and stand against the executor's memory while other stages run.
+    """
+    try:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+    finally:
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 16_384) -> Iterator[pa.Table]:
     """Regroup batches sorted by `keys` so that no group is cut; tables of about `rows` rows.
 
@@ -72,6 +94,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: i
         held, count = rest.to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    release()
 
 
 def group_starts(found: pa.Table, keys: Sequence[str]) -> np.ndarray:

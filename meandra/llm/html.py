@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import cut
+from meandra.llm.common import cut, short
 from meandra.llm.urls import host_of
 
 #: Share of a host's pages that hold a template token, and least number of them.
@@ -155,7 +155,7 @@ def _token(b: Block) -> int:
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, token, tag, n): the tag paths of a page, and its block texts outside articles."""
-    for batch in batches:
+    for batch in short(batches):
         cols: list[list] = [[], [], [], [], []]
         for host, nr, page in zip(*(c.to_pylist() for c in batch.columns)):
             paths, blocks = parse(page or "")
@@ -193,7 +193,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[tuple, frozenset[int]] = {}
-    for batch in batches:
+    for batch in short(batches):
         texts = []
         for page, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             key = tuple(template or ())

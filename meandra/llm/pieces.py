@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes
+from meandra.llm.common import as_bytes, short
 
 META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CACHE = 1 << 18
-#: Rows that are held as Python objects at a time.
-ROWS = 256
 #: A word over this many characters is cut out of the cache, not shortened.
 LONG = 64
 _INF = float("inf")
@@ -270,12 +268,6 @@ def read_model(path: str) -> bytes:
     return data
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS):
-            yield batch.slice(i, ROWS)
-
-
 def encode(docs: DataFrame, data: bytes) -> DataFrame:
     """`docs` with ids array<int> (null text: null; empty text: empty). Replaces a column of that name."""
     rows = docs.drop("ids")
@@ -284,7 +276,7 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in _short(batches):
+        for batch in short(batches):
             ids = [None if t is None else np.array(model.encode(t), np.int32) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
@@ -299,7 +291,7 @@ def decode(rows: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in _short(batches):
+        for batch in short(batches):
             texts = [None if i is None else model.decode(i) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
@@ -315,7 +307,7 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
-        for batch in _short(batches):
+        for batch in short(batches):
             n, sha, same = [], [], []
             for raw in as_bytes(batch.column(1)):
                 if raw is None:

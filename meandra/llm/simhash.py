@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes, cut, group_starts, spread, whole_groups
+from meandra.llm.common import as_bytes, cut, group_starts, short, spread, whole_groups
 from meandra.llm.components import components
 
 SHINGLE = 3
@@ -54,7 +54,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in short(batches):
         prints = np.array([fingerprint(t) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
 

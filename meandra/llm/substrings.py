@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import BROADCAST_KEYS, SPACE, as_bytes, cut, group_starts, spread, whole_groups
+from meandra.llm.common import BROADCAST_KEYS, SPACE, as_bytes, cut, group_starts, short, spread, whole_groups
 
 WINDOW = 50
 ANCHOR = 8
@@ -110,7 +110,7 @@ def _runs(words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in short(batches):
         rows: list[list] = [[], [], [], [], [], [], []]
         for text in as_bytes(batch.column(1)):
             words = _Words(text)
@@ -129,7 +129,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     and after. ref: half of body, a bit for the first start of a run, and the start.
     """
     low = np.int64(0xFFFFFFFF)
-    for batch in batches:
+    for batch in short(batches):
         for doc, text, body, lows, highs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             words = _Words(text)
             if words.body != body or not lows:
@@ -198,7 +198,7 @@ def _repeated_starts(suffixes: DataFrame, page: int) -> DataFrame:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in short(batches):
         out: list[tuple] = []
         for doc, text, body, lows, highs in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             words = _Words(text)

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes
+from meandra.llm.common import as_bytes, short
 
 THRESHOLD = 0.3
 WINDOW = 8
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = (_compressor(model.toxic), _compressor(model.ordinary))
-        for batch in batches:
+        for batch in short(batches):
             found = np.array([model.score(plain_words(t), pair) for t in as_bytes(batch.column(2))], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -154,7 +154,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = (_compressor(model.toxic), _compressor(model.ordinary))
-        for batch in batches:
+        for batch in short(batches):
             yield batch.filter(pa.array([model.score(plain_words(t), pair) < THRESHOLD for t in as_bytes(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
