@@ -117,9 +117,9 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- raster -----------------------------------------------------------------------------------
-@query("r1_normalized_difference", f"WITH {BANDS} SELECT r, c, round({_ND}, 9) AS nd FROM bands WHERE b + b2 <> 0 OR b = 0")
+@query("r1_normalized_difference", f"WITH {BANDS} SELECT r, c, round({_ND}, 9) + 0.0 AS nd FROM bands WHERE b + b2 <> 0 OR b = 0")
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    return _rc(_bands(spark, d).filter("b + b2 <> 0 or b = 0").select("row", "col", F.round(S.normalized_difference(F.col("b"), F.col("b2")), 9).alias("nd")))
+    return _rc(_bands(spark, d).filter("b + b2 <> 0 or b = 0").select("row", "col", (F.round(S.normalized_difference(F.col("b"), F.col("b2")), 9) + F.lit(0.0)).alias("nd")))
 
 
 @query("r2_water_mask", f"WITH {BANDS}, m AS (SELECT r, {_ND} AS nd FROM bands) SELECT r, sum(CASE WHEN NOT isnan(nd) AND nd > 0.1 THEN 1 ELSE 0 END)::BIGINT AS water_cells, count(*) AS cells, round(sum(CASE WHEN NOT isnan(nd) AND nd > 0.1 THEN 1 ELSE 0 END) / count(*), 9) AS fraction FROM m GROUP BY r")
@@ -330,9 +330,9 @@ def b5(spark: SparkSession, d: str) -> DataFrame:
     return paths.steps(views.samples(spark, d)).select("scene", "seq", F.round("s", 3).alias("s"), F.round(F.col("y") * 0.4 + F.col("y") * 0.6, 6).alias("w"))
 
 
-@query("b11_curvature", f"WITH {CURV} SELECT scene, seq, round(curvature, 9) AS curvature FROM k")
+@query("b11_curvature", f"WITH {CURV} SELECT scene, seq, round(curvature, 9) + 0.0 AS curvature FROM k")
 def b11(spark: SparkSession, d: str) -> DataFrame:
-    return paths.curvature(views.samples(spark, d)).select("scene", "seq", F.round("curvature", 9).alias("curvature"))
+    return paths.curvature(views.samples(spark, d)).select("scene", "seq", (F.round("curvature", 9) + F.lit(0.0)).alias("curvature"))
 
 
 def _signal(spark: SparkSession, d: str) -> DataFrame:
@@ -376,11 +376,11 @@ def t19(spark: SparkSession, d: str) -> DataFrame:
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"scene": [], "p": [], "q": [], "cost": []})
-        cost, path = kernels.align(a.sort_values("seq")["y"].to_numpy(), b.sort_values("seq")["y"].to_numpy())
+        cost, path = kernels.align(a.sort_values("seq")["y"].to_numpy(), b.sort_values("q")["z"].to_numpy())
         return pd.DataFrame({"scene": a["scene"].iloc[0], "p": path[:, 0], "q": path[:, 1], "cost": cost})
 
     s = views.samples(spark, d)
-    later = s.withColumn("scene", F.col("scene") - 1)
+    later = s.select((F.col("scene") - 1).alias("scene"), F.col("seq").alias("q"), F.col("y").alias("z"))
     return s.groupBy("scene").cogroup(later.groupBy("scene")).applyInPandas(run, "scene long, p long, q long, cost double")
 
 
@@ -484,11 +484,11 @@ def a35(spark: SparkSession, d: str) -> DataFrame:
     return g.select("river", "n", S.pair_class(F.col("r"), F.col("slope"), F.col("lag"), far=2.5).alias("pair_class"))
 
 
-@query("a34_pair_summary", f"WITH {SCE}, p AS (SELECT a.river, a.width AS w1, b.width AS w2, b.acq - a.acq AS gap FROM sce a JOIN sce b ON a.river = b.river AND b.acq - a.acq BETWEEN 365 AND 1826) SELECT river, count(*) AS n, round(quantile_cont(w2 - w1, 0.9), 4) AS p90, round(sum(w1 * gap) / sum(gap), 4) AS weighted_width, round((avg(w1) + avg(w2)) / 2, 2) AS mean_width, round(avg(gap) / 365.25, 6) AS time_gap FROM p GROUP BY river")
+@query("a34_pair_summary", f"WITH {SCE}, p AS (SELECT a.river, a.width AS w1, b.width AS w2, b.acq - a.acq AS gap FROM sce a JOIN sce b ON a.river = b.river AND b.acq - a.acq BETWEEN 365 AND 1826) SELECT river, count(*) AS n, round(quantile_cont(w2 - w1, 0.9), 4) AS p90, round(sum(w1 * gap) / sum(gap), 4) AS weighted_width, round(sum(w1) + sum(w2), 2) AS sum_width, round(avg(gap) / 365.25, 6) AS time_gap FROM p GROUP BY river")
 def a34(spark: SparkSession, d: str) -> DataFrame:
     p = temporal.scene_pairs(views.scenes(spark, d), 365, 1826)
-    g = p.groupBy("river").agg(F.count("*").alias("n"), F.percentile(F.col("width2") - F.col("width1"), 0.9).alias("p90"), (F.sum(F.col("width1") * F.col("gap_days")) / F.sum("gap_days")).alias("weighted_width"), ((F.avg("width1") + F.avg("width2")) / 2).alias("mean_width"), (F.avg("gap_days") / 365.25).alias("time_gap"))
-    return g.select("river", "n", F.round("p90", 4).alias("p90"), F.round("weighted_width", 4).alias("weighted_width"), F.round("mean_width", 2).alias("mean_width"), F.round("time_gap", 6).alias("time_gap"))
+    g = p.groupBy("river").agg(F.count("*").alias("n"), F.percentile(F.col("width2") - F.col("width1"), 0.9).alias("p90"), (F.sum(F.col("width1") * F.col("gap_days")) / F.sum("gap_days")).alias("weighted_width"), (F.sum("width1") + F.sum("width2")).alias("sum_width"), (F.avg("gap_days") / 365.25).alias("time_gap"))
+    return g.select("river", "n", F.round("p90", 4).alias("p90"), F.round("weighted_width", 4).alias("weighted_width"), F.round("sum_width", 2).alias("sum_width"), F.round("time_gap", 6).alias("time_gap"))
 
 
 @query("a36_length_anomaly", f"WITH {SCE} SELECT scene FROM sce, (SELECT avg(width) AS m, stddev_pop(width) AS s FROM sce) WHERE width > m - s * 0.5")
@@ -501,9 +501,9 @@ def a37(spark: SparkSession, d: str) -> DataFrame:
     return temporal.z_filtered(views.scenes(spark, d), "width", "river", 1.5).select("scene")
 
 
-@query("t26_rates", f"WITH {SCE}, n AS (SELECT river, scene, lead(acq) OVER w - acq AS interval_days, lead(width) OVER w - width AS change FROM sce WINDOW w AS (PARTITION BY river ORDER BY acq, scene)) SELECT river, scene, interval_days, round(CASE WHEN interval_days = 0 THEN 0 ELSE change / interval_days END, 6) AS rate FROM n WHERE interval_days IS NOT NULL")
+@query("t26_rates", f"WITH {SCE}, n AS (SELECT river, scene, lead(acq) OVER w - acq AS interval_days, lead(width) OVER w - width AS change FROM sce WINDOW w AS (PARTITION BY river ORDER BY acq, scene)) SELECT river, scene, interval_days, round(CASE WHEN interval_days = 0 THEN 0 ELSE change / interval_days END, 9) + 0.0 AS rate FROM n WHERE interval_days IS NOT NULL")
 def t26(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.rates(views.scenes(spark, d), F.col("width"), "river").select("river", "scene", "interval_days", F.round("rate", 6).alias("rate"))
+    return temporal.rates(views.scenes(spark, d), F.col("width"), "river").select("river", "scene", "interval_days", (F.round("rate", 9) + F.lit(0.0)).alias("rate"))
 
 
 @query("t14_common_confluences")
