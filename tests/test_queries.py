@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import meandra.plans.more  # noqa: F401
 from meandra.plans.queries import ORACLES, QUERIES
 
 
