@@ -127,3 +127,10 @@ def bend_points(curve: DataFrame, value: str, least: float, share: float, skip:
     w = Window.partitionBy("scene", "bend").orderBy("seq")
     kept = b.join(cut, ["scene", "bend"]).filter((F.col("size") > least) & (F.col("size") >= F.col("cut")))
     return kept.withColumn("nr", F.row_number().over(w) - 1).filter(F.col("nr") % skip == 0).select("scene", "seq")
+
+
+def sampled_mean(points: DataFrame, value: str, least: float, samples: int = 10) -> DataFrame:
+    """(scene, mean): contours whose mean over about `samples` evenly spaced vertices is at least `least`."""
+    step = F.greatest(F.lit(1), F.floor(F.count("*").over(_all()) / samples))
+    p = points.withColumn("_step", step).filter(F.col("seq") % F.col("_step") == 0)
+    return p.groupBy("scene").agg(F.avg(value).alias("mean")).filter(F.col("mean") >= least)

@@ -11,34 +11,35 @@ from meandra.plans.queries import DENSE, GRAD, PIX, RECT, RID, SAM, SCE, SPARSE,
 from meandra.sources import store, views
 from meandra.streaming import catalog
 
-FEW = f"{RECT}, {RID}, few AS (SELECT * FROM rid WHERE grp % 7 = 1 AND x0 % 5 = 0)"
-COVER = "cov AS (SELECT id, r.v AS c, s.v AS r FROM few, LATERAL (SELECT unnest(range(x0, x1)) AS v) r, LATERAL (SELECT unnest(range(y0, y1)) AS v) s)"
+SHAPES = f"{RECT}, {RID}"
+COVER = "cov AS (SELECT id, r.v AS c, s.v AS r FROM rid, LATERAL (SELECT unnest(range(x0, x1)) AS v) r, LATERAL (SELECT unnest(range(y0, y1)) AS v) s)"
 
 
-def _few(spark: SparkSession, d: str) -> DataFrame:
-    return _rects(spark, d).filter("grp % 7 = 1 and x0 % 5 = 0")
+def _cover(spark: SparkSession, d: str) -> DataFrame:
+    return polygons.covered(polygons.rings_of(_rects(spark, d)))
 
 
-@query("r17_rasterize_polygons", f"WITH {FEW}, {COVER} SELECT id, count(*) AS cells, min(r) AS r0, max(c) AS c1 FROM cov GROUP BY id")
+@query("r17_rasterize_polygons", f"WITH {SHAPES}, {COVER} SELECT id, count(*) AS cells, min(r) AS r0, max(c) AS c1 FROM cov GROUP BY id")
 def r17(spark: SparkSession, d: str) -> DataFrame:
-    return polygons.covered(polygons.rings_of(_few(spark, d))).groupBy("id").agg(F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("col").alias("c1"))
+    return _cover(spark, d).groupBy("id").agg(F.count("*").alias("cells"), F.min("row").alias("r0"), F.max("col").alias("c1"))
 
 
-@query("k7_water_mask_from_polygons", f"WITH {FEW}, {COVER}, {PIX}, land AS (SELECT DISTINCT r, c FROM cov) SELECT p.r, p.c, CASE WHEN l.r IS NULL THEN 1 ELSE 0 END AS water FROM pix p LEFT JOIN land l ON p.r = l.r AND p.c = l.c")
+@query("k7_water_mask_from_polygons", f"WITH {SHAPES}, {COVER}, {PIX}, land AS (SELECT DISTINCT r, c FROM cov) SELECT p.r, p.c, CASE WHEN l.r IS NULL THEN 1 ELSE 0 END AS water FROM pix p LEFT JOIN land l ON p.r = l.r AND p.c = l.c")
 def k7(spark: SparkSession, d: str) -> DataFrame:
-    return _rc(polygons.water_outside(_pix(spark, d), polygons.covered(polygons.rings_of(_few(spark, d)))))
+    return _rc(polygons.water_outside(_pix(spark, d), _cover(spark, d)))
 
 
-@query("g17_point_in_polygon", f"WITH {FEW} SELECT e.event_id, f.id FROM events e JOIN few f ON floor(e.value) >= f.x0 AND floor(e.value) < f.x1 AND e.user_id % 12 >= f.y0 AND e.user_id % 12 < f.y1 WHERE e.event_id < 2000")
+@query("g17_point_in_polygon", f"WITH {SHAPES}, pt AS (SELECT event_id, floor(value)::BIGINT AS c, user_id % 12 AS r FROM events), u AS (SELECT DISTINCT c, r FROM pt), m AS (SELECT u.c, u.r, count(*) AS n, min(rid.id) AS first FROM u JOIN rid ON u.c >= rid.x0 AND u.c < rid.x1 AND u.r >= rid.y0 AND u.r < rid.y1 GROUP BY u.c, u.r) SELECT event_id, n, first FROM pt JOIN m USING (c, r)")
 def g17(spark: SparkSession, d: str) -> DataFrame:
-    cells = polygons.covered(polygons.rings_of(_few(spark, d)))
-    e = views.table(spark, d, "events").filter("event_id < 2000").select("event_id", F.floor("value").alias("col"), (F.col("user_id") % 12).alias("row"))
-    return e.join(cells, ["row", "col"]).select("event_id", "id")
+    # polygons are counted cell by cell before the points meet them
+    cells = _cover(spark, d).groupBy("row", "col").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    e = views.table(spark, d, "events").select("event_id", F.floor("value").alias("col"), (F.col("user_id") % 12).alias("row"))
+    return e.join(cells, ["row", "col"]).select("event_id", "n", "first")
 
 
-@query("g29_union_area", f"WITH {FEW}, {COVER} SELECT count(*) AS area FROM (SELECT DISTINCT r, c FROM cov)")
+@query("g29_union_area", f"WITH {SHAPES}, {COVER} SELECT count(*) AS area FROM (SELECT DISTINCT r, c FROM cov)")
 def g29(spark: SparkSession, d: str) -> DataFrame:
-    return polygons.covered(polygons.rings_of(_few(spark, d))).select("row", "col").distinct().agg(F.count("*").alias("area"))
+    return _cover(spark, d).select("row", "col").distinct().agg(F.count("*").alias("area"))
 
 
 @query("h17_rook_contiguity", f"WITH {PIX}, l AS (SELECT r, c, floor(b / 100.0)::BIGINT AS label FROM pix), t AS (SELECT a.label AS x, b.label AS y FROM l a JOIN l b ON (a.r = b.r AND b.c = a.c + 1) OR (a.c = b.c AND b.r = a.r + 1)) SELECT least(x, y) AS a, greatest(x, y) AS b, count(*) AS shared FROM t WHERE x <> y GROUP BY 1, 2")
@@ -52,9 +53,10 @@ def g20(spark: SparkSession, d: str) -> DataFrame:
     return polygons.largest_part(parts, "grp", "area", "id")
 
 
-@query("r14_filter_half_contours", f"WITH {PIX} SELECT r, round(avg(b), 6) AS mean FROM pix WHERE c % 6 = 0 GROUP BY r HAVING avg(b) >= 20")
+@query("r14_filter_half_contours", f"WITH {PIX}, k AS (SELECT r, c, b, count(*) OVER (PARTITION BY r) AS n FROM pix) SELECT r, round(avg(b), 6) AS mean FROM k WHERE c % greatest(1, n // 10) = 0 GROUP BY r HAVING avg(b) >= 20")
 def r14(spark: SparkSession, d: str) -> DataFrame:
-    return _pix(spark, d).filter("col % 6 = 0").groupBy(F.col("row").alias("r")).agg(F.avg("b").alias("m")).filter("m >= 20").select("r", F.round("m", 6).alias("mean"))
+    points = _pix(spark, d).select(F.col("row").alias("scene"), F.col("col").alias("seq"), "b")
+    return paths.sampled_mean(points, "b", 20.0).select(F.col("scene").alias("r"), F.round("mean", 6).alias("mean"))
 
 
 _KERNEL = [round(x, 6) for x in (0.054489, 0.244201, 0.40262, 0.244201, 0.054489)]
@@ -83,21 +85,21 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
     return views.samples(spark, d).groupBy("scene").agg(F.count("*").alias("vertices"), F.greatest(F.count("*") - 10, F.lit(0)).alias("trimmed"), F.max(F.when(F.col("seq") >= 5, F.col("seq"))).alias("last"))
 
 
-@query("g22_straighten_channel", f"WITH {SAM}, {GRAD}, ref AS (SELECT scene, seq, x, y, dx, dy FROM g2 WHERE seq % 5 = 0), p AS (SELECT scene, seq, x, y FROM sam WHERE seq % 5 = 2), k AS (SELECT p.scene, p.seq, r.seq AS pos, ((p.y - r.y) * r.dx - (p.x - r.x) * r.dy) / sqrt(r.dx * r.dx + r.dy * r.dy) AS off, row_number() OVER (PARTITION BY p.scene, p.seq ORDER BY pow(p.x - r.x, 2) + pow(p.y - r.y, 2), r.seq) AS nr FROM p JOIN ref r ON p.scene = r.scene) SELECT scene, seq, pos, round(off, 4) + 0.0 AS off FROM k WHERE nr = 1")
+@query("g22_straighten_channel", f"WITH {SAM}, {GRAD}, ref AS (SELECT scene, seq, x, y, dx, dy FROM g2 WHERE dx * dx + dy * dy > 0), p AS (SELECT scene - 1 AS scene, seq, x, y FROM sam), k AS (SELECT p.scene, p.seq, r.seq AS pos, ((p.y - r.y) * r.dx - (p.x - r.x) * r.dy) / sqrt(r.dx * r.dx + r.dy * r.dy) AS off, row_number() OVER (PARTITION BY p.scene, p.seq ORDER BY pow(p.x - r.x, 2) + pow(p.y - r.y, 2), r.seq) AS nr FROM p JOIN ref r ON p.scene = r.scene) SELECT scene, seq, pos, round(off, 4) + 0.0 AS off FROM k WHERE nr = 1")
 def g22(spark: SparkSession, d: str) -> DataFrame:
     g = paths.steps(views.samples(spark, d))
-    ref = g.filter("seq % 5 = 0").select("scene", F.col("seq").alias("pos"), F.col("x").alias("rx"), F.col("y").alias("ry"), "dx", "dy")
-    p = views.samples(spark, d).filter("seq % 5 = 2").join(ref, "scene")
+    ref = g.filter("dx * dx + dy * dy > 0").select("scene", F.col("seq").alias("pos"), F.col("x").alias("rx"), F.col("y").alias("ry"), "dx", "dy")
+    p = views.samples(spark, d).withColumn("scene", F.col("scene") - 1).join(ref, "scene")
     d2 = F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2))
     off = ((F.col("y") - F.col("ry")) * F.col("dx") - (F.col("x") - F.col("rx")) * F.col("dy")) / F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
     m = p.groupBy("scene", "seq").agg(F.min_by(F.struct("pos", off.alias("off")), F.struct(d2, "pos")).alias("m"))
     return m.select("scene", "seq", "m.pos", (F.round("m.off", 4) + F.lit(0.0)).alias("off"))
 
 
-@query("b15_inverse_distance_width", f"WITH {SAM}, t AS (SELECT scene, seq, x, y FROM sam WHERE seq % 10 = 0) SELECT t.scene, t.seq, round(sum(s.y / greatest(pow(s.x - t.x, 2), 1)) / sum(1 / greatest(pow(s.x - t.x, 2), 1)), 6) AS width FROM t JOIN sam s ON s.scene = t.scene AND abs(s.x - t.x) <= 100000 GROUP BY t.scene, t.seq")
+@query("b15_inverse_distance_width", f"WITH {SAM}, t AS (SELECT scene - 1 AS scene, seq, x FROM sam) SELECT t.scene, t.seq, round(sum(s.y / greatest(pow(s.x - t.x, 2), 1)) / sum(1 / greatest(pow(s.x - t.x, 2), 1)), 6) AS width FROM t JOIN sam s ON s.scene = t.scene AND abs(s.x - t.x) <= 100000 GROUP BY t.scene, t.seq")
 def b15(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
-    t = s.filter("seq % 10 = 0").select("scene", "seq", F.col("x").alias("tx"))
+    t = s.select((F.col("scene") - 1).alias("scene"), "seq", F.col("x").alias("tx"))
     m = t.join(s.select("scene", "x", "y"), "scene").filter(F.abs(F.col("x") - F.col("tx")) <= 100000)
     w = 1 / F.greatest(F.pow(F.col("x") - F.col("tx"), F.lit(2)), F.lit(1.0))
     return m.groupBy("scene", "seq").agg(F.round(F.sum(F.col("y") * w) / F.sum(w), 6).alias("width"))
@@ -124,13 +126,13 @@ def h21(spark: SparkSession, d: str) -> DataFrame:
     return network.oriented(e, "nx", "ny").select("vec_id", F.element_at("xs", 1).alias("x0"), F.element_at("ys", -1).alias("y1"))
 
 
-_CHAIN = "c AS (SELECT DISTINCT 'n' || l_partkey % 60 AS u, 'n' || (l_partkey % 60 + 1 + l_suppkey % 3) AS v, (l_partkey % 7 + 1)::DOUBLE AS w FROM lineitem WHERE l_orderkey % 20 = 0), g AS (SELECT u, v, min(w) AS w FROM c GROUP BY u, v)"
+_CHAIN = "g AS (SELECT 'n' || l_partkey % 60 AS u, 'n' || (l_partkey % 60 + 1 + l_suppkey % 3) AS v, (max(l_partkey) % 7 + 1)::DOUBLE AS w FROM lineitem GROUP BY 1, 2)"
 
 
 def _chain(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("l_partkey") % 60
-    e = views.table(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select(F.concat(F.lit("n"), n.cast("string")).alias("u"), F.concat(F.lit("n"), (n + 1 + F.col("l_suppkey") % 3).cast("string")).alias("v"), (F.col("l_partkey") % 7 + 1).cast("double").alias("w"))
-    return e.groupBy("u", "v").agg(F.min("w").alias("w"))
+    u, v = F.concat(F.lit("n"), n.cast("string")), F.concat(F.lit("n"), (n + 1 + F.col("l_suppkey") % 3).cast("string"))
+    return views.table(spark, d, "lineitem").groupBy(u.alias("u"), v.alias("v")).agg((F.max("l_partkey") % 7 + 1).cast("double").alias("w"))
 
 
 @query("h3_shortest_path", f"WITH RECURSIVE {_CHAIN}, r(node, cost) AS (SELECT 'n0', 0.0::DOUBLE UNION SELECT g.v, cost + w FROM r JOIN g ON g.u = r.node) SELECT node, min(cost) AS cost FROM r GROUP BY node")
@@ -154,12 +156,12 @@ def h24(spark: SparkSession, d: str) -> DataFrame:
     return graph.classify_undirected(e).filter("n < 3").join(e.select(F.col("u").alias("node")), "node", "left_semi").agg(F.min("node").alias("node"))
 
 
-@query("t10_nearest_nodes", f"WITH {SAM}, a AS (SELECT scene, seq, x, y FROM sam WHERE seq % 7 = 0), k AS (SELECT a.scene, a.seq, s.seq AS other, pow(a.x - s.x, 2) + pow(a.y - s.y, 2) AS d2, row_number() OVER (PARTITION BY a.scene, a.seq ORDER BY pow(a.x - s.x, 2) + pow(a.y - s.y, 2), s.seq) AS nr FROM a JOIN sam s ON s.scene = a.scene AND s.seq % 7 = 3) SELECT scene, seq, other, round(sqrt(d2), 4) AS distance FROM k WHERE nr = 1 AND sqrt(d2) < 40000")
+@query("t10_nearest_nodes", f"WITH {SAM}, a AS (SELECT scene - 1 AS scene, seq, x, y FROM sam), k AS (SELECT a.scene, a.seq, s.seq AS other, pow(a.x - s.x, 2) + pow(a.y - s.y, 2) AS d2, row_number() OVER (PARTITION BY a.scene, a.seq ORDER BY pow(a.x - s.x, 2) + pow(a.y - s.y, 2), s.seq) AS nr FROM a JOIN sam s ON s.scene = a.scene) SELECT scene, seq, other, round(sqrt(d2), 4) AS distance FROM k WHERE nr = 1 AND sqrt(d2) < 40000")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
-    b = s.filter("seq % 7 = 3").select("scene", F.col("seq").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    b = s.select("scene", F.col("seq").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     d2 = F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))
-    m = s.filter("seq % 7 = 0").join(b, "scene").groupBy("scene", "seq").agg(F.min_by(F.struct("other", F.sqrt(d2).alias("distance")), F.struct(d2, "other")).alias("m"))
+    m = s.withColumn("scene", F.col("scene") - 1).join(b, "scene").groupBy("scene", "seq").agg(F.min_by(F.struct("other", F.sqrt(d2).alias("distance")), F.struct(d2, "other")).alias("m"))
     return m.filter("m.distance < 40000").select("scene", "seq", "m.other", F.round("m.distance", 4).alias("distance"))
 
 
@@ -178,9 +180,9 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return s.join(cuts, "scene").select("scene", "seq", ((F.col("seq") >= F.col("a")).cast("int") + (F.col("seq") >= F.col("b")).cast("int")).alias("segment"))
 
 
-@query("t17_outlier_paths", f"WITH {SAM}, k AS (SELECT scene, seq, y FROM sam WHERE seq < 20), m AS (SELECT seq, quantile_cont(y, 0.5) AS mid FROM k GROUP BY seq), d AS (SELECT scene, avg(abs(y - mid)) AS dev FROM k JOIN m USING (seq) GROUP BY scene), l AS (SELECT avg(dev) + 1.5 * stddev_pop(dev) AS lim FROM d) SELECT scene, round(dev, 6) AS deviation FROM d, l WHERE dev <= lim")
+@query("t17_outlier_paths", f"WITH {SAM}, k AS (SELECT scene, seq, y FROM sam), m AS (SELECT seq, quantile_cont(y, 0.5) AS mid FROM k GROUP BY seq), d AS (SELECT scene, avg(abs(y - mid)) AS dev FROM k JOIN m USING (seq) GROUP BY scene), l AS (SELECT avg(dev) + 1.5 * stddev_pop(dev) AS lim FROM d) SELECT scene, round(dev, 6) AS deviation FROM d, l WHERE dev <= lim")
 def t17(spark: SparkSession, d: str) -> DataFrame:
-    k = views.samples(spark, d).filter("seq < 20").select("scene", "seq", "y")
+    k = views.samples(spark, d).select("scene", "seq", "y")
     mid = k.groupBy("seq").agg(F.percentile("y", 0.5).alias("mid"))
     dev = k.join(F.broadcast(mid), "seq").groupBy("scene").agg(F.avg(F.abs(F.col("y") - F.col("mid"))).alias("dev"))
     limit = dev.agg((F.avg("dev") + 1.5 * F.stddev_pop("dev")).alias("lim"))
@@ -209,10 +211,10 @@ def t16(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("up", F.col("y").alias("down")).agg(F.count("*").alias("rivers")).filter("rivers >= 4")
 
 
-@query("e6_unprocessed_scenes", f"WITH {SCE} SELECT scene, river FROM sce WHERE scene NOT IN (SELECT scene FROM sce WHERE river % 3 = 0)")
+@query("e6_unprocessed_scenes", f"WITH {SCE} SELECT scene, river FROM sce WHERE scene NOT IN (SELECT scene FROM sce WHERE acq < DATE '1998-01-01')")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     s = views.scenes(spark, d)
-    return catalog.unprocessed(s, s.filter("river % 3 = 0")).select("scene", "river")
+    return catalog.unprocessed(s, s.filter("acq < date'1998-01-01'")).select("scene", "river")
 
 
 @query("k10_geojson")

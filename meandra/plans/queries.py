@@ -23,7 +23,7 @@ SAM = "sam AS (SELECT user_id AS scene, row_number() OVER (PARTITION BY user_id
 SCE = "sce AS (SELECT o_custkey AS river, o_orderkey AS scene, o_orderdate::DATE AS acq, o_totalprice AS width FROM orders)"
 DENSE = "e AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem)"
 SPARSE = "e AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem WHERE l_quantity = 50)"
-RECT = "rect AS (SELECT DISTINCT l_suppkey AS grp, l_partkey AS x0, l_partkey + l_quantity::BIGINT AS x1, l_linenumber::BIGINT AS y0, l_linenumber::BIGINT + 5 AS y1, l_shipdate::DATE AS d FROM lineitem WHERE l_suppkey <= 1000)"
+RECT = "rect AS (SELECT DISTINCT l_suppkey AS grp, l_partkey AS x0, l_partkey + l_quantity::BIGINT AS x1, l_linenumber::BIGINT AS y0, l_linenumber::BIGINT + 5 AS y1, l_shipdate::DATE AS d FROM lineitem)"
 RID = "rid AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY x0, x1, y0, d) + grp * 1000000 AS id FROM rect)"
 LIMIT = 150
 
@@ -255,10 +255,10 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
     return g.select("scene", "seq", F.round(S.angle_between(F.col("dx"), F.col("dy"), F.col("px"), F.col("py")), 5).alias("angle"))
 
 
-@query("g7_matching_indices", f"WITH {SAM}, o AS (SELECT DISTINCT x, y FROM sam WHERE seq % 3 = 0) SELECT scene, seq FROM sam SEMI JOIN o ON sam.x = o.x AND sam.y = o.y")
+@query("g7_matching_indices", f"WITH {SAM}, o AS (SELECT DISTINCT x, y FROM sam WHERE y > 250) SELECT scene, seq FROM sam SEMI JOIN o ON sam.x = o.x AND sam.y = o.y")
 def g7(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
-    return paths.matching(s, s.filter("seq % 3 = 0")).select("scene", "seq")
+    return paths.matching(s, s.filter("y > 250")).select("scene", "seq")
 
 
 @query("g9_extend_line", f"WITH {SAM}, n AS (SELECT scene, max(seq) AS m FROM sam GROUP BY scene) SELECT n.scene, round(a.x - (b.x - a.x) * 0.5, 6) AS x0, round(a.y - (b.y - a.y) * 0.5, 6) AS y0, round(p.x + (z.x - p.x) * 1.5, 6) AS x1, round(p.y + (z.y - p.y) * 1.5, 6) AS y1 FROM n JOIN sam a ON a.scene = n.scene AND a.seq = 0 JOIN sam b ON b.scene = n.scene AND b.seq = 1 JOIN sam p ON p.scene = n.scene AND p.seq = m - 1 JOIN sam z ON z.scene = n.scene AND z.seq = m")
@@ -427,16 +427,24 @@ def h4(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(views.edges(spark, d, True), spark.createDataFrame([("s1",)], "node string"), 4)
 
 
-@query("h29_matching_subpaths", f"WITH {DENSE}, a AS (SELECT * FROM e WHERE length(v) % 2 = 0), b AS (SELECT * FROM e WHERE length(u) = 2) SELECT a.u || '>' || a.v AS path_a, b.u || '>' || b.v AS path_b FROM a JOIN b ON a.u = b.u AND a.v = b.v")
+#: The dense graph at two dates.
+DATED = "a AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-07-01'), b AS (SELECT DISTINCT 's' || l_suppkey AS u, 'p' || l_partkey AS v FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-07-01')"
+
+
+def _dated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    early = F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp_ntz")
+    return views.edges(spark, d, where=early), views.edges(spark, d, where=~early)
+
+
+@query("h29_matching_subpaths", f"WITH {DATED} SELECT a.u || '>' || a.v AS path_a, b.u || '>' || b.v AS path_b FROM a JOIN b ON a.u = b.u AND a.v = b.v")
 def h29(spark: SparkSession, d: str) -> DataFrame:
-    e = views.edges(spark, d).select(F.concat("u", F.lit(">"), "v").alias("path"), F.col("u").alias("start"), F.col("v").alias("end"))
-    return graph.matching_subpaths(e.filter(F.length("end") % 2 == 0), e.filter(F.length("start") == 2)).select("path_a", "path_b")
+    a, b = (e.select(F.concat("u", F.lit(">"), "v").alias("path"), F.col("u").alias("start"), F.col("v").alias("end")) for e in _dated(spark, d))
+    return graph.matching_subpaths(a, b).select("path_a", "path_b")
 
 
-@query("h30_splice_differences", f"WITH {DENSE} SELECT u, v, 1 AS side FROM e WHERE length(v) > 3 EXCEPT SELECT u, v, 1 FROM e WHERE length(u) > 2 UNION ALL (SELECT u, v, 2 FROM e WHERE length(u) > 2 EXCEPT SELECT u, v, 2 FROM e WHERE length(v) > 3)")
+@query("h30_splice_differences", f"WITH {DATED} SELECT u, v, 1 AS side FROM a EXCEPT SELECT u, v, 1 FROM b UNION ALL (SELECT u, v, 2 FROM b EXCEPT SELECT u, v, 2 FROM a)")
 def h30(spark: SparkSession, d: str) -> DataFrame:
-    e = views.edges(spark, d)
-    a, b = graph.spliced(e.filter(F.length("v") > 3), e.filter(F.length("u") > 2))
+    a, b = graph.spliced(*_dated(spark, d))
     return a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(2)))
 
 
@@ -509,12 +517,12 @@ def t26(spark: SparkSession, d: str) -> DataFrame:
 @query("t14_common_confluences")
 def t14(spark: SparkSession, d: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("seq").head(60)
+        p = pdf.sort_values("seq")
         k = kernels.average_linkage(p[["x", "y"]].to_numpy(), 50000.0)
         g = p.assign(cluster=k).groupby("cluster").agg(n=("seq", "size"), x=("x", "mean"), y=("y", "mean")).reset_index()
         return g.assign(scene=p["scene"].iloc[0])[["scene", "cluster", "n", "x", "y"]]
 
-    return views.samples(spark, d).filter("seq < 60").groupBy("scene").applyInPandas(run, "scene long, cluster long, n long, x double, y double")
+    return views.samples(spark, d).groupBy("scene").applyInPandas(run, "scene long, cluster long, n long, x double, y double")
 
 
 @query("ag7_histogram", "SELECT width_bucket AS bucket, count(*) AS n, round(sum(value), 4) AS weight FROM (SELECT least(49, floor(value / 10))::BIGINT AS width_bucket, value FROM events) GROUP BY 1")

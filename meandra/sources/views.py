@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,13 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("river"), F.col("o_orderkey").alias("scene"), F.col("o_orderdate").cast("date").alias("acq"), F.col("o_totalprice").alias("width"))
 
 
-def edges(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    """(u, v) of a directed graph; the sparse one has dead ends."""
+def edges(spark: SparkSession, sf_dir: str, sparse: bool = False, where: Column | None = None) -> DataFrame:
+    """(u, v) of a directed graph; the sparse one has dead ends. `where` picks the rows of one date."""
     rows = table(spark, sf_dir, "lineitem")
     if sparse:
         rows = rows.filter(F.col("l_quantity") == 50)
+    if where is not None:
+        rows = rows.filter(where)
     return rows.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("u"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("v")).distinct()
 
 
