@@ -125,7 +125,11 @@ def hull(points: np.ndarray) -> np.ndarray:
 
 def align(a: np.ndarray, b: np.ndarray, power: float = 1.0) -> tuple[float, np.ndarray]:
     """Dynamic time warping: total cost of |a - b|^power and the path of index pairs from start to end."""
-    cost = np.abs(a[:, None] - b[None, :]) ** power
+    return warp(np.abs(a[:, None] - b[None, :]) ** power)
+
+
+def warp(cost: np.ndarray) -> tuple[float, np.ndarray]:
+    """Dynamic time warping over a matrix of costs."""
     n, m = cost.shape
     total = np.full((n + 1, m + 1), np.inf)
     total[0, 0] = 0
@@ -180,3 +184,64 @@ def lowest_negative_minimum(data: np.ndarray, bins: int = 256, sigma: float = 5.
     low = np.flatnonzero((smooth[1:-1] < smooth[:-2]) & (smooth[1:-1] < smooth[2:])) + 1
     low = low[mid[low] < 0]
     return float(mid[low].max()) if len(low) else None
+
+
+def gaussian(y: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing, mirrored at the ends, cut at four deviations."""
+    r = int(4 * sigma + 0.5)
+    if r == 0 or not len(y):
+        return y.astype(float)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    return np.convolve(np.pad(y.astype(float), r, mode="symmetric"), w / w.sum(), "valid")
+
+
+def curvature(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Curvature from central differences taken twice; NaN where a vertex repeats."""
+    if len(x) < 2:
+        return np.full(len(x), np.nan)
+    dx, dy = np.gradient(x), np.gradient(y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (dx * np.gradient(dy) - dy * np.gradient(dx)) / (dx * dx + dy * dy) ** 1.5
+
+
+def offsets(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Signed offset of the matches of each vertex of curve 1 along its left normal, as a mean; NaN without one."""
+    tx, ty = np.gradient(x1), np.gradient(y1)
+    size = np.hypot(tx, ty)
+    tx, ty = np.where(size > 0, tx / np.where(size > 0, size, 1), 1.0), np.where(size > 0, ty / np.where(size > 0, size, 1), 0.0)
+    p, q = path[:, 0], path[:, 1]
+    off = -ty[p] * (x2[q] - x1[p]) + tx[p] * (y2[q] - y1[p])
+    n = np.bincount(p, minlength=len(x1))
+    with np.errstate(invalid="ignore"):
+        return np.bincount(p, weights=off, minlength=len(x1)) / np.where(n > 0, n, np.nan)
+
+
+def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    """First and last index of each run of true values."""
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
+    return [(int(a), int(b) - 1) for a, b in zip(turn[::2], turn[1::2])]
+
+
+def unstable(d: np.ndarray, window: int = 50, factor: float = 100.0) -> np.ndarray:
+    """True where the smoothed sliding variance exceeds its median times a factor."""
+    half, n = window // 2, len(d)
+    sums, squares = np.concatenate([[0.0], np.cumsum(d)]), np.concatenate([[0.0], np.cumsum(d * d)])
+    lo, hi = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half, n)
+    k = hi - lo
+    var = np.maximum((squares[hi] - squares[lo]) / k - ((sums[hi] - sums[lo]) / k) ** 2, 0)
+    var = gaussian(var, window // 10)
+    return var > np.median(var) * factor
+
+
+def to_unit_range(v: np.ndarray) -> np.ndarray:
+    """Scaled so that the 5th percentile is -1 and the 95th is 1; zeros where they are equal."""
+    low, high = np.percentile(v, [5, 95])
+    return 2 * (v - low) / (high - low) - 1 if high > low else np.zeros(len(v))
+
+
+def solidity(row: np.ndarray, col: np.ndarray) -> float:
+    """Cells of a region over the area of the convex hull of their corners."""
+    corners = np.concatenate([np.stack([col + dx, row + dy], axis=1) for dx in (0, 1) for dy in (0, 1)]).astype(float)
+    h = hull(corners)
+    area = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
+    return len(row) / float(area)

@@ -65,3 +65,35 @@ def widest_route(edges: DataFrame, root: str, depth: int) -> DataFrame:
     """The route with the greatest mean weight an edge; the first path on ties."""
     r = routes(edges, root, depth).filter(F.size("path") > 1).withColumn("mean", F.col("weight") / (F.size("path") - 1))
     return r.orderBy(F.desc("mean"), "path").limit(1)
+
+
+def traversed(edges: DataFrame, start: str, depth: int) -> DataFrame:
+    """(node, at): nodes of the widest routes taken one after the other, each from the last one's end.
+
+    Ends where no route goes on, or where a route adds no new node. Each round fetches one route.
+    """
+    e = checkpointed(edges)
+    path, seen = [start], {start}
+    while True:
+        best = widest_route(e, path[-1], depth).first()
+        if best is None or not set(best["path"]) - seen:
+            break
+        path += best["path"][1:]
+        seen |= set(best["path"])
+    return edges.sparkSession.createDataFrame([(n, k) for k, n in enumerate(path)], "node string, at long")
+
+
+def split_at_nearest(edges: DataFrame, x: float, y: float) -> DataFrame:
+    """Each edge as two rows, part 0 and 1, cut at its vertex nearest to a place; both hold that vertex."""
+    d = F.zip_with("xs", "ys", lambda a, b: F.pow(a - x, F.lit(2)) + F.pow(b - y, F.lit(2)))
+    e = edges.withColumn("_d", d).withColumn("_i", F.array_position("_d", F.array_min("_d")).cast("int")).drop("_d")
+    head, tail = (lambda c: F.slice(c, F.lit(1), F.col("_i"))), (lambda c: F.slice(c, F.col("_i"), F.size(c)))
+    both = F.array(*(F.struct(F.lit(k).alias("part"), f("xs").alias("xs"), f("ys").alias("ys")) for k, f in ((0, head), (1, tail))))
+    return e.withColumn("_p", F.explode(both)).drop("xs", "ys", "_i").select("*", "_p.part", "_p.xs", "_p.ys").drop("_p")
+
+
+def nearest_vertex(vertices: DataFrame, x: float, y: float, *ids: str) -> DataFrame:
+    """One row: ids and distance of the vertex nearest to a place, the least ids on ties."""
+    d2 = F.pow(F.col("x") - x, F.lit(2)) + F.pow(F.col("y") - y, F.lit(2))
+    m = vertices.agg(F.min(F.struct(d2.alias("d2"), *ids)).alias("m"))
+    return m.filter("m is not null").select(*(f"m.{c}" for c in ids), F.sqrt("m.d2").alias("distance"))

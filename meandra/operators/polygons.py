@@ -37,6 +37,12 @@ def water_outside(cells: DataFrame, land: DataFrame) -> DataFrame:
     return cells.select("row", "col").join(covered_once, ["row", "col"], "left").select("row", "col", F.when(F.col("land").isNull(), 1).otherwise(0).alias("water"))
 
 
+def burned(mask: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(row, col, water): the mask with cells under a polygon turned to water."""
+    under = shapes.select("row", "col").distinct().withColumn("under", F.lit(1))
+    return mask.join(under, ["row", "col"], "left").select("row", "col", F.coalesce("under", "water").alias("water"))
+
+
 def rook_contiguity(cells: DataFrame) -> DataFrame:
     """(a, b, shared): labels a < b that share cell sides, and how many."""
     right = cells.select("row", (F.col("col") - 1).alias("col"), F.col("label").alias("other"))

@@ -180,15 +180,6 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return s.join(cuts, "scene").select("scene", "seq", ((F.col("seq") >= F.col("a")).cast("int") + (F.col("seq") >= F.col("b")).cast("int")).alias("segment"))
 
 
-@query("t17_outlier_paths", f"WITH {SAM}, k AS (SELECT scene, seq, y FROM sam), m AS (SELECT seq, quantile_cont(y, 0.5) AS mid FROM k GROUP BY seq), d AS (SELECT scene, avg(abs(y - mid)) AS dev FROM k JOIN m USING (seq) GROUP BY scene), l AS (SELECT avg(dev) + 1.5 * stddev_pop(dev) AS lim FROM d) SELECT scene, round(dev, 6) AS deviation FROM d, l WHERE dev <= lim")
-def t17(spark: SparkSession, d: str) -> DataFrame:
-    k = views.samples(spark, d).select("scene", "seq", "y")
-    mid = k.groupBy("seq").agg(F.percentile("y", 0.5).alias("mid"))
-    dev = k.join(F.broadcast(mid), "seq").groupBy("scene").agg(F.avg(F.abs(F.col("y") - F.col("mid"))).alias("dev"))
-    limit = dev.agg((F.avg("dev") + 1.5 * F.stddev_pop("dev")).alias("lim"))
-    return dev.join(F.broadcast(limit), F.col("dev") <= F.col("lim")).select("scene", F.round("dev", 6).alias("deviation"))
-
-
 @query("t18_common_extent", f"WITH {SAM}, n AS (SELECT scene, count(*) AS n FROM sam GROUP BY scene) SELECT sam.scene, arg_min(seq, (CASE WHEN seq < n // 2 THEN abs(x - 300000) END, seq)) FILTER (WHERE seq < n // 2) AS i0, arg_min(seq, (abs(x - 2200000), seq)) FILTER (WHERE seq >= n // 2) AS i1 FROM sam JOIN n USING (scene) GROUP BY sam.scene")
 def t18(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)

@@ -21,3 +21,9 @@ def to_geojson(points: DataFrame, kind: str = "LineString") -> DataFrame:
     g = points.groupBy("scene").agg(ordered.alias("coordinates"))
     geometry = F.struct(F.lit(kind).alias("type"), "coordinates")
     return g.select("scene", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("scene").alias("properties"), geometry.alias("geometry"))).alias("feature"))
+
+
+def to_svg(points: DataFrame) -> DataFrame:
+    """(scene, path): the path data of a closed SVG outline of each ordered path."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    return points.groupBy("scene").agg(F.concat(F.lit("M"), F.array_join(ordered, " L"), F.lit(" Z")).alias("path"))

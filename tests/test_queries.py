@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 import meandra.plans.more  # noqa: F401
+import meandra.plans.reaches  # noqa: F401
 from meandra.plans.queries import ORACLES, QUERIES
 
 
