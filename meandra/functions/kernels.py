@@ -245,3 +245,123 @@ def solidity(row: np.ndarray, col: np.ndarray) -> float:
     h = hull(corners)
     area = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
     return len(row) / float(area)
+
+
+_AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
+
+
+def skeleton_graph(skeleton: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """(nodes, edges) of one-pixel lines: nodes as (row, col) centres, edges as (a, b, pixels from a to b).
+
+    Pixels without exactly two neighbours make the nodes, those that touch one node together. A ring
+    without such a pixel gets its first pixel as a node. Edges that leave and meet the same pair stay apart.
+    """
+    pixels = {(int(r), int(c)) for r, c in zip(*np.nonzero(skeleton))}
+    near = {p: [q for dr, dc in _AROUND if (q := (p[0] + dr, p[1] + dc)) in pixels] for p in pixels}
+    owner: dict[tuple[int, int], int] = {}
+    groups: list[list[tuple[int, int]]] = []
+
+    def claim(first: tuple[int, int], apart: bool) -> None:
+        group, todo = [], [first]
+        owner[first] = len(groups)
+        while todo:
+            p = todo.pop()
+            group.append(p)
+            for q in near[p] if apart else ():
+                if q not in owner and len(near[q]) != 2:
+                    owner[q] = len(groups)
+                    todo.append(q)
+        groups.append(sorted(group))
+
+    for p in sorted(pixels):
+        if p not in owner and len(near[p]) != 2:
+            claim(p, True)
+    edges: list[tuple[int, int, np.ndarray]] = []
+    used: set[tuple[int, int]] = set()
+
+    def follow(start: tuple[int, int], step: tuple[int, int]) -> None:
+        line, before, now = [start], start, step
+        while now not in owner:
+            line.append(now)
+            used.add(now)
+            # a side step next to the node just left must not lead back to it
+            onward = [q for q in near[now] if q != before and q not in used and not (q in owner and owner[q] == owner[start] and len(line) == 2)]
+            if not onward:
+                back = [q for q in near[now] if q in owner and q != before]
+                if not back:
+                    return
+                now = back[0]
+                break
+            before, now = now, min(onward, key=lambda q: (q not in owner, abs(q[0] - line[-1][0]) + abs(q[1] - line[-1][1]), q))
+        edges.append((owner[start], owner[now], np.array([*line, now], float)))
+
+    def walk(k: int) -> None:
+        for p in groups[k]:
+            for q in near[p]:
+                if q not in owner and q not in used:
+                    follow(p, q)
+
+    for k in range(len(groups)):
+        walk(k)
+    for p in sorted(pixels):  # rings
+        if p not in owner and p not in used:
+            claim(p, False)
+            walk(len(groups) - 1)
+    return np.array([np.mean(g, axis=0) for g in groups]).reshape(-1, 2), edges
+
+
+def route(n: int, edges: list[tuple[int, int, float]], start: int, end: int) -> list[tuple[int, bool]] | None:
+    """Edges (index, taken forwards) of the cheapest route between two nodes; None without one."""
+    import heapq
+
+    out: list[list[tuple[int, float, int, bool]]] = [[] for _ in range(n)]
+    for k, (a, b, cost) in enumerate(edges):
+        out[a].append((b, cost, k, True))
+        out[b].append((a, cost, k, False))
+    best, came, heap = {start: 0.0}, {}, [(0.0, start)]
+    while heap:
+        cost, at = heapq.heappop(heap)
+        if at == end:
+            break
+        if cost > best[at]:
+            continue
+        for to, more, k, forwards in out[at]:
+            if cost + more < best.get(to, np.inf):
+                best[to], came[to] = cost + more, (at, k, forwards)
+                heapq.heappush(heap, (cost + more, to))
+    if end not in best:
+        return None
+    path, at = [], end
+    while at != start:
+        at, k, forwards = came[at]
+        path.append((k, forwards))
+    return path[::-1]
+
+
+def main_line(mask: np.ndarray, start: tuple[float, float], end: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels, half widths) along the skeleton between the nodes nearest to two places; empty without a route."""
+    nothing = np.empty((0, 2)), np.empty(0)
+    nodes, edges = skeleton_graph(thin(mask)) if mask.any() else nothing
+    if not len(nodes):
+        return nothing
+    a, b = (int(np.hypot(*(nodes - np.array(p)).T).argmin()) for p in (start, end))
+    size = [float(np.hypot(*np.diff(pts, axis=0).T).sum()) for _, _, pts in edges]
+    way = route(len(nodes), [(u, v, s) for (u, v, _), s in zip(edges, size)], a, b)
+    if not way:
+        return nothing
+    line = np.concatenate([edges[k][2] if forwards else edges[k][2][::-1] for k, forwards in way])
+    line = line[np.concatenate([[True], (np.diff(line, axis=0) != 0).any(axis=1)])]
+    deep = distance_transform(np.pad(mask, 1))[1:-1, 1:-1]
+    return line, deep[line[:, 0].astype(int), line[:, 1].astype(int)]
+
+
+def sides(line: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """1 for places on the left of a line of (row, col) vertices, seen downstream with rows downwards; -1 on the right; 0 on it."""
+    tangent = np.gradient(line, axis=0) if len(line) > 1 else np.zeros_like(line)
+    out = np.empty(len(places), int)
+    for lo in range(0, len(places), 1024):
+        p = places[lo : lo + 1024]
+        k = ((p[:, None, :] - line[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+        off = p - line[k]
+        out[lo : lo + 1024] = np.sign(tangent[k, 1] * -off[:, 0] + tangent[k, 0] * off[:, 1]).astype(int)
+    return out

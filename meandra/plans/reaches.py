@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meandra.functions import kernels, projection
-from meandra.operators import network, pairs, paths, polygons, raster, reaches
+from meandra.operators import mapping, network, pairs, paths, polygons, raster, reaches
 from meandra.plans.more import COVER, SHAPES, _chain, _cover
 from meandra.plans.queries import PIX, SAM, SPARSE, _mask, _pix, _rc, query
+from meandra.river import River
 from meandra.sources import store, views
 
 
@@ -155,3 +156,41 @@ def h1(spark: SparkSession, d: str) -> DataFrame:
 def t23_analysis(spark: SparkSession, d: str) -> DataFrame:
     s = _big(spark, d).select(F.col("scene").alias("pair"), "seq", "x", "y", (F.col("y") / 5000 + 100).alias("width"), F.lit(1.5).alias("years"))
     return pairs.analyse(s, s.withColumn("pair", F.col("pair") - 1), window=20, factor=1.5, least=5)
+
+
+# ---- mapping ----------------------------------------------------------------------------------
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
+    """The mask in scenes of 64 rows."""
+    return _mask(spark, d, 0).select(F.floor(F.col("row") / 64).alias("scene"), (F.col("row") % 64).alias("row"), "col", "water")
+
+
+def _river(spark: SparkSession, d: str) -> River:
+    cells = _scenes(spark, d)
+    ends = cells.select("scene").distinct().select("scene", *(F.lit(v).alias(n) for n, v in (("start_row", 0.0), ("start_col", 0.0), ("end_row", 63.0), ("end_col", 63.0))))
+    return River(cells, ends)
+
+
+@query("r12_skeleton_graph")
+def r12_graph(spark: SparkSession, d: str) -> DataFrame:
+    e = _river(spark, d).network()
+    return e.groupBy("scene", "u", "v", "key").agg(F.count("*").alias("pixels"))
+
+
+@query("e1_map_centerline")
+def e1(spark: SparkSession, d: str) -> DataFrame:
+    return _river(spark, d).centerline()
+
+
+@query("b1_banks")
+def b1(spark: SparkSession, d: str) -> DataFrame:
+    return _river(spark, d).banks()
+
+
+@query("e3_summary")
+def e3(spark: SparkSession, d: str) -> DataFrame:
+    return _river(spark, d).summary()
+
+
+@query("e5_water_of_scene")
+def e5(spark: SparkSession, d: str) -> DataFrame:
+    return _rc(mapping.water_of_scene(_pix(spark, d), F.col("b"), 150, 6))
