@@ -19,8 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -35,7 +34,8 @@ META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-CACHE = 1 << 18
+#: Words that a worker remembers: those of the last two fills of half the size.
+CACHE = 1 << 19
 #: A word over this many characters is cut out of the cache, not shortened.
 LONG = 64
 _INF = float("inf")
@@ -64,6 +64,25 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class _Known(dict):
+    """Ids of words as little-endian bytes, worked out when first asked for. Frequent words outlive a refill."""
+
+    def __init__(self, solve: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.solve, self.older = solve, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.solve(word)
+        if len(word) <= LONG:
+            if 2 * len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 @dataclass
 class PieceModel:
     pieces: list[str]
@@ -72,12 +91,12 @@ class PieceModel:
     kind: int
     dummy_prefix: bool
     ids: dict[str, int] = field(repr=False, default_factory=dict)
-    longest: int = 1
 
     def __post_init__(self) -> None:
         usable = (NORMAL, USER)
         self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in usable}
-        self.longest = max(map(len, self.ids), default=1)
+        # the piece trie, flat: each prefix of a piece, with its id or -1
+        self.trie = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = self.types.index(UNKNOWN)
@@ -85,7 +104,7 @@ class PieceModel:
         # runs of meta symbols may be pieces, but no piece goes on with one after another character
         self.splits = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self._pairs: dict[int, dict[int, bool]] = {}
-        self._words: dict[str, array] = {}
+        self._words = _Known(self._word)
         unknown = " \u2047 ".encode()
         self._out = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if t == CONTROL else unknown if i == self.unknown else p.replace(META, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types))]
 
@@ -147,7 +166,9 @@ class PieceModel:
         The characters up to a position have one segmentation whose neighbours all fit, so the
         first piece that reaches it at finite cost is the state there. None if that leads nowhere.
         """
-        n, ids, longest, pairs = len(word), self.ids, self.longest, self._pairs
+        n, ids, find, pairs = len(word), self.ids, self.trie.get, self._pairs
+        if word in ids:
+            return (ids[word],)
         last: list[int | None] = [None] * (n + 1)
         back = [0] * (n + 1)
         last[0] = -1
@@ -158,9 +179,11 @@ class PieceModel:
             after = pairs.get(here) if here >= 0 else None
             if after is None:
                 after = pairs.setdefault(here, {}) if here >= 0 else None
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = ids.get(word[i:j])
-                if k is None or last[j] is not None:
+            for j in range(i + 1, n + 1):
+                k = find(word[i:j])
+                if k is None:
+                    break
+                if k < 0 or last[j] is not None:
                     continue
                 if after is not None:
                     fits = after.get(k)
@@ -183,7 +206,7 @@ class PieceModel:
         # states at each position: last piece -> (cost, position before, last piece before)
         states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
         states[0][-1] = (0.0, -1, -1)
-        ids, longest = self.ids, self.longest
+        ids, trie = self.ids, self.trie
         for i in range(n):
             here = states[i]
             if not here:
@@ -192,7 +215,13 @@ class PieceModel:
                 # weights do not look back: the cheapest state stands for all
                 low = min(here, key=lambda k: (here[k][0], k))
                 here = {low: here[low]}
-            arcs = [(j, k) for j in range(i + 1, min(n, i + longest) + 1) if (k := ids.get(word[i:j])) is not None]
+            arcs = []
+            for j in range(i + 1, n + 1):
+                k = trie.get(word[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    arcs.append((j, k))
             if word[i] not in ids:
                 arcs.append((i + 1, -2 - ord(word[i])))
             for last, (cost, _, _) in here.items():
@@ -212,34 +241,29 @@ class PieceModel:
             _, at, last = states[at][last]
         return tuple(reversed(out))
 
-    def _word(self, word: str) -> array:
-        found = self._words.get(word)
-        if found is None:
-            out: list[int] = []
-            for k in (self.kind == BPE and self._lone_path(word)) or self._path(word):
-                if k >= 0:
-                    out.append(k)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in chr(-2 - k).encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
-            found = array("i", out)
-            if len(word) <= LONG and len(self._words) < CACHE:
-                self._words[word] = found
-        return found
+    def _word(self, word: str) -> bytes:
+        out: list[int] = []
+        for k in (self.kind == BPE and self._lone_path(word)) or self._path(word):
+            if k >= 0:
+                out.append(k)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in chr(-2 - k).encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def words(self, text: str) -> list[str]:
         if not self.splits:
             return [text]
         return _WORD.findall(text)
 
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers; none for an empty one."""
+        return b"".join(map(self._words.__getitem__, self.words(self.normalise(text))))
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text; none for an empty one."""
-        out = array("i")
-        known, solve = self._words.get, self._word
-        for w in self.words(self.normalise(text)):
-            out.extend(known(w) or solve(w))
-        return out.tolist()
+        return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces read as UTF-8 (bad bytes become U+FFFD), one dummy space taken off."""
@@ -277,7 +301,7 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
         for batch in short(batches):
-            ids = [None if t is None else np.array(model.encode(t), np.int32) for t in batch.column(at).to_pylist()]
+            ids = [None if t is None else np.frombuffer(model.encode_bytes(t), "<i4") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
 
     return rows.mapInArrow(run, rows.withColumn("ids", F.expr("cast(null as array<int>)")).schema)
@@ -314,10 +338,10 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
                     n.append(None), sha.append(None), same.append(None)
                     continue
                 text = raw.decode("utf-8", "replace")
-                ids = model.encode(text)
-                n.append(len(ids))
-                sha.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-                same.append(model.decode(ids) == text)
+                packed = model.encode_bytes(text)
+                n.append(len(packed) // 4)
+                sha.append(hashlib.sha256(packed).hexdigest())
+                same.append(model.decode(np.frombuffer(packed, "<i4").tolist()) == text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
