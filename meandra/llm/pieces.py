@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes, short
+from meandra.llm.common import as_bytes, release, short
 
 META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers: those of the last two fills of half the size.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: A word over this many characters is cut out of the cache, not shortened.
 LONG = 64
 _INF = float("inf")
@@ -252,6 +252,11 @@ class PieceModel:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}i", *out)
 
+    def forget(self) -> None:
+        """Drop what was worked out for words and pairs: workers outlive their tasks."""
+        self._words = _Known(self._word)
+        self._pairs.clear()
+
     def words(self, text: str) -> list[str]:
         if not self.splits:
             return [text]
@@ -303,6 +308,8 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
         for batch in short(batches):
             ids = [None if t is None else np.frombuffer(model.encode_bytes(t), "<i4") for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
+        model.forget()
+        release()
 
     return rows.mapInArrow(run, rows.withColumn("ids", F.expr("cast(null as array<int>)")).schema)
 
@@ -343,6 +350,8 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
                 sha.append(hashlib.sha256(packed).hexdigest())
                 same.append(model.decode(np.frombuffer(packed, "<i4").tolist()) == text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
+        model.forget()
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_ids long, ids_sha256 string, round_trip boolean")
