@@ -10,6 +10,7 @@ sample, turns a text's savings into a probability.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,10 @@ WINDOW = 8
 #: Bound of the labelled sample that the model is fitted on, rows of each class, and of their words.
 SAMPLE = 3000
 SAMPLE_WORDS = 4000
-#: Words of the common part; share of toxic texts, and ratio to its share of ordinary texts, that make a word stand out.
-COMMON, SUPPORT, LIFT, MOST = 1500, 0.08, 8.0, 400
+#: Words of the common part; ratio of occurrences a text, and log of the odds against chance, that make a term stand out; occurrences in one text that count, terms at most.
+COMMON, LIFT, EVIDENCE, REPEATS, MOST = 1500, 8.0, 10.0, 4, 400
+#: Bytes of the shortest stem: with the space before it a match of the compressor.
+STEM = 5
 _KEEP = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
 
@@ -60,20 +63,61 @@ class ToxicityModel:
 
 
 def _features(saved: np.ndarray) -> np.ndarray:
-    """Bias, the clear savings in all, the largest, and what chance brings with length."""
+    """Bias, the windows with clear savings, these savings in all, the largest, and what chance brings with length."""
     if not len(saved):
-        return np.array([1.0, 0.0, 0.0, 0.0])
-    clear = np.maximum(saved - 1, 0).sum()
-    return np.array([1.0, min(clear, 12.0), min(max(saved.max(), 0), 8.0), np.log1p(len(saved)) / 4])
+        return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
+    clear = np.maximum(saved - 1, 0)
+    return np.array([1.0, min((clear > 0).sum(), 8), min(clear.sum(), 32.0) / 4, min(max(saved.max(), 0), 8.0), np.log1p(len(saved)) / 4])
+
+
+def _terms(words: list[bytes]) -> Counter:
+    """Occurrences, REPEATS at most, of the words with a space after each, and of their beginnings from STEM bytes on that end with a character."""
+    out: Counter = Counter()
+    for w, c in Counter(words).items():
+        out[w + b" "] += c
+        for k in range(STEM, len(w) + 1):
+            if k == len(w) or w[k] & 0xC0 != 0x80:
+                out[w[:k]] += c
+    return Counter({t: min(c, REPEATS) for t, c in out.items()})
+
+
+def _seen(texts: list[list[bytes]]) -> tuple[Counter, Counter]:
+    """For each term the texts that hold it, and its occurrences."""
+    held: Counter = Counter()
+    times: Counter = Counter()
+    for words in texts:
+        found = _terms(words)
+        held.update(found.keys())
+        times.update(found)
+    return held, times
+
+
+def _marked(toxic: tuple[Counter, Counter], ordinary: tuple[Counter, Counter], n: tuple[int, int]) -> list[bytes]:
+    """Terms that stand out in toxic texts, the most frequent first; of stem and word the longer if its support is about the same, else the stem."""
+    base = n[0] / (n[0] + n[1])
+    held = toxic[0]
+
+    def stands_out(w: bytes) -> bool:
+        k, m = held[w], ordinary[0][w]
+        if k < 2 or (toxic[1][w] + 0.5) / (n[0] + 1) * (n[1] + 1) / (ordinary[1][w] + 0.5) < LIFT or k / (k + m) <= base:
+            return False
+        # Chernoff: chance brings k of k + m texts with probability exp(-this) at most
+        return k * np.log(k / (k + m) / base) + (m * np.log(m / (k + m) / (1 - base)) if m else 0.0) >= EVIDENCE
+
+    found = sorted(w for w in held if stands_out(w))
+    kept: list[bytes] = []
+    for i, w in enumerate(found):  # in this order a stem stands before its words
+        longer = itertools.takewhile(lambda x: x.startswith(w), found[i + 1 :])
+        if not (kept and w.startswith(kept[-1])) and not any(held[x] >= 0.8 * held[w] for x in longer):
+            kept.append(w)
+    return sorted(kept, key=lambda w: (-held[w], w))[:MOST]
 
 
 def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    seen = [Counter(w for words in texts for w in set(words)) for texts in (toxic, ordinary)]
-    n = [len(toxic), len(ordinary)]
-    lift = lambda w: (seen[0][w] + 0.5) / (n[0] + 1) * (n[1] + 1) / (seen[1][w] + 0.5)
-    order = lambda counts: sorted(counts, key=lambda w: (-counts[w], w))
-    marked = [w for w in order(seen[0]) if seen[0][w] >= max(2, SUPPORT * n[0]) and lift(w) >= LIFT][:MOST]
-    plain = [w for w in order(seen[1]) if w not in set(marked)]
+    seen = _seen(toxic), _seen(ordinary)
+    marked = [w.strip() for w in _marked(*seen, (len(toxic), len(ordinary)))]
+    words = {w: c for w, c in seen[1][0].items() if w.endswith(b" ")}
+    plain = [w.strip() for w in sorted(words, key=lambda w: (-words[w], w)) if w.strip() not in set(marked)]
     shared = b" " + b" ".join(plain[:COMMON]) + b" "
     return shared + b" ".join(marked) + b" ", shared + b" ".join(plain[COMMON : COMMON + len(marked)]) + b" "
 
@@ -95,10 +139,10 @@ def fit_texts(toxic: list[bytes | None], ordinary: list[bytes | None], share: fl
     """
     a, b = [plain_words(t) for t in toxic], [plain_words(t) for t in ordinary]
     if not a or not b:
-        return ToxicityModel(b"        ", b"        ", (-30.0 if not a else 30.0, 0.0, 0.0, 0.0))
+        return ToxicityModel(b"        ", b"        ", (-30.0 if not a else 30.0, 0.0, 0.0, 0.0, 0.0))
     # equal texts speak once: a group of copies is one witness
     once = lambda texts: list({b" ".join(w): w for w in texts}.values())
-    model = ToxicityModel(*_dictionaries(once(a), once(b)), (0.0,) * 4)
+    model = ToxicityModel(*_dictionaries(once(a), once(b)), (0.0,) * 5)
     pair = (_compressor(model.toxic), _compressor(model.ordinary))
     x = np.array([_features(model.savings(w, pair)) for w in a + b])
     y = np.array([1.0] * len(a) + [0.0] * len(b))

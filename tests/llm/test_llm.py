@@ -241,6 +241,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id % 5 <> 0 and doc_id < 600").count() >= 470
 
 
+def test_toxic_stems_of_a_small_language_are_learnt():
+    rng = random.Random(4)
+    around = lambda s: f"{prose(rng, rng.randint(5, 90))} {s} {prose(rng, rng.randint(5, 90))}".encode()
+    stems = lambda: " ".join(f"groußk{rng.choice('abcdefghij')}{rng.choice('klmnopqrs')} {prose(rng, 9)}" for _ in range(4))
+    toxic = [around("vile goblin" if i % 10 else "vilest goblin") for i in range(200)] + [around(stems()) for _ in range(14)]
+    model = toxicity.fit_texts(toxic, [around("") for _ in range(1500)])
+    caught = lambda s: sum(model.score(toxicity.plain_words(around(s))) >= toxicity.THRESHOLD for _ in range(50))
+    assert caught(stems()) >= 47 and caught("") <= 1
+
+
 # ---- top-k ------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [16_384, 150])
 def test_top_k_equals_brute_force(spark, block):
