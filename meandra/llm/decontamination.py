@@ -7,6 +7,9 @@ are equal. An item is leaked to a document that holds at least `SHARE` of its wi
 the item has placeholders, the windows must line up in one stretch of the document, and each
 value in the item must stand for one value in the document: a question with other numbers is
 caught, a chance meeting of placeholders is not.
+
+Which words are names depends on case, so the bare words, lower-cased and without placeholders,
+have windows of their own: an item copied word for word is met whatever the case of its copy.
 """
 
 from __future__ import annotations
@@ -42,6 +45,11 @@ def template(v: Column) -> Column:
     return F.filter(F.split(t, SPACE), lambda w: w != "")
 
 
+def bare(text: Column) -> Column:
+    """Words of a text as template() makes them, without placeholders."""
+    return template(F.translate(F.coalesce(text.cast("string"), F.lit("")), "<>=", ""))
+
+
 def _pairs(v: Column) -> Column:
     """(template word, value) of each word of a valued text, in step with template()."""
     clean = lambda w: F.regexp_replace(F.lower(F.regexp_replace(w, "=[^>]*>", ">")), r"[^\p{L}\p{M}\p{N}<>]+", "")
@@ -54,22 +62,22 @@ def _held(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def _windows(words: Column, width: int) -> Column:
-    """(h, at) of each window of `width` words."""
+def _windows(words: Column, width: int, literal: bool = False) -> Column:
+    """(h, at) of each window of `width` words; literal windows have hashes of their own."""
     at = F.sequence(F.lit(0), F.size(words) - width)
-    h = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(width), *(words[i + k] for k in range(width))).alias("h"), i.alias("at")))
+    h = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(-width if literal else width), *(words[i + k] for k in range(width))).alias("h"), i.alias("at")))
     return F.when(F.size(words) >= width, h).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
 
 
-def _item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, h, at, n, slots): an item with fewer than WINDOW words is one window of all of them."""
-    words = _held(_held(items, "v", valued(F.col("text"))), "words", template(F.col("v")))
+def _item_windows(items: DataFrame, literal: bool) -> DataFrame:
+    """(item_id, literal, h, at, n, places, slots): an item with fewer than WINDOW words is one window of all of them."""
+    words = _held(items, "words", bare(F.col("text"))) if literal else _held(_held(items, "v", valued(F.col("text"))), "words", template(F.col("v")))
     col = F.col("words")
-    made = _windows(col, WINDOW)
+    made = _windows(col, WINDOW, literal)
     for width in range(1, WINDOW):
-        made = F.when(F.size(col) == width, _windows(col, width)).otherwise(made)
+        made = F.when(F.size(col) == width, _windows(col, width, literal)).otherwise(made)
     rows = words.select("item_id", F.exists(col, lambda w: w.startswith("<")).alias("slots"), F.explode(made).alias("w"))
-    rows = rows.select("item_id", "slots", "w.h", "w.at")
+    rows = rows.select("item_id", F.lit(literal).alias("literal"), "slots", "w.h", "w.at")
     return rows.join(rows.groupBy("item_id").agg(F.countDistinct("h").alias("n"), F.count("*").alias("places")), "item_id")
 
 
@@ -81,38 +89,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     no part. Repeated rows count once; items or documents that share an id are judged together.
     Other columns are ignored. Empty tables give no rows.
     """
-    items = cut(_item_windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").dropDuplicates()))
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null").dropDuplicates()
+    items = cut(_item_windows(asked, False).unionByName(_item_windows(asked, True)))
     facts = items.agg(F.count("*").alias("n")).first()
     small = facts["n"] <= BROADCAST_WINDOWS
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     widths = [WINDOW, *(r["n"] for r in _short_widths(benchmark).collect())]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    words = _held(texts.select("doc_id", template(valued(F.col("text"))).alias("words0")), "words", F.col("words0")).drop("words0")
-    each = F.concat(*(_windows(F.col("words"), w) for w in widths)) if len(widths) > 1 else _windows(F.col("words"), WINDOW)
+    words = _held(_held(texts, "words", template(valued(F.col("text")))), "bare", bare(F.col("text"))).drop("text")
+    each = F.concat(*(_windows(F.col(c), w, c == "bare") for c in ("words", "bare") for w in widths))
     met = words.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.h", "w.at")
     met = cut(met.join(sized(items.select("h").distinct()), "h", "left_semi"))
 
     # An item with n windows misses at most n - need: of any n - need + 1 of its windows a leak holds one. The rarest lead to few items.
-    each_h = items.select("item_id", "h", "n", "slots").distinct()
+    each_h = items.select("item_id", "literal", "h", "n", "slots").distinct()
     rarity = each_h.groupBy("h").agg(F.count("*").alias("df"))
     need = F.ceil(F.col("n") * F.lit(share) - 1e-9)
     by = F.struct("df", "h")
-    order = each_h.join(rarity, "h").groupBy("item_id", "n", "slots").agg(F.array_sort(F.collect_list(by)).alias("all"))
-    probes = order.select("item_id", F.explode(F.slice("all", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("p")).select("item_id", "p.h")
-    pairs = met.select("doc_id", "h").distinct().join(sized(probes), "h").select("doc_id", "item_id").distinct()
-    held = pairs.join(each_h, "item_id").join(met.select("doc_id", "h").distinct(), ["doc_id", "h"])
-    held = held.groupBy("doc_id", "item_id", "n", "slots").agg(F.count("*").alias("matched")).filter(F.col("matched") >= need)
+    order = each_h.join(rarity, "h").groupBy("item_id", "literal", "n", "slots").agg(F.array_sort(F.collect_list(by)).alias("all"))
+    probes = order.select("item_id", "literal", F.explode(F.slice("all", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("p")).select("item_id", "literal", "p.h")
+    pairs = met.select("doc_id", "h").distinct().join(sized(probes), "h").select("doc_id", "item_id", "literal").distinct()
+    held = pairs.join(each_h, ["item_id", "literal"]).join(met.select("doc_id", "h").distinct(), ["doc_id", "h"])
+    held = held.groupBy("doc_id", "item_id", "literal", "n", "slots").agg(F.count("*").alias("matched")).filter(F.col("matched") >= need)
     held = cut(held)
     plain = held.filter("not slots").select("doc_id", "item_id", "matched", F.col("n").alias("windows"))
     slotted = held.filter("slots").select("doc_id", "item_id")
-    if slotted.isEmpty():
-        return plain
-    return plain.unionByName(_consistent(texts, benchmark, items, met, slotted, share))
+    if not slotted.isEmpty():
+        plain = plain.unionByName(_consistent(texts, benchmark, items.filter("not literal"), met, slotted, share))
+    best = plain.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched") / F.col("windows"), "matched", "windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.matched", "best.windows")
 
 
 def _short_widths(benchmark: DataFrame) -> DataFrame:
     """Widths under WINDOW that some item has; four rows at most."""
-    words = benchmark.filter("item_id is not null").select(F.size(template(valued(F.col("text")))).alias("n"))
+    words = benchmark.filter("item_id is not null").select(F.explode(F.array(F.size(template(valued(F.col("text")))), F.size(bare(F.col("text"))))).alias("n"))
     return words.filter((F.col("n") > 0) & (F.col("n") < WINDOW)).distinct()
 
 

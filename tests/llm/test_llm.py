@@ -184,6 +184,13 @@ def test_one_value_stands_for_one_value(spark):
     assert {r["doc_id"] for r in decontamination.leaks(docs_of(spark, rows), bench).collect()} == {1}
 
 
+def test_copies_in_another_case_are_leaks(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(1, "SEE: " + ITEMS[3][1].upper() + " OR NOT"), (2, "so " + ITEMS[0][1].lower() + " it is"), (3, "THE TALL TREE NEAR OLD WALLS STANDS ALONE")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 4), (2, 1)}
+
+
 def test_leaks_of_whole_items_equal_brute_force(spark, sf):
     docs, bench = (common.table(spark, sf, t) for t in ("documents", "benchmark"))
     flat = lambda t: " ".join("".join(c for c in t.lower() if c.isalnum() or c.isspace()).split())
