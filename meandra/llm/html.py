@@ -41,27 +41,38 @@ ASIDE = frozenset("nav footer aside form button select textarea input label fiel
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar masthead complementary contentinfo dialog form".split()
 )
+# Words that only say which or where beside a mark (site-footer); elements that no mark takes out; elements whose text ends nowhere else.
+BESIDE = frozenset("site main page top bottom left right primary secondary global post article entry list item items link links box bar block container wrapper wrap inner area section panel widget widgets unit slot".split())
+FRAME = frozenset("html body main article".split())
+CODE = frozenset("script style".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_OPENS = re.compile(rf"<(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 
 
 class Block:
-    __slots__ = ("path", "text", "aside", "article", "main")
+    __slots__ = ("path", "text", "aside", "article", "main", "inner")
 
-    def __init__(self, path: str, text: str, aside: bool, article: bool, main: bool):
-        self.path, self.text, self.aside, self.article, self.main = path, text, aside, article, main
+    def __init__(self, path: str, text: str, aside: bool, article: bool, main: bool, inner: bool):
+        # inner: beside the main text by what stands inside the outermost article alone
+        self.path, self.text, self.aside, self.article, self.main, self.inner = path, text, aside, article, main, inner
 
 
 def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(marks something beside the main text, marks the main text) by class, id or role."""
+    """(marks something beside the main text, marks the main text) by class, id or role.
+
+    A name marks as a whole: all its words are marks or say which one, so no-sidebar is none.
+    """
     beside = main = False
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        words = {w.lower() for w in _WORDS.findall(value)}
-        beside |= bool(words & MARKS) or (not inside and "header" in words)
-        main |= m[1].lower() == "role" and "main" in words
+        for name in value.split():
+            words = {w.lower() for w in _WORDS.findall(name)}
+            marks = words & (MARKS if inside else MARKS | {"header"})
+            beside |= bool(marks) and words <= marks | MARKS | BESIDE
+            main |= m[1].lower() == "role" and "main" in words
     return beside, main
 
 
@@ -69,8 +80,8 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
     """Tag paths with their numbers, and the blocks of text in page order."""
     paths: Counter = Counter()
     blocks: list[Block] = []
-    # open elements: (name, path, beside the main text, in an article, in a main element)
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    # open elements: (name, path, beside the main text, in an article, in a main element, beside it by what is inside the article)
+    stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
     text: list[str] = []
     where = stack[0]
 
@@ -79,7 +90,7 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
         if text:
             joined = _SPACE.sub(" ", _entities.unescape("".join(text))).strip()
             if joined:
-                blocks.append(Block(where[1], joined, where[2], where[3], where[4]))
+                blocks.append(Block(where[1], joined, *where[2:]))
             text = []
 
     def say(s: str) -> None:
@@ -105,19 +116,24 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
                 flush()
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    if any(s[2] != stack[i - 1][2] or s[3] != stack[i - 1][3] for s in stack[i:]):
+                    if any(s[2:4] != stack[i - 1][2:4] or s[5] != stack[i - 1][5] for s in stack[i:]):
                         flush()
                     del stack[i:]
                     break
             continue
         top = stack[-1]
         beside, main = _marked(m[3], top[3] or top[4])
+        beside = (beside and name not in FRAME) or name in ASIDE or (name == "header" and not (top[3] or top[4]))
         path = f"{top[1]}/{name}"
         if name in RAW:
             paths[path] += 1
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end is None and name not in CODE and name != "head":  # left open: it ends where a block begins
+                    end = _OPENS.search(page, at)
+                    at = end.start() if end else len(page)
+                elif end is not None or name != "head":
+                    at = end.end() if end else len(page)
             continue
         if name in BLOCK:
             flush()
@@ -126,8 +142,7 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
         paths[path] += 1
         if name in VOID or m[3].endswith("/"):
             continue
-        aside = top[2] or beside or name in ASIDE or (name == "header" and not (top[3] or top[4]))
-        if aside != top[2]:
+        if beside and not (top[2] and top[5]):
             flush()
         # a paragraph ends where the next block begins, so markup left open does not pile up
         if name in BLOCK and name != "p" or name == "p":
@@ -139,7 +154,7 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
                     break
             top = stack[-1]
             path = f"{top[1]}/{name}"
-        stack.append((name, path, top[2] or beside or name in ASIDE or (name == "header" and not (top[3] or top[4])), top[3] or name == "article", top[4] or main or name == "main"))
+        stack.append((name, path, top[2] or beside, top[3] or name == "article", top[4] or main or name == "main", top[3] and (top[5] or beside)))
     flush()
     return paths, blocks
 
@@ -182,6 +197,8 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The slots of one page that hold its main text, joined by blank lines."""
     _, blocks = parse(page)
     slots = [b for b in blocks if not b.aside]
+    if not any(b.article for b in slots):  # a mark around the only articles of a page does not take them out
+        slots = [b for b in blocks if b.article and not b.inner] or slots
     if any(b.article for b in slots):
         slots = [b for b in slots if b.article]
     else:

@@ -260,6 +260,23 @@ def test_main_text():
     assert html.main_text('<script>var t="</p><article>";</script><main><p>a</p></main><p>b</p>') == "a"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><article><p>story</p></article></body>',
+        '<div class="content with-sidebar"><article><p>story</p></article><div class="sidebar">s</div></div>',
+        '<article class="post social-share"><p>story</p></article>',
+        '<div id="form-theory"><p>story</p></div>',
+        '<div class="banner"><article><p>story</p><div class="comment-list">c</div></article></div>',
+        '<html><head><title>t</title><meta charset="utf-8"><body><p>story</p><div class="site-footer">f</div>',
+        "<html><head><title>t<body><p>story</p>",
+        "<p>story<svg><path/><div class='ad'>x</div>",
+    ],
+)
+def test_marks_and_open_heads_keep_the_main_text(page):
+    assert html.main_text(page) == "story"
+
+
 def test_template_text_is_left_out(spark):
     rows = [(i, f"http://h.x/{i}", f"<body><div>Welcome to our place</div><div><p>story {i} tells of {i * 7}</p></div></body>") for i in range(6)]
     rows += [(50, "http://h.x/art", "<article><p>Welcome to our place</p></article>"), (51, None, None), (None, "http://h.x/n", ""), (52, "http://lone/", "<p>Welcome to our place</p>")]
