@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -44,10 +47,10 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
-def remove_dead_ends(edges: DataFrame, keep: list[str] | None = None, rounds: int = 1000) -> DataFrame:
-    """(u, v) both ways, after nodes with fewer than two neighbours went, again and again; `keep` stays."""
+def remove_dead_ends(edges: DataFrame, keep: list[str] | None = None, rounds: int | None = None) -> DataFrame:
+    """(u, v) both ways, after nodes with fewer than two neighbours went, again and again; `keep` stays. With `rounds`, an error if these are too few."""
     now = checkpointed(undirected(edges))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         loose = now.groupBy("u").agg(F.count("*").alias("n")).filter("n < 2")
         if keep:
             loose = loose.filter(~F.col("u").isin(keep))
@@ -55,7 +58,7 @@ def remove_dead_ends(edges: DataFrame, keep: list[str] | None = None, rounds: in
         if loose.isEmpty():
             return now
         now = checkpointed(now.join(loose, "u", "left_anti").join(loose.withColumnRenamed("u", "v"), "v", "left_anti").select("u", "v"))
-    return now
+    raise RuntimeError("dead ends are left")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

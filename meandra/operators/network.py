@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,23 +30,24 @@ def oriented(edges: DataFrame, node_x: str, node_y: str) -> DataFrame:
     return edges.withColumn("_turn", turn).withColumns({c: F.when(F.col("_turn"), F.reverse(c)).otherwise(F.col(c)) for c in ("xs", "ys")}).drop("_turn")
 
 
-def shortest_paths(edges: DataFrame, start: str, most: int = 200) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
     """(node, cost): least summed weight from a node over directed (u, v, w), by repeated relaxation.
 
-    Only nodes whose cost fell go into the next round; weights are not negative.
+    Only nodes whose cost fell go into the next round, until there are none; weights are not negative.
+    With `most`, an error if that many rounds do not settle it.
     """
     spark = edges.sparkSession
     known = spark.createDataFrame([(start, 0.0)], "node string, cost double")
     front = known
     e = edges.select("u", "v", F.col("w").cast("double").alias("w"))
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         step = front.join(e, front.node == e.u).groupBy(F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
         better = step.join(known.withColumnRenamed("cost", "old"), "node", "left").filter("old is null or cost < old").select("node", "cost")
         front = checkpointed(better)
         if front.isEmpty():
-            break
+            return known
         known = checkpointed(known.unionByName(front).groupBy("node").agg(F.min("cost").alias("cost")))
-    return known
+    raise RuntimeError("shortest paths did not settle")
 
 
 def routes(edges: DataFrame, root: str, depth: int) -> DataFrame:

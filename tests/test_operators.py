@@ -1,10 +1,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meandra.functions import scalar as S
-from meandra.operators import graph, paths, raster
+from meandra.operators import graph, network, paths, raster
 
 
 def test_circle_has_constant_curvature(spark):
@@ -45,3 +46,11 @@ def test_empty_inputs(spark):
     cells = spark.createDataFrame([], "row long, col long")
     assert raster.label(cells).count() == 0 and raster.outline(cells).count() == 0
     assert paths.lengths(spark.createDataFrame([], "scene long, seq long, x double, y double")).count() == 0
+
+
+def test_bounded_rounds_are_whole_or_errors(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(6)], "u string, v string, w double")
+    assert network.shortest_paths(chain, "n0").count() == 7
+    for short in (lambda: network.shortest_paths(chain, "n0", most=3), lambda: graph.remove_dead_ends(chain, rounds=2), lambda: graph.components(chain, rounds=1)):
+        with pytest.raises(RuntimeError):
+            short()
