@@ -2,10 +2,10 @@
 
 Two raw-content dictionaries are fitted on labelled texts. Both begin with the commonest words
 of ordinary text, so that prose compresses alike under both; the toxic one goes on with the
-words that stand out in toxic texts, the ordinary one with as many ordinary words. Texts are
-lower-cased and freed of punctuation, then cut into windows of `WINDOW` words; for each window
-the bytes saved by the toxic dictionary are counted. A logistic curve, fitted on the labelled
-sample, turns a text's savings into a probability.
+words and stems that stand out in toxic texts by evidence, in whatever language, the ordinary
+one with as many ordinary words. Texts are lower-cased and freed of punctuation, then cut into
+windows of `WINDOW` words; for each window the bytes saved by the toxic dictionary are counted.
+A logistic curve, fitted on the labelled sample, turns a text's savings into a probability.
 """
 
 from __future__ import annotations
@@ -21,13 +21,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes, short
+from meandra.llm.common import as_bytes, cut, short
 
 THRESHOLD = 0.3
 WINDOW = 8
-#: Bound of the labelled sample that the model is fitted on, rows of each class, and of their words.
+#: Bound of the labelled sample that the model is fitted on, rows of each class; their texts are read whole.
 SAMPLE = 3000
-SAMPLE_WORDS = 4000
 #: Words of the common part; ratio of occurrences a text, and log of the odds against chance, that make a term stand out; occurrences in one text that count, terms at most.
 COMMON, LIFT, EVIDENCE, REPEATS, MOST = 1500, 8.0, 10.0, 4, 400
 #: Bytes of the shortest stem: with the space before it a match of the compressor.
@@ -63,11 +62,11 @@ class ToxicityModel:
 
 
 def _features(saved: np.ndarray) -> np.ndarray:
-    """Bias, the windows with clear savings, these savings in all, the largest, and what chance brings with length."""
+    """Bias, the windows with clear savings, these savings in all, the largest (roots, so that none counts without bound), and what chance brings with length."""
     if not len(saved):
         return np.array([1.0, 0.0, 0.0, 0.0, 0.0])
     clear = np.maximum(saved - 1, 0)
-    return np.array([1.0, min((clear > 0).sum(), 8), min(clear.sum(), 32.0) / 4, min(max(saved.max(), 0), 8.0), np.log1p(len(saved)) / 4])
+    return np.array([1.0, np.sqrt((clear > 0).sum()), np.sqrt(clear.sum()), np.sqrt(max(saved.max(), 0)), np.log1p(len(saved)) / 4])
 
 
 def _terms(words: list[bytes]) -> Counter:
@@ -81,43 +80,43 @@ def _terms(words: list[bytes]) -> Counter:
     return Counter({t: min(c, REPEATS) for t, c in out.items()})
 
 
-def _seen(texts: list[list[bytes]]) -> tuple[Counter, Counter]:
-    """For each term the texts that hold it, and its occurrences."""
-    held: Counter = Counter()
-    times: Counter = Counter()
-    for words in texts:
-        found = _terms(words)
-        held.update(found.keys())
-        times.update(found)
-    return held, times
+class _Counts:
+    """For each term: toxic texts that hold it, its occurrences there, ordinary texts, occurrences there."""
 
+    def __init__(self) -> None:
+        self.found: dict[bytes, list[int]] = {}
 
-def _marked(toxic: tuple[Counter, Counter], ordinary: tuple[Counter, Counter], n: tuple[int, int]) -> list[bytes]:
-    """Terms that stand out in toxic texts, the most frequent first; of stem and word the longer if its support is about the same, else the stem."""
+    def add(self, words: list[bytes], toxic: bool) -> None:
+        side = 0 if toxic else 2
+        for term, c in _terms(words).items():
+            row = self.found.setdefault(term, [0, 0, 0, 0])
+            row[side] += 1
+            row[side + 1] += c
+
+
+def _stands_out(row: tuple[int, int, int, int], n: tuple[int, int]) -> bool:
+    """Whether a term is more frequent in toxic texts by LIFT and beyond chance by EVIDENCE. n: toxic and ordinary texts."""
+    k, times, m, others = row
     base = n[0] / (n[0] + n[1])
-    held = toxic[0]
+    if k < 2 or (times + 0.5) / (n[0] + 1) * (n[1] + 1) / (others + 0.5) < LIFT or k / (k + m) <= base:
+        return False
+    # Chernoff: chance brings k of k + m texts with probability exp(-this) at most
+    return k * np.log(k / (k + m) / base) + (m * np.log(m / (k + m) / (1 - base)) if m else 0.0) >= EVIDENCE
 
-    def stands_out(w: bytes) -> bool:
-        k, m = held[w], ordinary[0][w]
-        if k < 2 or (toxic[1][w] + 0.5) / (n[0] + 1) * (n[1] + 1) / (ordinary[1][w] + 0.5) < LIFT or k / (k + m) <= base:
-            return False
-        # Chernoff: chance brings k of k + m texts with probability exp(-this) at most
-        return k * np.log(k / (k + m) / base) + (m * np.log(m / (k + m) / (1 - base)) if m else 0.0) >= EVIDENCE
 
-    found = sorted(w for w in held if stands_out(w))
+def _marked(held: dict[bytes, int]) -> list[bytes]:
+    """Of terms that stand out, with the toxic texts that hold them, the most frequent first; of stem and word the longer if its support is about the same, else the stem."""
+    found = sorted(held)
     kept: list[bytes] = []
     for i, w in enumerate(found):  # in this order a stem stands before its words
         longer = itertools.takewhile(lambda x: x.startswith(w), found[i + 1 :])
         if not (kept and w.startswith(kept[-1])) and not any(held[x] >= 0.8 * held[w] for x in longer):
             kept.append(w)
-    return sorted(kept, key=lambda w: (-held[w], w))[:MOST]
+    return [w.strip() for w in sorted(kept, key=lambda w: (-held[w], w))[:MOST]]
 
 
-def _dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    seen = _seen(toxic), _seen(ordinary)
-    marked = [w.strip() for w in _marked(*seen, (len(toxic), len(ordinary)))]
-    words = {w: c for w, c in seen[1][0].items() if w.endswith(b" ")}
-    plain = [w.strip() for w in sorted(words, key=lambda w: (-words[w], w)) if w.strip() not in set(marked)]
+def _dictionaries(marked: list[bytes], plain: list[bytes]) -> tuple[bytes, bytes]:
+    """plain: whole words of ordinary texts, those in most texts first, without a marked one; at least COMMON and as many as are marked, if there are."""
     shared = b" " + b" ".join(plain[:COMMON]) + b" "
     return shared + b" ".join(marked) + b" ", shared + b" ".join(plain[COMMON : COMMON + len(marked)]) + b" "
 
@@ -132,23 +131,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def fit_texts(toxic: list[bytes | None], ordinary: list[bytes | None], share: float | None = None) -> ToxicityModel:
-    """Model from labelled texts. share: of toxic rows among all labelled ones, if the lists don't show it.
+def _calibrated(dictionaries: tuple[bytes, bytes], x: np.ndarray, y: np.ndarray, share: float) -> ToxicityModel:
+    """share: of toxic rows among all labelled ones, which the sample need not show."""
+    weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
+    return ToxicityModel(*dictionaries, tuple(map(float, _logistic(x, y, weight))))
 
-    With a class missing there is nothing to tell apart: all scores are then that of the class there is.
-    """
-    a, b = [plain_words(t) for t in toxic], [plain_words(t) for t in ordinary]
-    if not a or not b:
-        return ToxicityModel(b"        ", b"        ", (-30.0 if not a else 30.0, 0.0, 0.0, 0.0, 0.0))
-    # equal texts speak once: a group of copies is one witness
-    once = lambda texts: list({b" ".join(w): w for w in texts}.values())
-    model = ToxicityModel(*_dictionaries(once(a), once(b)), (0.0,) * 5)
+
+def _one_class(toxic: bool) -> ToxicityModel:
+    """With a class missing there is nothing to tell apart: all scores are that of the class there is."""
+    return ToxicityModel(b"        ", b"        ", (30.0 if toxic else -30.0, 0.0, 0.0, 0.0, 0.0))
+
+
+def fit_texts(toxic: list[bytes | None], ordinary: list[bytes | None], share: float | None = None) -> ToxicityModel:
+    """Model from labelled texts in memory, by the same steps as fit(); equal texts of a class speak once for terms."""
+    if not toxic or not ordinary:
+        return _one_class(bool(toxic))
+    once = [list(dict.fromkeys(t or b"" for t in texts)) for texts in (toxic, ordinary)]
+    counts = _Counts()
+    for texts, side in zip(once, (True, False)):
+        for t in texts:
+            counts.add(plain_words(t), side)
+    n = len(once[0]), len(once[1])
+    marked = _marked({w: r[0] for w, r in counts.found.items() if _stands_out(tuple(r), n)})
+    words = {w.strip(): r[2] for w, r in counts.found.items() if w.endswith(b" ") and r[2]}
+    plain = [w for w in sorted(words, key=lambda w: (-words[w], w)) if w not in set(marked)]
+    dictionaries = _dictionaries(marked, plain)
+    model = ToxicityModel(*dictionaries, (0.0,) * 5)
     pair = (_compressor(model.toxic), _compressor(model.ordinary))
-    x = np.array([_features(model.savings(w, pair)) for w in a + b])
-    y = np.array([1.0] * len(a) + [0.0] * len(b))
-    share = len(a) / len(y) if share is None else share
-    weight = np.where(y == 1, share / len(a), (1 - share) / len(b)) * len(y)
-    return ToxicityModel(model.toxic, model.ordinary, tuple(map(float, _logistic(x, y, weight))))
+    x = np.array([_features(model.savings(plain_words(t), pair)) for t in [*toxic, *ordinary]])
+    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary))
+    return _calibrated(dictionaries, x, y, len(toxic) / len(y) if share is None else share)
 
 
 def held_out() -> Column:
@@ -156,22 +168,60 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_words: int = SAMPLE_WORDS) -> ToxicityModel:
-    """Fit on at most `sample` labelled rows a class, the first in the order of a hash of doc_id.
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of terms, a row each; handed on whenever some hundred thousand are held."""
+    counts = _Counts()
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array(counts.found.keys(), pa.binary()), *(pa.array([r[i] for r in counts.found.values()], pa.int64()) for i in range(4))]
+        counts.found = {}
+        return pa.RecordBatch.from_arrays(columns, ["term", "k", "times", "m", "others"])
 
-    Rows with the held-out remainder, without a doc_id or without a label take no part. Of a text
-    in the sample the first `sample_words` words are learnt from; scoring reads whole texts.
+    for batch in short(batches):
+        for toxic, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            counts.add(plain_words(text), toxic == 1)
+            if len(counts.found) > 200_000:
+                yield rows()
+    yield rows()
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    """Fit on at most `sample` labelled rows a class, the first in the order of a hash of doc_id; their texts are read whole.
+
+    Rows with the held-out remainder, without a doc_id or without a label take no part; a doc_id with both
+    labels counts as toxic. Terms are counted, and texts compressed, in tasks: the driver gets the terms that
+    stand out, COMMON and some ordinary words, and five numbers for each sampled row.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    known = known.filter(~held_out()).dropDuplicates(["doc_id"])
+    known = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    head = F.concat_ws(" ", F.slice(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+"), 1, sample_words))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("toxic", "doc_id", head.alias("text")).orderBy("toxic", "doc_id", "text").collect()
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in rows:
-        texts[r["toxic"]].append(r["text"].encode())
-    return fit_texts(texts[1], texts[0], count.get(1, 0) / max(1, sum(count.values())))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = cut(texts.join(F.broadcast(picked), "doc_id").select("toxic", "text"))
+    once = rows.dropDuplicates()
+    n = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        return _one_class(1 in n)
+    sums = [F.sum(c).alias(c) for c in ("k", "times", "m", "others")]
+    terms = cut(once.mapInArrow(_count_batches, "term binary, k long, times long, m long, others long").groupBy("term").agg(*sums))
+    size = n[1], n[0]
+    # a term that stands out is in so many toxic texts at least: -ln of chance is EVIDENCE or more
+    least = max(2, int(EVIDENCE / -np.log(size[0] / sum(size))))
+    found = terms.filter((F.col("k") >= least) & ((F.col("times") + 0.5) * (size[1] + 1) >= LIFT * (size[0] + 1) * (F.col("others") + 0.5))).collect()
+    marked = _marked({bytes(r["term"]): r["k"] for r in found if _stands_out((r["k"], r["times"], r["m"], r["others"]), size)})
+    words = terms.filter((F.col("m") > 0) & F.expr("substr(term, -1) = x'20'")).orderBy(F.desc("m"), "term").limit(COMMON + 2 * MOST).collect()
+    plain = [w for w in (bytes(r["term"]).strip() for r in words) if w not in set(marked)]
+    model = ToxicityModel(*_dictionaries(marked, plain), (0.0,) * 5)
+
+    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = (_compressor(model.toxic), _compressor(model.ordinary))
+        for batch in short(batches):
+            x = [_features(model.savings(plain_words(t), pair)).tolist() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["toxic", "x"])
+
+    facts = sorted((r["toxic"], r["x"]) for r in rows.mapInArrow(calibrate, "toxic int, x array<double>").collect())
+    y, x = np.array([f[0] for f in facts], float), np.array([f[1] for f in facts])
+    return _calibrated((model.toxic, model.ordinary), x, y, count.get(1, 0) / max(1, sum(count.values())))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -192,7 +242,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of `docs` whose text scores below THRESHOLD, all columns as they were."""
+    """The rows of `docs` whose text scores below THRESHOLD, all columns as they were.
+
+    Null and empty texts score as in score(); rows that repeat are judged each, with or without a doc_id.
+    """
     schema = docs.schema
     at = docs.columns.index("text")
 
