@@ -39,6 +39,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def first_rows(docs: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs` whose (doc_id, h) `chosen` gives from (doc_id, h, text), h being a hash of the text; one for each.
+
+    Where several rows share both, the least in the order of their columns stays, so that a task
+    run again chooses alike. Rows without a doc_id all stay.
+    """
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    boxed = boxed.select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))).alias("h"), "_row")
+    named = boxed.filter("doc_id is not null")
+    keep = cut(chosen(named.select("doc_id", "h", F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))).select("doc_id", "h"))
+    again = cut(named.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"))
+    kept = named.join(keep, ["doc_id", "h"], "left_semi")
+    rows = kept
+    if not again.isEmpty():
+        several = again.join(keep, ["doc_id", "h"], "left_semi")
+        least = kept.join(several, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("_row").alias("_row"))
+        rows = kept.join(several, ["doc_id", "h"], "left_anti").unionByName(least)
+    return rows.select("_row.*").unionByName(boxed.filter("doc_id is null").select("_row.*"))
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     wide = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

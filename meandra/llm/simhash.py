@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import as_bytes, cut, group_starts, short, spread, whole_groups
+from meandra.llm.common import as_bytes, cut, first_rows, group_starts, short, spread, whole_groups
 from meandra.llm.components import components
 
 SHINGLE = 3
@@ -59,6 +59,12 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
 
 
+def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in short(batches):
+        prints = np.array([fingerprint(t) for t in as_bytes(batch.column(2))], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints)], ["doc_id", "h", "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for every row; fp holds the 64 bits as a signed long."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
@@ -201,8 +207,16 @@ def near_duplicates(docs: DataFrame, page: int = PAGE) -> DataFrame:
 def deduplicate(docs: DataFrame, page: int = PAGE) -> DataFrame:
     """The rows of `docs` that represent their component: of each, the row with its smallest doc_id.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id all stay: they cannot be told apart.
+    Of rows with that doc_id several may hold other texts: of those in the component the one with the least
+    hash of its text stays, and of equal texts the least row. Rows without a doc_id all stay: they cannot be
+    told apart. Columns may have any names.
     """
-    keep = near_duplicates(docs, page).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        prints = cut(rows.mapInArrow(_print_rows, "doc_id long, h long, fp long"))
+        classes = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("m"))
+        roots = components(links(prints, page)).select(F.col("node").alias("fp"), "root")
+        placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        return placed.groupBy("root").agg(F.min("m").alias("m")).select("m.doc_id", "m.h")
+
+    return first_rows(docs, chosen)
