@@ -1,16 +1,19 @@
 """Main text of web pages by template deduction over the pages of a host.
 
-Tokens are the tag paths of a page and the texts of its blocks. Across the pages of one host each
-token has an occurrence vector: how often it stands in each page. Tokens with equal vectors form
-an equivalence class; classes of tags that occur equally often in most pages, and the block texts
-in their classes, are the host's template, nested by tag paths. What the template leaves open are
-slots. Slots inside menus, headers, footers, sidebars, notices, adverts, forms and comments are
-named as such by their tags, classes, ids or roles; the other slots hold the main text. Where a
-page marks its article, slots outside it are no main text, and blocks inside it never count as
-template: a heading that every page of a host repeats is still part of its articles.
-
-Vectors are hashed and summed by host and token with partial aggregates, so a host may hold
-any number of pages; a task extracts page by page.
+Tokens are the tag paths of a page, with their classes, and the texts of its blocks. Across the pages of
+one host each token has an occurrence vector: how often it stands in each page. Tokens with equal vectors
+form an equivalence class. A class that holds tag paths and stands equally often in most pages is part of
+the host's template, and its paths nest it. What the template leaves open are slots. Slots inside menus,
+headers, footers, sidebars, notices, adverts, forms and comments are named as such by their tags, classes,
+ids or roles; the other slots hold the main text.
+
+Where a page marks its article, slots outside it are no main text. Inside it a text is template only if it
+shares a class with the path that it stands in, so that this element never holds another text: a notice in
+an element of its own goes, a sentence that many articles repeat among other paragraphs stays, and so does
+any heading. Outside articles a text is template if its class holds any tag path.
+
+Vectors are hashed and summed by host and token with partial aggregates, so a host may hold any number of
+pages; a task extracts page by page. A template has at most as many tokens as two average pages.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import html as _entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meandra.llm.common import cut, short
+from meandra.llm.common import BROADCAST_KEYS, cut, short
 from meandra.llm.urls import host_of
 
 #: Share of a host's pages that hold a template token, and least number of them.
@@ -45,7 +49,13 @@ MARKS = frozenset(
 BESIDE = frozenset("site main page top bottom left right primary secondary global post article entry list item items link links box bar block container wrapper wrap inner area section panel widget widgets unit slot".split())
 FRAME = frozenset("html body main article".split())
 CODE = frozenset("script style".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)>", re.S)
+# Elements inside a line, which no class takes out; elements that a slash closes; headings.
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+SLASH = frozenset("svg math".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_PART = re.compile(r"=\s*[\"']|>")
+_CLASS = re.compile(r"(?:^|[\s\"'])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -53,11 +63,11 @@ _OPENS = re.compile(rf"<(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
 
 
 class Block:
-    __slots__ = ("path", "text", "aside", "article", "main", "inner")
+    __slots__ = ("path", "name", "text", "aside", "article", "main", "inner")
 
-    def __init__(self, path: str, text: str, aside: bool, article: bool, main: bool, inner: bool):
-        # inner: beside the main text by what stands inside the outermost article alone
-        self.path, self.text, self.aside, self.article, self.main, self.inner = path, text, aside, article, main, inner
+    def __init__(self, path: int, name: str, text: str, aside: bool, article: bool, main: bool, inner: bool):
+        # path: hash of the tag path; inner: beside the main text by what stands inside the outermost article alone
+        self.path, self.name, self.text, self.aside, self.article, self.main, self.inner = path, name, text, aside, article, main, inner
 
 
 def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -76,12 +86,53 @@ def _marked(attributes: str, inside: bool) -> tuple[bool, bool]:
     return beside, main
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of each tag; name is empty for comments and declarations. Linear in the page.
+
+    A quote only opens a value after an equals sign. One that never closes, or a tag without an end,
+    is read as if quotes had no meaning from there on; a last tag without an end is text.
+    """
+    at, quotes, size = 0, True, len(page)
+    while (m := _START.search(page, at)) is not None:
+        if m[1]:
+            end = page.find("-->", m.end())
+            at = size if end < 0 else end + 3
+            yield m.start(), at, False, "", ""
+            continue
+        if m[2]:
+            end = page.find(">", m.end())
+            at = size if end < 0 else end + 1
+            yield m.start(), at, False, "", ""
+            continue
+        end, look = -1, m.end()
+        while quotes and (part := _PART.search(page, look)) is not None:
+            if part[0] == ">":
+                end = part.start()
+                break
+            close = page.find(part[0][-1], part.end())
+            if close < 0:
+                break
+            look = close + 1
+        if end < 0:
+            quotes = False
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        at = end + 1
+        moved = yield m.start(), at, bool(m[3]), m[4].lower(), page[m.end() : end]
+        if moved is not None:
+            at = moved
+            yield at, at, False, "", ""
+
+
 def parse(page: str) -> tuple[Counter, list[Block]]:
-    """Tag paths with their numbers, and the blocks of text in page order."""
+    """Hashes of the tag paths with their numbers, and the blocks of text in page order. Linear in the page, however deep."""
     paths: Counter = Counter()
     blocks: list[Block] = []
     # open elements: (name, path, beside the main text, in an article, in a main element, beside it by what is inside the article)
-    stack: list[tuple[str, str, bool, bool, bool, bool]] = [("", "", False, False, False, False)]
+    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
+    open_: Counter = Counter()
+    endless: set[str] = set()
     text: list[str] = []
     where = stack[0]
 
@@ -90,7 +141,7 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
         if text:
             joined = _SPACE.sub(" ", _entities.unescape("".join(text))).strip()
             if joined:
-                blocks.append(Block(where[1], joined, *where[2:]))
+                blocks.append(Block(where[1], where[0], joined, *where[2:]))
             text = []
 
     def say(s: str) -> None:
@@ -100,97 +151,125 @@ def parse(page: str) -> tuple[Counter, list[Block]]:
                 where = stack[-1]
             text.append(s)
 
-    at = 0
-    while True:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    def shut(i: int) -> None:
+        for s in stack[i:]:
+            open_[s[0]] -= 1
+        del stack[i:]
+
+    told, tags = 0, _tokens(page)
+    for start, end, closes, name, attributes in tags:
+        say(page[told:start])
+        told = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closes:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    if any(s[2:4] != stack[i - 1][2:4] or s[5] != stack[i - 1][5] for s in stack[i:]):
-                        flush()
-                    del stack[i:]
-                    break
+            if open_[name] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                if any(s[2:4] != stack[i - 1][2:4] or s[5] != stack[i - 1][5] for s in stack[i:]):
+                    flush()
+                shut(i)
             continue
         top = stack[-1]
-        beside, main = _marked(m[3], top[3] or top[4])
-        beside = (beside and name not in FRAME) or name in ASIDE or (name == "header" and not (top[3] or top[4]))
-        path = f"{top[1]}/{name}"
+        beside, main = _marked(attributes, top[3] or top[4]) if "=" in attributes else (False, False)
+        beside = (beside and name not in FRAME and name not in INLINE) or name in ASIDE or (name == "header" and not (top[3] or top[4]))
         if name in RAW:
-            paths[path] += 1
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if end is None and name not in CODE and name != "head":  # left open: it ends where a block begins
-                    end = _OPENS.search(page, at)
-                    at = end.start() if end else len(page)
-                elif end is not None or name != "head":
-                    at = end.end() if end else len(page)
+            paths[_child(top[1], name, attributes)] += 1
+            if not (name in SLASH and attributes.endswith("/")):
+                found = None if name in endless else _ends(name).search(page, end)
+                if found is not None:
+                    told = found.end()
+                elif name != "head":  # left open: code goes to the end of the page, others to where a block begins
+                    endless.add(name)
+                    following = None if name in CODE else _OPENS.search(page, end)
+                    told = following.start() if following else len(page)
+                if told != end:
+                    tags.send(told)
             continue
         if name in BLOCK:
             flush()
         elif name == "br":
             say(" ")
-        paths[path] += 1
-        if name in VOID or m[3].endswith("/"):
+        if name in VOID:
+            paths[_child(top[1], name, attributes)] += 1
             continue
         if beside and not (top[2] and top[5]):
             flush()
-        # a paragraph ends where the next block begins, so markup left open does not pile up
-        if name in BLOCK and name != "p" or name == "p":
+        if name in BLOCK and open_["p"] > 0:  # a paragraph ends where the next block begins, so markup left open does not pile up
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i][0] in BLOCK:
                     break
             top = stack[-1]
-            path = f"{top[1]}/{name}"
+        path = _child(top[1], name, attributes)
+        paths[path] += 1
+        open_[name] += 1
         stack.append((name, path, top[2] or beside, top[3] or name == "article", top[4] or main or name == "main", top[3] and (top[5] or beside)))
+    say(page[told:])
     flush()
     return paths, blocks
 
 
-def _hash(kind: str, text: str) -> int:
-    h = xxhash.xxh64_intdigest(f"{kind}\0{text}".encode("utf-8", "surrogatepass"))
+@lru_cache(maxsize=256)
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I)
+
+
+def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+@lru_cache(maxsize=65_536)
+def _step(parent: int, name: str, label: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{parent}/{name}.{label}".encode("utf-8", "surrogatepass")))
+
+
+def _child(parent: int, name: str, attributes: str) -> int:
+    """Hash of a tag path from that of its parent, so that a path costs the same at any depth."""
+    found = _CLASS.search(attributes) if "=" in attributes else None
+    return _step(parent, name, (found[1] or found[2] or found[3] or "") if found else "")
+
+
 def _token(b: Block) -> int:
-    return _hash(b.path, b.text)
+    return _signed(xxhash.xxh64_intdigest(f"{b.path}\0{b.text}".encode("utf-8", "surrogatepass")))
 
 
 def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, tag, n): the tag paths of a page, and its block texts outside articles."""
+    """(host, page, token, own, n): the tag paths of a page, own being null, and its block texts that may be template.
+
+    own is the path of a text inside an article, 0 outside: 0 is the path of no element.
+    """
     for batch in short(batches):
         cols: list[list] = [[], [], [], [], []]
         for host, nr, page in zip(*(c.to_pylist() for c in batch.columns)):
             paths, blocks = parse(page or "")
-            found = [(_hash("tag", p), True, n) for p, n in paths.items()]
-            found += [(t, False, n) for t, n in Counter(_token(b) for b in blocks if not b.article).items()]
-            for t, tag, n in found:
-                for col, x in zip(cols, (host, nr, t, tag, n)):
+            texts = {_token(b): (b.path if b.article else 0) for b in blocks if not b.aside and not (b.article and b.name in HEADING)}
+            times = Counter(_token(b) for b in blocks)
+            for token, own, n in [(p, None, n) for p, n in paths.items()] + [(t, own, times[t]) for t, own in texts.items()]:
+                for col, x in zip(cols, (host, nr, token, own, n)):
                     col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.int64())], ["host", "page", "token", "tag", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "page", "token", "own", "n"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template array<long>): block texts in an equivalence class with template tags, host by host."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), F.col("html").cast("string").alias("html"))
-    tokens = rows.mapInArrow(_page_tokens, "host string, page long, token long, tag boolean, n long")
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    vectors = tokens.groupBy("host", "token", "tag").agg(F.count("*").alias("support"), F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1))).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"))
-    steady = vectors.join(sizes, "host").filter((F.col("support") >= F.greatest(F.lit(LEAST), F.ceil(F.col("pages") * SUPPORT))) & (F.col("least") == F.col("most")))
-    classes = steady.groupBy("host", "vector", "support").agg(F.max("tag").alias("tags"), F.collect_list(F.when(~F.col("tag"), F.col("token"))).alias("texts"))
-    return classes.filter("tags and size(texts) > 0").select("host", F.explode("texts").alias("token")).groupBy("host").agg(F.collect_list("token").alias("template"))
+    tokens = rows.mapInArrow(_page_tokens, "host string, page long, token long, own long, n long")
+    sizes = cut(rows.groupBy("host").agg(F.count("*").alias("pages")))
+    if sizes.count() <= BROADCAST_KEYS:  # checked size; else a host's tokens meet its size by shuffle
+        sizes = F.broadcast(sizes)
+    vectors = tokens.groupBy("host", "token", "own").agg(F.count("*").alias("support"), F.sum(F.xxhash64("page", "n").bitwiseAND(F.lit((1 << 40) - 1))).alias("vector"), F.min("n").alias("least"), F.max("n").alias("most"))
+    steady = vectors.filter((F.col("support") >= LEAST) & (F.col("least") == F.col("most"))).join(sizes, "host").filter(F.col("support") >= F.ceil(F.col("pages") * SUPPORT))
+    steady = cut(steady.select("host", "token", "own", "support", "vector"))
+    tags = steady.filter("own is null").select("host", "vector", "support", "token")
+    outside = steady.filter("own = 0").join(tags.select("host", "vector", "support").distinct(), ["host", "vector", "support"], "left_semi")
+    inside = steady.filter("own <> 0").join(tags.withColumnRenamed("token", "own"), ["host", "vector", "support", "own"], "left_semi")
+    return outside.select("host", "token").unionByName(inside.select("host", "token")).groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
@@ -201,11 +280,9 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         slots = [b for b in blocks if b.article and not b.inner] or slots
     if any(b.article for b in slots):
         slots = [b for b in slots if b.article]
-    else:
-        if any(b.main for b in slots):
-            slots = [b for b in slots if b.main]
-        slots = [b for b in slots if _token(b) not in template]
-    return "\n\n".join(b.text for b in slots)
+    elif any(b.main for b in slots):
+        slots = [b for b in slots if b.main]
+    return "\n\n".join(b.text for b in slots if not template or _token(b) not in template)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
