@@ -1,6 +1,9 @@
 import hashlib
+import html as entities
 import json
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -247,8 +250,9 @@ def test_chats_collapse_to_maximal_ones(spark):
     turns = [("user", "a"), ("assistant", "b"), ("user", None), (None, "d"), ("user", "e")]
     rows = [(c, i, *turns[i]) for c, n in ((1, 2), (2, 5), (3, 5), (4, 3)) for i in range(n)] + [(5, 0, "user", "other"), (5, 0, "user", "other"), (None, 0, "user", "a"), (6, None, "user", "z")]
     rows += [(9, i, "user", f"t{i}") for i in range(700)] + [(10, i, "user", f"t{i}") for i in range(650)]
-    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
-    assert set(out.conv_id) == {2, 5, 6, 9} and len(out[out.conv_id == 2]) == 5 and len(out[out.conv_id == 5]) == 1
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(turns.withColumns({c: chat.F.lit("clash") for c in ("part", "nr", "base", "a", "h1")})).toPandas()
+    assert set(out.conv_id) == {2, 5, 6, 9} and list(out.columns) == ["conv_id", "place", "n_turns", "rendered"] and len(out[out.conv_id == 2]) == 5 and len(out[out.conv_id == 5]) == 1
     nine = out[out.conv_id == 9].sort_values("place")
     assert nine.place.tolist() == list(range(1, 701)) and nine.rendered.iloc[3] == "<|user|>\nt3<|end|>\n"
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
@@ -279,6 +283,38 @@ def test_marks_and_open_heads_keep_the_main_text(page):
     assert html.main_text(page) == "story"
 
 
+def test_inline_classes_and_slashes_keep_the_main_text():
+    assert html.main_text('<article><p>Our social media <span class="related-term">policy</span> <b class="ad">matters</b></p></article>') == "Our social media policy matters"
+    assert html.main_text('<article><p>a</p><script src="x"/>var a=1;</script><div/><p>b</p></article>') == "a\n\nb"
+    assert html.main_text("<article><p title='a > b' data-x=\"1\" \">x</p><p>1 < 2 <y") == "x\n\n1 < 2 <y"
+
+
+@pytest.mark.parametrize("page", ["<a " + '"x" ' * 200_000, "<div>" * 50_000 + "x", "<svg>" * 100_000, "<a <a " * 150_000, "<b>" * 20_000 + "</x>" * 50_000, '<a x="1" ' * 100_000, '<a x="' * 100_000, "<b>" * 20_000 + "<div></div>" * 20_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_template_inside_articles(spark):
+    body = '<body><article><div class="box">Join our list</div><h2>Summary</h2><p>the same line</p><p>story {0}</p><div class="x">{1}</div></article></body>'
+    rows = [(i, f"http://h.x/{i}", body.format(i, "often" if i % 2 else "rarely")) for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Summary\n\nthe same line\n\nstory 3\n\noften"
+
+
+def test_extraction_equals_a_plain_reading_of_the_pages(spark, sf):
+    pages = common.table(spark, sf, "pages").withColumn("host", common.F.lit("clash")).withColumn("template", common.F.lit("clash"))
+    want = []
+    for r in pages.collect():  # these pages hold their article as headings, paragraphs and bold text
+        article = re.search(r"<article>(.*?)</article>", r["html"] or "", re.S)
+        blocks = re.split(r"</?(?:h1|p)>", article[1]) if article else []
+        texts = [" ".join(entities.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in blocks]
+        want.append((r["page_id"], "\n\n".join(t for t in texts if t)))
+    got = [(r["page_id"], r["text"]) for r in html.extract(pages).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_template_text_is_left_out(spark):
     rows = [(i, f"http://h.x/{i}", f"<body><div>Welcome to our place</div><div><p>story {i} tells of {i * 7}</p></div></body>") for i in range(6)]
     rows += [(50, "http://h.x/art", "<article><p>Welcome to our place</p></article>"), (51, None, None), (None, "http://h.x/n", ""), (52, "http://lone/", "<p>Welcome to our place</p>")]
@@ -316,8 +352,10 @@ def test_toxic_stems_of_a_small_language_are_learnt():
 
 
 # ---- top-k ------------------------------------------------------------------------------------
-@pytest.mark.parametrize("block", [16_384, 150])
-def test_top_k_equals_brute_force(spark, block):
+@pytest.mark.parametrize("block", [16_384, 150, 40])
+def test_top_k_equals_brute_force(spark, block, monkeypatch):
+    if block == 40:
+        monkeypatch.setattr(topk, "QUERIES", 2)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(500, 16)).astype(np.float32)
     v[100:260] = v[7]
@@ -333,6 +371,23 @@ def test_top_k_equals_brute_force(spark, block):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_repeated_ids_clusters_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 8)) * 20
+    v = np.concatenate([c + rng.normal(size=(40, 8)) for c in centres])
+    rows = [(i // 2 * 2, x.tolist(), "clash", 1) for i, x in enumerate(v)]  # pairs of rows share an id
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, nr string, pivot int"), every=20, block=40).toPandas()
+    m = np.floor(v * 1024).astype(np.int64)
+    ids = np.array([r[0] for r in rows])
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[q]
+        want += [(ids[q], k + 1, ids[i], s[i]) for k, i in enumerate([i for i in np.lexsort((ids, -s)) if i != q][:10])]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == sorted(tuple(map(int, w)) for w in want)
+    with pytest.raises(Exception):
+        topk.top_k(spark.createDataFrame([(1, [1e9, 1e9])], "vec_id long, embedding array<double>")).collect()
+
+
 # ---- substrings -------------------------------------------------------------------------------
 def plain_repeats(rows):
     least = {}
