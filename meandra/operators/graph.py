@@ -23,7 +23,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -> DataFrame:
-    """(node, root): least node reachable from each node that has an edge, by alternating star contraction."""
+    """(node, root): least node reachable from each node that has an edge, by alternating star contraction.
+
+    A node whose only edges lead to itself is its own root.
+    """
+    alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now, before = checkpointed(now), None
     for _ in range(rounds):
@@ -39,7 +43,8 @@ def components(edges: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -
         before = after
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return found.unionByName(alone.join(found, "node", "left_anti").withColumn("root", F.col("node")))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
