@@ -3,35 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from meandra.llm.common import cut
+from meandra.operators import graph
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node on an edge between two different nodes; root is the component's smallest node.
+    """(node, root) of every node on an edge between two nodes; root is the component's smallest node. Null ends are left out.
 
-    Alternates two star operations until nothing moves. In the first each node hands its
-    larger neighbours to its smallest one, in the second its smaller ones, so paths shrink
-    geometrically. Minima are partial aggregates and rows are joined back to them, so a hub
-    with very many neighbours is never gathered: adaptive joins split it.
+    The star contraction of operators.graph: minima are partial aggregates and rows are joined back to
+    them, so a hub with very many neighbours is never gathered: adaptive joins split it.
     """
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
-    now = cut(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        now = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        after = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
-    # settled: every edge leads from a node to its root
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return graph.components(edges.filter(f"{a} is not null and {b} is not null"), a, b, most_rounds)

@@ -29,6 +29,8 @@ SHINGLE = 3
 BUDGET = 2
 PAGE = 256
 DEPTHS = 4
+#: A fingerprint with so many rows, and over 1 / HOT_KEYS of all rows, is joined by broadcast.
+HOT, HOT_KEYS = 5_000, 1_000
 _SLICE = 65_536
 
 
@@ -196,12 +198,19 @@ def near_duplicates(docs: DataFrame, page: int = PAGE) -> DataFrame:
     there is none). Other columns are ignored. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(links(prints, page)).select(F.col("node").alias("fp"), "root")
     placed = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = placed.groupBy("root").agg(F.min("low").alias("component_id"), (F.count("*") - 1).alias("n_links"))
     named = placed.join(lows, "root").select("fp", "component_id", "n_links")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    heavy = cut(classes.filter(F.col("n") >= F.lit(max(HOT, prints.count() // HOT_KEYS))).select("fp"))
+    if heavy.isEmpty():
+        out = prints.join(named, "fp")
+    else:  # all copies of a text, or all empty ones, share a fingerprint: they must not meet in one task
+        hot = F.broadcast(heavy)  # HOT_KEYS rows at most
+        out = prints.join(F.broadcast(named.join(hot, "fp", "left_semi")), "fp")
+        out = out.unionByName(prints.join(hot, "fp", "left_anti").join(named, "fp"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def deduplicate(docs: DataFrame, page: int = PAGE) -> DataFrame:
