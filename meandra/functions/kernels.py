@@ -63,19 +63,107 @@ def savgol(y: np.ndarray, width: int, degree: int = 3) -> np.ndarray:
     return out
 
 
+def _penalised(pts: np.ndarray, lam: float) -> np.ndarray:
+    """Solution z of (I + lam D'D) z = pts, D the second differences: a factorisation of five bands, linear in time and memory."""
+    n = len(pts)
+    main = np.full(n, 1 + 6 * lam)
+    main[[0, -1]], main[[1, -2]] = 1 + lam, 1 + 5 * lam
+    if n == 4:
+        main[1:3] = 1 + 5 * lam
+    near = np.full(n - 1, -4 * lam)
+    near[[0, -1]] = -2 * lam
+    d, e, f = [0.0] * n, [0.0] * n, [0.0] * n
+    z = pts.tolist()
+    m, k, far = main.tolist(), near.tolist(), lam
+    for i in range(n):  # L D L' with unit L: e and f hold its two lower bands
+        d[i] = m[i] - (d[i - 1] * e[i - 1] ** 2 if i else 0.0) - (d[i - 2] * f[i - 2] ** 2 if i > 1 else 0.0)
+        if i < n - 1:
+            e[i] = (k[i] - (d[i - 1] * e[i - 1] * f[i - 1] if i else 0.0)) / d[i]
+        if i < n - 2:
+            f[i] = far / d[i]
+        for c in (0, 1):
+            z[i][c] -= (e[i - 1] * z[i - 1][c] if i else 0.0) + (f[i - 2] * z[i - 2][c] if i > 1 else 0.0)
+    for i in range(n - 1, -1, -1):
+        for c in (0, 1):
+            z[i][c] = z[i][c] / d[i] - (e[i] * z[i + 1][c] if i < n - 1 else 0.0) - (f[i] * z[i + 2][c] if i < n - 2 else 0.0)
+    return np.array(z)
+
+
+def nearest(points: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Index of the point nearest to each place, the first on ties; in blocks of places."""
+    return np.concatenate([((points[None] - places[i : i + 512, None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(places), 512)])
+
+
+def median5(v: np.ndarray) -> np.ndarray:
+    """Middle of five values, zeros beyond the ends."""
+    return np.median(np.stack([np.pad(v, 2)[k : k + len(v)] for k in range(5)]), axis=0) if len(v) else v
+
+
+def longer_arc(ring: np.ndarray, i: int, j: int, tolerance: float, towards: np.ndarray) -> np.ndarray:
+    """Of the two ways round a ring between vertices i and j the one with more vertices after simplification, the first on ties.
+
+    It begins at the end that is nearer to `towards`.
+    """
+    i, j = sorted((i, j))
+    arcs = ring[i : j + 1], np.concatenate([ring[j:], ring[: i + 1]])
+    arc = max(arcs, key=lambda a: len(simplify(a, tolerance)))
+    near = [float(((arc[k] - towards) ** 2).sum()) for k in (0, -1)]
+    return arc if near[0] <= near[1] else arc[::-1]
+
+
+def spliced(one: list, two: list, width: dict, once: bool = False) -> list:
+    """Path one with spans of path two put in where these are wider on the mean; ties keep path one.
+
+    Spans are what the edges of only one path make, from source to sink, where both paths have a span of the same
+    ends; or, `once`, all from the first node at which they part to the last at which they meet again.
+    """
+
+    def spans(a: list, b: list) -> dict[tuple, list]:
+        other, out, now = set(zip(b, b[1:])), {}, []
+        for step in zip(a, a[1:]):
+            if step in other:
+                if now:
+                    out[now[0], now[-1]] = now
+                now = []
+            else:
+                now = now + [step[1]] if now else list(step)
+        if now:
+            out[now[0], now[-1]] = now
+        return out
+
+    mean = lambda path: float(np.mean([width.get(s, 0.0) for s in zip(path, path[1:])]))
+    first, second = spans(one, two), spans(two, one)
+    if once:
+        if not first or not second:
+            return one
+        shared = [n for n in one if n in set(two)]
+        starts, ends = [a for a, _ in first if a in two], [b for _, b in first if b in two]
+        if not starts or not ends or not shared:
+            return one
+        a, b = starts[0], ends[-1]
+        if two.index(a) >= two.index(b):
+            return one
+        first = {(a, b): one[one.index(a) : one.index(b) + 1]}
+        second = {(a, b): two[two.index(a) : two.index(b) + 1]}
+    out = list(one)
+    for ends, span in first.items():
+        if ends in second and mean(second[ends]) > mean(span):
+            a, b = out.index(ends[0]), out.index(ends[1])
+            out[a : b + 1] = second[ends]
+    return out
+
+
 def smoothing_curve(x: np.ndarray, y: np.ndarray, step: float, residual: float) -> tuple[np.ndarray, np.ndarray]:
     """Penalised curve through points with squared residual at most `residual`, resampled about every `step`."""
     n = len(x)
     if n < 4:
         return x, y
-    d = np.diff(np.eye(n), 2, axis=0)
-    penalty = d.T @ d
     low, high = 0.0, 1e8
     pts = np.stack([x, y], axis=1).astype(float)
     best = pts
     for _ in range(50):
         lam = np.sqrt(max(low, 1e-8) * high)
-        now = np.linalg.solve(np.eye(n) + lam * penalty, pts)
+        now = _penalised(pts, lam)
         if ((now - pts) ** 2).sum() <= residual:
             best, low = now, lam
         else:
@@ -239,12 +327,12 @@ def to_unit_range(v: np.ndarray) -> np.ndarray:
     return 2 * (v - low) / (high - low) - 1 if high > low else np.zeros(len(v))
 
 
-def solidity(row: np.ndarray, col: np.ndarray) -> float:
-    """Cells of a region over the area of the convex hull of their corners."""
+def solidity(row: np.ndarray, col: np.ndarray, cells: int | None = None) -> float:
+    """Cells of a region (so many, if not those given) over the area of the convex hull of their corners."""
     corners = np.concatenate([np.stack([col + dx, row + dy], axis=1) for dx in (0, 1) for dy in (0, 1)]).astype(float)
     h = hull(corners)
     area = abs(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))) / 2
-    return len(row) / float(area)
+    return (len(row) if cells is None else cells) / float(area)
 
 
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]

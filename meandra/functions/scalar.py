@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,36 @@ def index_bands(name: Column) -> Column:
     return F.struct(F.when(new, 3).otherwise(2).alias("green"), F.when(new, 6).otherwise(5).alias("swir"))
 
 
+def gaussian_weights(sigma: float) -> list[float]:
+    """Weights of a Gaussian cut at four deviations; they sum to one."""
+    r = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
+    return [x / sum(w) for x in w]
+
+
+def gaussian(values: Column, sigma: float) -> Column:
+    """An array smoothed by a Gaussian, mirrored at its ends."""
+    w = gaussian_weights(sigma)
+    r, weights, n = len(w) // 2, F.array(*(F.lit(x) for x in w)), F.size(values)
+
+    def at(j: Column) -> Column:
+        m = F.pmod(j, 2 * n)
+        return F.get(values, F.when(m < n, m).otherwise(2 * n - 1 - m))
+
+    taps = F.sequence(F.lit(-r), F.lit(r))
+    one = lambda i: F.aggregate(taps, F.lit(0.0), lambda acc, k: acc + F.get(weights, k + r) * at(i + k))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def numbers_between(start: Column, end: Column, places: int) -> Column:
+    """Numbers of so many decimal places from the rounded start up to the end, that included; none if the start is beyond it."""
+    scale = 10**places
+    low, high = F.round(start, places) * scale, F.floor(F.round(end * scale, 6))
+    low = F.round(low).cast("long")
+    steps = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<long>"))
+    return F.transform(steps, lambda k: F.round(k / F.lit(float(scale)), places))
+
+
 def scene_date(name: Column) -> Column:
     """Date in characters 12 to 19 of a scene name."""
     return F.to_date(F.substring(name, 13, 8), "yyyyMMdd")

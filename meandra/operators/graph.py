@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -113,3 +113,15 @@ def matching_subpaths(a: DataFrame, b: DataFrame) -> DataFrame:
 def spliced(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges of only the first and only the second path: where a splice can change over."""
     return a.exceptAll(b), b.exceptAll(a)
+
+
+def exceedance(values: DataFrame, drop: int = 0) -> DataFrame:
+    """Adds exceedance to (node, n): 1 - rank / count, ranks from the least n on, after the `drop` largest went.
+
+    Ranks come from the counts of equal values: only nodes of one value share a window, and a row a value the other.
+    """
+    by = values.groupBy("n").agg(F.count("*").alias("k"))
+    before = by.select("n", F.coalesce(F.sum("k").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = values.agg((F.count("*") - drop).alias("c"))
+    ranked = values.join(before, "n").withColumn("nr", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("node"))).crossJoin(F.broadcast(total))
+    return ranked.filter("nr <= c").select("node", "n", (1 - F.col("nr") / F.col("c")).alias("exceedance"))

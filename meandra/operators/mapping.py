@@ -4,25 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meandra.functions import kernels
 from meandra.operators import raster
+from meandra.operators.graph import checkpointed
 
 
-def water_of_scene(cells: DataFrame, value: Column, limit: float = 0.01, smallest_hole: int = 64, most_water: float = 0.15, largest: bool = True) -> DataFrame:
-    """(row, col, water) of one scene: threshold, small holes filled, largest water body kept.
+def water_of_scenes(cells: DataFrame, value: Column, limit: float = 0.01, smallest_hole: int = 64, most_water: float = 0.15, largest: bool = True) -> DataFrame:
+    """(scene, row, col, water): threshold, small holes filled, largest water body kept, scene by scene.
 
-    A scene with a greater share of water than `most_water` after the holes are filled is taken for
-    clouds and gives no rows. All steps are joins and aggregates, so the scene may outgrow a task.
+    A scene with a greater share of water than `most_water` after the holes are filled is taken for clouds and
+    gives no rows. All steps are joins and aggregates, so a scene may outgrow a task: scenes are laid out one
+    below the other, with a row between them, and labelled together.
     """
-    mask = raster.fill_holes(raster.water_mask(cells, value, limit).select("row", "col", "water"), smallest_hole)
-    mask = mask.join(F.broadcast(raster.cloud_gate(mask, most_water).filter("kept").select("kept"))).drop("kept")
-    if not largest:
-        return mask
-    body = raster.largest_component(mask.filter("water = 1").select("row", "col")).select("row", "col", F.lit(1).alias("kept"))
-    return mask.join(body, ["row", "col"], "left").select("row", "col", F.coalesce("kept", F.lit(0)).alias("water"))
+    names = cells.select("scene").distinct().withColumn("_nr", F.row_number().over(Window.orderBy("scene")).cast("long"))  # a row a scene
+    extent = cells.agg(F.min("row").alias("_low"), (F.max("row") - F.min("row") + 2).alias("_high"))  # one row
+    flat = cells.join(F.broadcast(names), "scene").crossJoin(F.broadcast(extent)).withColumn("row", F.col("_nr") * F.col("_high") + F.col("row") - F.col("_low"))
+    mask = checkpointed(raster.fill_holes(raster.water_mask(flat, value, limit).select("row", "col", "water"), smallest_hole))
+    back = lambda df: df.crossJoin(F.broadcast(extent)).withColumn("_nr", F.floor(F.col("row") / F.col("_high")))
+    mask = back(mask)
+    kept = mask.groupBy("_nr").agg(F.avg("water").alias("f")).filter(F.round("f", 9) <= most_water).select("_nr")
+    mask = mask.join(F.broadcast(kept), "_nr")
+    if largest:
+        body = back(raster.label(mask.filter("water = 1").select("row", "col")))
+        first = Window.partitionBy("_nr").orderBy(F.desc("n"), "label")
+        top = body.groupBy("_nr", "label").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(first)).filter("k = 1").select("_nr", "label")
+        body = body.join(F.broadcast(top), ["_nr", "label"], "left_semi").select("row", "col", F.lit(1).alias("kept"))
+        mask = mask.join(body, ["row", "col"], "left").withColumn("water", F.coalesce("kept", F.lit(0)))
+    out = mask.join(F.broadcast(names), "_nr")
+    return out.select("scene", (F.col("row") - F.col("_nr") * F.col("_high") + F.col("_low")).alias("row"), "col", "water")
+
+
+def water_of_scene(cells: DataFrame, value: Column, limit: float = 0.01, smallest_hole: int = 64, most_water: float = 0.15, largest: bool = True) -> DataFrame:
+    """(row, col, water) of one scene, as water_of_scenes() gives it."""
+    return water_of_scenes(cells.withColumn("scene", F.lit(0)), value, limit, smallest_hole, most_water, largest).drop("scene")
 
 
 def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meandra.operators.graph import checkpointed
+from meandra.functions import kernels
+from meandra.operators.graph import checkpointed, degrees, sinks, sources, undirected
 
 
 def array_length(xs: str, ys: str) -> Column:
@@ -50,24 +52,90 @@ def shortest_paths(edges: DataFrame, start: str, most: int | None = None) -> Dat
     raise RuntimeError("shortest paths did not settle")
 
 
-def routes(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """(path, weight): all simple edge paths from a root down to `depth` edges or a sink."""
-    spark = edges.sparkSession
+def widest_route(edges: DataFrame, root: str, depth: int) -> DataFrame:
+    """(path, weight, mean): of the ways from a root down to `depth` edges or a sink the one with the greatest mean weight an edge.
+
+    The first path on ties. For each node and number of edges only the heaviest way so far goes on, so rows do
+    not grow with the number of ways; a way does not come back to a node it has.
+    """
     e = edges.select("u", "v", F.col("w").cast("double").alias("w"))
-    now = spark.createDataFrame([(root, [root], 0.0)], "node string, path array<string>, weight double")
+    now = edges.sparkSession.createDataFrame([(root, [root], 0.0)], "node string, path array<string>, weight double")
     ends = None
     for _ in range(depth):
         step = now.join(e, (now.node == e.u) & ~F.array_contains(now.path, e.v), "left")
         stuck = step.filter("v is null").select("path", "weight")
         ends = stuck if ends is None else ends.unionByName(stuck)
-        now = checkpointed(step.filter("v is not null").select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"), (F.col("weight") + F.col("w")).alias("weight")))
-    return ends.unionByName(now.select("path", "weight"))
+        on = step.filter("v is not null").select(F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"), (F.col("weight") + F.col("w")).alias("weight"))
+        now = checkpointed(on.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("less"), "path")).alias("m")).select("node", "m.path", (-F.col("m.less")).alias("weight")))
+    ends = now.select("path", "weight") if ends is None else ends.unionByName(now.select("path", "weight"))
+    r = ends.filter(F.size("path") > 1).withColumn("mean", F.col("weight") / (F.size("path") - 1))
+    return r.orderBy(F.desc("mean"), "path").limit(1)
 
 
-def widest_route(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """The route with the greatest mean weight an edge; the first path on ties."""
-    r = routes(edges, root, depth).filter(F.size("path") > 1).withColumn("mean", F.col("weight") / (F.size("path") - 1))
-    return r.orderBy(F.desc("mean"), "path").limit(1)
+def subpaths(edges: DataFrame) -> DataFrame:
+    """(start, end, path, edges): the way with the fewest edges from each source to each sink that it reaches, the first on ties."""
+    e = checkpointed(edges.select("u", "v").distinct())
+    front = sources(e).select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
+    known = front
+    while True:
+        step = front.join(e, front.node == e.u).select("start", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
+        step = step.groupBy("start", "node").agg(F.min_by("path", F.array_join("path", ">")).alias("path"))
+        front = checkpointed(step.join(known.select("start", "node"), ["start", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = checkpointed(known.unionByName(front))
+    out = known.join(sinks(e), "node", "left_semi").filter(F.size("path") > 1)
+    return out.select("start", F.col("node").alias("end"), "path", (F.size("path") - 1).alias("edges"))
+
+
+def _spliced(pairs: DataFrame, edges: DataFrame, once: bool) -> DataFrame:
+    i = F.sequence(F.lit(1), F.size("path") - 1)
+    steps = pairs.select("pair", F.explode(F.array("one", "two")).alias("path")).filter(F.size("path") > 1)
+    steps = steps.select("pair", F.explode(F.transform(i, lambda k: F.struct(F.get("path", k - 1).alias("u"), F.get("path", k).alias("v")))).alias("s")).select("pair", "s.u", "s.v").distinct()
+    wide = steps.join(edges.groupBy("u", "v").agg(F.max("width").alias("width")), ["u", "v"]).groupBy("pair").agg(F.collect_list(F.struct("u", "v", "width")).alias("steps"))
+
+    def run(batches):
+        for pdf in batches:
+            widths = [{(s["u"], s["v"]): s["width"] for s in (found if found is not None else [])} for found in pdf["steps"]]
+            path = [kernels.spliced(list(a), list(b), w, once) for a, b, w in zip(pdf["one"], pdf["two"], widths)]
+            yield pd.DataFrame({"pair": pdf["pair"], "path": path})
+
+    return pairs.join(wide, "pair", "left").select("pair", "one", "two", "steps").mapInPandas(run, "pair long, path array<string>")
+
+
+def spliced_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair, path): path `one` of each pair with those spans of `two` that part from it and are wider on the mean. edges: (u, v, width)."""
+    return _spliced(pairs, edges, False)
+
+
+def spliced_once(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair, path): as spliced_paths, with one span from where the paths first part to where they last meet."""
+    return _spliced(pairs, edges, True)
+
+
+def start_node(edges: DataFrame, most: int = 3) -> DataFrame:
+    """One row: the least node among those with under `most` neighbours and the sinks from which another of these is reached.
+
+    Each node keeps the two least candidates that it reaches, so that one of them is not itself.
+    """
+    e = checkpointed(edges.select("u", "v").distinct())
+    few = undirected(e).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") < most).select("node")
+    some = checkpointed(few.union(sinks(e)).distinct())
+    known = some.select("node", F.col("node").alias("to")).filter("false")
+    front = some.select("node", F.col("node").alias("to"))
+    while True:
+        step = e.join(front, e.v == front.node).select(F.col("u").alias("node"), "to").distinct()
+        both = checkpointed(known.unionByName(step).distinct().groupBy("node").agg(F.slice(F.array_sort(F.collect_set("to")), 1, 2).alias("to")).select("node", F.explode("to").alias("to")))
+        front = checkpointed(both.join(known, ["node", "to"], "left_anti"))
+        if front.isEmpty():
+            break
+        known = both
+    return known.filter("node <> to").join(some, "node", "left_semi").agg(F.min("node").alias("node")).filter("node is not null")
+
+
+def terminals(edges: DataFrame) -> DataFrame:
+    """Nodes with one edge, in or out."""
+    return degrees(edges).filter("n_in + n_out = 1").select("node")
 
 
 def traversed(edges: DataFrame, start: str, depth: int) -> DataFrame:

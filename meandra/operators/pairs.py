@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meandra.functions import kernels
+from meandra.functions.scalar import pair_class
 
 SCHEMA = "pair long, n long, p90_mr double, lag double, r_curv_mr double, slope_curv_mr double, r_squared_width double, width_slope double, width_intercept double, width_diff double, n_stable_segments long, stable_data_ratio double, combined_cost double"
 
@@ -82,3 +83,71 @@ def analyse(first: DataFrame, second: DataFrame, window: int = 50, factor: float
     right = second.select(F.col("pair").alias("other"), F.col("seq").alias("q"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("width").alias("w"))
     left = first.select("pair", "seq", "x", "y", "width", "years")
     return left.groupBy("pair").cogroup(right.groupBy("other")).applyInPandas(run, SCHEMA)
+
+
+def summary(points: DataFrame) -> DataFrame:
+    """A row for each pair with the columns of a pair summary.
+
+    points: (pair, seq, rate, width1, width2, lag, segment, stable, time_gap), and curv, date1 and date2 where there are
+    any. Correlation and slope of rate on curvature are taken within stable segments; the correlations are averaged,
+    the slopes weighted by length. Figures that are not defined are null.
+    """
+    for name, kind in (("curv", "double"), ("date1", "date"), ("date2", "date")):
+        if name not in points.columns:
+            points = points.withColumn(name, F.lit(None).cast(kind))
+    ratio = lambda x, y, sx, sy: F.try_divide(F.covar_pop(x, y), F.stddev_pop(sx) * F.stddev_pop(sy))
+    calm = points.filter("stable").groupBy("pair", "segment").agg(F.count("curv").alias("n"), ratio("curv", "rate", "curv", "rate").alias("r"), F.when(F.count("curv") > 5, ratio("curv", "rate", "curv", "curv")).alias("k"))
+    known = F.when(F.col("k").isNotNull(), F.col("n"))
+    calm = calm.groupBy("pair").agg(F.count("*").alias("n_stable_segments"), F.avg("r").alias("r_curv_mr"), F.try_divide(F.sum(F.col("k") * known), F.sum(known)).alias("slope_curv_mr"))
+    g = points.groupBy("pair").agg(
+        F.avg(F.when(F.col("stable"), F.col("lag"))).alias("lag (m)"),
+        F.percentile(F.abs("rate"), 0.9).alias("p90_mr (m/year)"),
+        F.min("date1").alias("date1"),
+        F.min("date2").alias("date2"),
+        F.avg("width1").alias("width1"),
+        F.avg("width2").alias("width2"),
+        F.pow(ratio("width1", "width2", "width1", "width2"), F.lit(2)).alias("r_squared_width"),
+        ratio("width1", "width2", "width1", "width1").alias("width_slope"),
+        F.avg(F.when(F.col("stable"), 1.0).otherwise(0.0)).alias("stable_data_ratio"),
+        F.min("time_gap").alias("time_gap"),
+    )
+    out = g.join(calm, "pair", "left").withColumn("n_stable_segments", F.coalesce("n_stable_segments", F.lit(0)))
+    mean = (F.col("width1") + F.col("width2")) / 2
+    out = out.withColumns({"r_squared_curv_mr": F.pow("r_curv_mr", F.lit(2)), "width_intercept (m)": F.col("width2") - F.col("width_slope") * F.col("width1"), "width_diff (m)": F.col("width2") - F.col("width1"), "mean_width (m)": mean})
+    out = out.withColumns({"normalized_lag": F.try_divide(F.col("`lag (m)`"), mean), "normalized_mr (channel_widths/year)": F.try_divide(F.col("`p90_mr (m/year)`"), mean)})
+    return out.withColumn("pair_class", pair_class(F.col("r_curv_mr"), F.col("width_slope"), F.col("normalized_lag")))
+
+
+def labelled(groups: dict[str, DataFrame], river: str) -> DataFrame:
+    """The summaries of several reaches in one frame: segment_label, segment_index in the order given, river_name."""
+    out = None
+    for k, (label, df) in enumerate(groups.items()):
+        one = df.withColumns({"segment_label": F.lit(label), "segment_index": F.lit(k), "river_name": F.lit(river)})
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no groups")
+    return out
+
+
+def mean_lag(points: DataFrame, path: DataFrame, spacing: float, width: float) -> DataFrame:
+    """(scene, seq, lag): mean lag of the matches of each vertex in a warping path (scene, p, q), in widths; NaN without one."""
+    m = path.groupBy("scene", F.col("p").alias("seq")).agg((F.avg(F.col("p") - F.col("q")) * spacing / width).alias("lag"))
+    return points.select("scene", "seq").join(m, ["scene", "seq"], "left").withColumn("lag", F.coalesce("lag", F.lit(float("nan"))))
+
+
+def segment_groups(points: DataFrame, catalog: DataFrame, least_days: int, most_days: int, months: list[int] | None = None, **how: float) -> DataFrame:
+    """Figures of each pair of scenes within each reach. points: (scene, segment, seq, x, y, width); catalog: (scene, acq).
+
+    Pairs are at least and at most so many days apart, of scenes in the given months if there are any; a pair needs
+    a path in both scenes.
+    """
+    dated = catalog if months is None else catalog.filter(F.month("acq").isin(months))
+    there = points.select("scene", "segment").distinct().join(dated, "scene")
+    a, b = (there.select("segment", F.col("scene").alias(f"scene{k}"), F.col("acq").alias(f"acq{k}")) for k in (1, 2))
+    # a scene of a bucket of days meets those of its own and the next ones that the greatest gap reaches
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(most_days))
+    a = a.withColumn("bucket", F.explode(F.array(bucket(F.col("acq1")), bucket(F.col("acq1")) + 1)))
+    met = a.join(b.withColumn("bucket", bucket(F.col("acq2"))), ["segment", "bucket"]).withColumn("gap", F.datediff("acq2", "acq1")).filter(F.col("gap").between(least_days, most_days))
+    met = met.select(F.xxhash64("segment", "scene1", "scene2").alias("pair"), "segment", "scene1", "scene2", (F.col("gap") / 365.25).alias("years"))
+    side = lambda k: met.select("pair", "segment", F.col(f"scene{k}").alias("scene"), "years").join(points, ["scene", "segment"]).select("pair", "seq", "x", "y", "width", "years")
+    return analyse(side(1), side(2), **how).join(met, "pair").drop("pair")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meandra.functions import kernels
+from meandra.functions.scalar import gaussian
+
+
 def _w() -> Window:
     return Window.partitionBy("scene").orderBy("seq")
 
@@ -88,12 +94,17 @@ def matching(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("x", "y").distinct(), ["x", "y"], "left_semi")
 
 
-def extended(points: DataFrame, ratio: float) -> DataFrame:
-    """(scene, x0, y0, x1, y1): places beyond both ends, along the end segments."""
+def where_true(points: DataFrame, condition: Column) -> DataFrame:
+    """Vertices at which a condition, or a number, is neither false nor zero nor null."""
+    return points.filter(condition.cast("boolean"))
+
+
+def extended(points: DataFrame, ratio: float, first: int = 1, last: int = 1) -> DataFrame:
+    """(scene, x0, y0, x1, y1): places beyond both ends, along the lines from the `first`-th vertex and from the `last`-th before the end."""
     size = F.max("seq").over(_all())
     p = points.withColumn("last", size)
     at = lambda c, k: F.max(F.when(F.col("seq") == k, F.col(c)))
-    g = p.groupBy("scene").agg(*(at(c, k).alias(f"{c}{n}") for c in "xy" for n, k in (("a", F.lit(0)), ("b", F.lit(1)), ("y", F.col("last") - 1), ("z", F.col("last")))))
+    g = p.groupBy("scene").agg(*(at(c, k).alias(f"{c}{n}") for c in "xy" for n, k in (("a", F.lit(0)), ("b", F.lit(first)), ("y", F.col("last") - last), ("z", F.col("last")))))
     ext = lambda c: (F.col(f"{c}a") - (F.col(f"{c}b") - F.col(f"{c}a")) * ratio, F.col(f"{c}y") + (F.col(f"{c}z") - F.col(f"{c}y")) * (1 + ratio))
     (x0, x1), (y0, y1) = ext("x"), ext("y")
     return g.select("scene", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
@@ -104,11 +115,18 @@ def sliding_variance(points: DataFrame, value: str, window: int = 50) -> DataFra
     return points.withColumn("variance", F.var_pop(value).over(_w().rowsBetween(-half, half - 1)))
 
 
+def smoothed(points: DataFrame, value: str, sigma: float) -> DataFrame:
+    """(scene, seq, smooth): a value along each path after a Gaussian, mirrored at the ends. A path's values are one array."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col(value).cast("double").alias("v")))), lambda p: p["v"])
+    first = points.groupBy("scene").agg(ordered.alias("v"), F.min("seq").alias("first"))
+    return first.select("scene", "first", F.posexplode(gaussian(F.col("v"), sigma)).alias("k", "smooth")).select("scene", (F.col("first") + F.col("k")).alias("seq"), "smooth")
+
+
 def high_variance(points: DataFrame, value: str, window: int, factor: float) -> DataFrame:
-    """(scene, run, first, last): stretches whose sliding variance exceeds the scene's median times a factor."""
-    v = sliding_variance(points, value, window)
-    v = v.join(v.groupBy("scene").agg(F.percentile("variance", 0.5).alias("mid")), "scene")
-    v = v.withColumn("high", F.when(F.col("variance") > F.col("mid") * factor, 1).otherwise(0))
+    """(scene, run, first, last): stretches whose smoothed sliding variance exceeds the scene's median of it times a factor."""
+    v = smoothed(sliding_variance(points, value, window), "variance", max(1, window // 10)).withColumn("smooth", F.round("smooth", 9))
+    v = v.join(v.groupBy("scene").agg(F.percentile("smooth", 0.5).alias("mid")), "scene")
+    v = v.withColumn("high", F.when(F.col("smooth") > F.round(F.col("mid") * factor, 9), 1).otherwise(0))
     turn = F.when(F.coalesce(F.lag("high").over(_w()), F.lit(0)) != F.col("high"), 1).otherwise(0)
     v = v.withColumn("turn", turn).withColumn("run", F.sum("turn").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
     return v.filter("high = 1").groupBy("scene", "run").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
@@ -134,3 +152,27 @@ def sampled_mean(points: DataFrame, value: str, least: float, samples: int = 10)
     step = F.greatest(F.lit(1), F.floor(F.count("*").over(_all()) / samples))
     p = points.withColumn("_step", step).filter(F.col("seq") % F.col("_step") == 0)
     return p.groupBy("scene").agg(F.avg(value).alias("mean")).filter(F.col("mean") >= least)
+
+
+def width_and_curvature(points: DataFrame, step: float, residual: float, window: int = 11) -> DataFrame:
+    """(scene, seq, x, y, s, width, curvature): each path smoothed and resampled about every `step`.
+
+    points: (scene, seq, x, y, width). Repeated vertices and the last one go; places are smoothed by a polynomial
+    window and a penalised curve; widths are those of the nearest vertex; curvature is smoothed and its median of
+    five taken. A path too short to smooth comes back as it is. A task holds one path.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("seq")
+        x, y, width = (p[c].to_numpy(float) for c in ("x", "y", "width"))
+        keep = np.flatnonzero(np.abs(np.diff(x)) + np.abs(np.diff(y)) > 0)
+        if len(keep) >= 4:
+            sx, sy = kernels.smoothing_curve(kernels.savgol(x[keep], window), kernels.savgol(y[keep], window), step, residual)
+        else:
+            sx, sy = x, y
+        near = kernels.nearest(np.stack([x, y], axis=1), np.stack([sx, sy], axis=1)) if len(x) else np.empty(0, int)
+        c = kernels.median5(kernels.savgol(np.nan_to_num(kernels.curvature(sx, sy)), window))
+        s = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(sx), np.diff(sy)))])
+        return pd.DataFrame({"scene": pdf["scene"].iloc[0], "seq": np.arange(len(sx)), "x": sx, "y": sy, "s": s, "width": width[near], "curvature": c})
+
+    return points.groupBy("scene").applyInPandas(run, "scene long, seq long, x double, y double, s double, width double, curvature double")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meandra.functions.scalar import above
+from meandra.functions import kernels
+from meandra.functions.scalar import above, gaussian
 from meandra.operators.graph import components
 
 
@@ -96,3 +98,46 @@ def outline(cells: DataFrame) -> DataFrame:
     out = cells.select("row", "col", sides.alias("s")).select("row", "col", "s.side", "s.r2", "s.c2")
     there = cells.select(F.col("row").alias("r2"), F.col("col").alias("c2"))
     return out.join(there, ["r2", "c2"], "left_anti").select("row", "col", "side")
+
+
+def histogram_threshold(cells: DataFrame, value: str, bins: int = 256, sigma: float = 5.0) -> DataFrame:
+    """(scene, threshold): the greatest negative local minimum of the smoothed histogram of a scene's non-zero values; null without one."""
+    v = cells.select("scene", F.col(value).cast("double").alias("v")).filter("v <> 0 and not isnan(v)")
+    m = v.groupBy("scene").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).filter("hi > lo")
+    bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))))
+    counts = v.join(F.broadcast(m), "scene").groupBy("scene", bin_.alias("bin")).agg(F.count("*").alias("k"))
+    found = counts.groupBy("scene").agg(F.map_from_entries(F.collect_list(F.struct("bin", "k"))).alias("k")).join(m, "scene")
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("k", i), F.lit(0)) * bins / (F.col("n") * (F.col("hi") - F.col("lo"))))
+    s = found.withColumn("dense", dense).withColumn("smooth", F.transform(gaussian(F.col("dense"), sigma), lambda x: F.round(x, 12)))
+    middle = lambda i: F.col("lo") + (i + 0.5) * (F.col("hi") - F.col("lo")) / bins
+    low = lambda i: (F.get("smooth", i) < F.get("smooth", i - 1)) & (F.get("smooth", i) < F.get("smooth", i + 1)) & (middle(i) < 0)
+    return s.select("scene", F.array_max(F.transform(F.filter(F.sequence(F.lit(1), F.lit(bins - 2)), low), middle)).alias("threshold"))
+
+
+def stretched(cells: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Adds v, 0 to 255: the value between two percentiles of its scene."""
+    q = cells.groupBy("scene").agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
+    share = F.try_divide(F.col(value) - F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0])
+    return cells.join(F.broadcast(q), "scene").withColumn("v", F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))))).cast("int")).drop("_q")
+
+
+def padded(cells: DataFrame, boxes: DataFrame, pad: int) -> DataFrame:
+    """Cells of each box (id, r0, r1, c0, c1) with `pad` cells around it, as far as there are any. Boxes meet cells row by row."""
+    rows = boxes.withColumn("row", F.explode(F.sequence(F.greatest(F.lit(0), F.col("r0") - pad).cast("long"), (F.col("r1") + pad).cast("long"))))
+    met = cells.join(rows, "row").filter(F.col("col").between(F.col("c0") - pad, F.col("c1") + pad))
+    return met.select("id", *cells.columns)
+
+
+def by_solidity(cells: DataFrame, below: float = 0.2) -> DataFrame:
+    """(label, cells, solidity) of the components (row, col, label) whose cells fill less than `below` of their convex hull.
+
+    Only the first and last cell of each row of a component can lie on its hull, so tasks hold no more than these.
+    """
+    ends = cells.groupBy("label", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, n = pd.concat([pdf["row"], pdf["row"]]).to_numpy(), int(pdf["n"].sum())
+        share = kernels.solidity(row, pd.concat([pdf["c0"], pdf["c1"]]).to_numpy(), n)
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "cells": [n], "solidity": [share]})
+
+    return ends.groupBy("label").applyInPandas(run, "label long, cells long, solidity double").filter(F.col("solidity") < below)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meandra.functions.scalar import iou
+from meandra.operators import raster
 from meandra.operators.graph import components
 
 
@@ -91,3 +92,52 @@ def rates(series: DataFrame, value: Column, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy("acq", "scene")
     s = series.withColumn("interval_days", F.datediff(F.lead("acq").over(w), F.col("acq"))).withColumn("change", F.lead(value).over(w) - value)
     return s.filter("interval_days is not null").withColumn("rate", F.coalesce(F.try_divide("change", "interval_days"), F.lit(0.0)))
+
+
+def channel_and_bars(cells: DataFrame, area: DataFrame, time: str) -> DataFrame:
+    """(time, belt, bars, channel): cells of an area of interest that no main bank (type 0 or 1) covers, those under islands (type 2), and the rest."""
+    whole = area.select("row", "col").distinct()
+    total = whole.agg(F.count("*").alias("total"))
+    dates = cells.select(time).distinct()
+    inside = cells.join(whole, ["row", "col"], "left_semi").select(time, "row", "col", "type").distinct()
+    flag = lambda condition: F.count(F.when(condition, 1))
+    # a cell under both a bank and an island is no part of the belt
+    each = inside.groupBy(time, "row", "col").agg((F.min("type") < 2).alias("bank"))
+    n = each.groupBy(time).agg(flag(F.col("bank")).alias("banks"), flag(~F.col("bank")).alias("bars"))
+    out = dates.join(n, time, "left").crossJoin(F.broadcast(total)).select(time, (F.col("total") - F.coalesce("banks", F.lit(0))).alias("belt"), F.coalesce("bars", F.lit(0)).alias("bars"))
+    return out.withColumn("channel", F.col("belt") - F.col("bars"))
+
+
+def sets_over_dates(cells: DataFrame, time: str) -> DataFrame:
+    """(kind, time, row, col): the channel at each date, the bars left after it, and the erosion from it to the next date.
+
+    A cell becomes bar at the last date that it was water, if that is not the last of all, and was eroded before the
+    first, if that is not the first of all: cells meet nothing but their own dates.
+    """
+    dates = cells.select(F.col(time).alias("_t")).distinct()
+    dates = dates.select("_t", F.lag("_t").over(Window.orderBy("_t")).alias("_before"), F.lead("_t").over(Window.orderBy("_t")).alias("_after"))  # a row a date
+    ends = cells.groupBy("row", "col").agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+    bars = ends.join(F.broadcast(dates.filter("_after is not null")), F.col("_last") == F.col("_t")).select(F.lit("bar").alias("kind"), F.col("_last").alias(time), "row", "col")
+    gone = ends.join(F.broadcast(dates.filter("_before is not null")), F.col("_first") == F.col("_t")).select(F.lit("erosion").alias("kind"), F.col("_before").alias(time), "row", "col")
+    return bars.unionByName(gone).unionByName(cells.select(F.lit("channel").alias("kind"), time, "row", "col").distinct())
+
+
+def change_polygons(change: DataFrame, dates: DataFrame, least: int = 10) -> DataFrame:
+    """(kind, polygon, area, length, start, end, duration): connected parts of over `least` cells of each kind of change.
+
+    length: the sides around a part, holes included. dates: one row with start and end of the interval.
+    """
+    parts = None
+    for kind in ("erosion", "deposition"):
+        cells = change.filter(F.col("kind") == kind).select("row", "col")
+        sides = raster.outline(cells).groupBy("row", "col").agg(F.count("*").alias("sides"))
+        one = raster.label(cells, diagonal=False).join(sides, ["row", "col"], "left").groupBy(F.col("label").alias("polygon")).agg(F.count("*").alias("area"), F.coalesce(F.sum("sides"), F.lit(0)).alias("length"))
+        one = one.filter(F.col("area") > least).select(F.lit(kind).alias("kind"), "polygon", "area", "length")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts.crossJoin(F.broadcast(dates.select("start", "end", F.datediff("end", "start").alias("duration"))))  # one row
+
+
+def mappings(rook: DataFrame, node: DataFrame, edge: DataFrame) -> DataFrame:
+    """(kind, a, b, score): what maps to what between two dates, for islands, nodes and edges."""
+    tagged = [df.select(F.lit(kind).alias("kind"), "a", "b", "score") for kind, df in (("rook", rook), ("node", node), ("edge", edge))]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])

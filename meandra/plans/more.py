@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meandra.functions import scalar as S
 from meandra.operators import graph, network, paths, polygons, raster, temporal
-from meandra.plans.queries import DENSE, GRAD, PIX, RECT, RID, SAM, SCE, SPARSE, W, _pix, _rc, _rects, query
+from meandra.plans.queries import GRAD, PIX, RECT, RID, SAM, SCE, SPARSE, W, _pix, _rc, _rects, query, smooth_sql
 from meandra.sources import store, views
 from meandra.streaming import catalog
 
@@ -59,18 +59,9 @@ def r14(spark: SparkSession, d: str) -> DataFrame:
     return paths.sampled_mean(points, "b", 20.0).select(F.col("scene").alias("r"), F.round("mean", 6).alias("mean"))
 
 
-_KERNEL = [round(x, 6) for x in (0.054489, 0.244201, 0.40262, 0.244201, 0.054489)]
-
-
-@query("r16_gaussian_filter", f"WITH {SAM} SELECT scene, seq, round({_KERNEL[0]}::DOUBLE * coalesce(lag(y, 2) OVER w, y) + {_KERNEL[1]}::DOUBLE * coalesce(lag(y) OVER w, y) + {_KERNEL[2]}::DOUBLE * y + {_KERNEL[3]}::DOUBLE * coalesce(lead(y) OVER w, y) + {_KERNEL[4]}::DOUBLE * coalesce(lead(y, 2) OVER w, y), 9) AS smooth FROM sam {W}")
+@query("r16_gaussian_filter", f"WITH {SAM}, l AS (SELECT scene, list(y ORDER BY seq) AS ys FROM sam GROUP BY scene), g AS (SELECT scene, {smooth_sql('ys', 2.0)} AS sm FROM l) SELECT scene, i - 1 AS seq, round(sm[i], 9) AS smooth FROM g, LATERAL (SELECT unnest(range(1, len(sm) + 1)) AS i)")
 def r16(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("scene").orderBy("seq")
-    y = F.col("y")
-    near = [F.lag(y, 2).over(w), F.lag(y).over(w), y, F.lead(y).over(w), F.lead(y, 2).over(w)]
-    total = F.lit(0.0)
-    for k, v in zip(_KERNEL, near):
-        total = total + F.lit(k) * F.coalesce(v, y)
-    return views.samples(spark, d).select("scene", "seq", F.round(total, 9).alias("smooth"))
+    return paths.smoothed(views.samples(spark, d), "y", 2.0).select("scene", "seq", F.round("smooth", 9).alias("smooth"))
 
 
 @query("g8_extrapolate", f"WITH {SAM} SELECT scene, seq, round(x + (lead(x) OVER w - x) * 2.5, 6) AS ex, round(y + (lead(y) OVER w - y) * 2.5, 6) AS ey FROM sam {W}")
@@ -150,12 +141,6 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("u"), (F.col("l_partkey") % 50).alias("v")).distinct().filter("u <> v")
 
 
-@query("h24_start_node", f"WITH {SPARSE}, s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), g AS (SELECT u, count(*) AS n FROM s GROUP BY u) SELECT min(u) AS node FROM g WHERE n < 3 AND u IN (SELECT u FROM e)")
-def h24(spark: SparkSession, d: str) -> DataFrame:
-    e = views.edges(spark, d, True)
-    return graph.classify_undirected(e).filter("n < 3").join(e.select(F.col("u").alias("node")), "node", "left_semi").agg(F.min("node").alias("node"))
-
-
 @query("t10_nearest_nodes", f"WITH {SAM}, a AS (SELECT scene - 1 AS scene, seq, x, y FROM sam), k AS (SELECT a.scene, a.seq, s.seq AS other, pow(a.x - s.x, 2) + pow(a.y - s.y, 2) AS d2, row_number() OVER (PARTITION BY a.scene, a.seq ORDER BY pow(a.x - s.x, 2) + pow(a.y - s.y, 2), s.seq) AS nr FROM a JOIN sam s ON s.scene = a.scene) SELECT scene, seq, other, round(sqrt(d2), 4) AS distance FROM k WHERE nr = 1 AND sqrt(d2) < 40000")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
@@ -165,13 +150,6 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     return m.filter("m.distance < 40000").select("scene", "seq", "m.other", F.round("m.distance", 4).alias("distance"))
 
 
-@query("t13_displacement_deviation", f"WITH {SAM}, n AS (SELECT *, lead(x) OVER w - x AS ex, lead(y) OVER w - y AS ey, lead(x, 2) OVER w - x AS mx, lead(y, 2) OVER w - y AS my FROM sam {W}) SELECT scene, seq, round(degrees(acos(greatest(-1, least(1, (ex * mx + ey * my) / (sqrt(ex*ex + ey*ey) * sqrt(mx*mx + my*my)))))), 3) AS deviation FROM n WHERE mx IS NOT NULL AND ex*ex + ey*ey > 0 AND mx*mx + my*my > 0")
-def t13(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("scene").orderBy("seq")
-    n = views.samples(spark, d).withColumns({"ex": F.lead("x").over(w) - F.col("x"), "ey": F.lead("y").over(w) - F.col("y"), "mx": F.lead("x", 2).over(w) - F.col("x"), "my": F.lead("y", 2).over(w) - F.col("y")}).filter("mx is not null and ex*ex + ey*ey > 0 and mx*mx + my*my > 0")
-    return n.select("scene", "seq", F.round(F.degrees(S.angle_between(F.col("ex"), F.col("ey"), F.col("mx"), F.col("my"))), 3).alias("deviation"))
-
-
 @query("t15_split_at_points", f"WITH {SAM}, m AS (SELECT scene, arg_min(seq, (abs(x - 600000), seq)) AS a, arg_min(seq, (abs(x - 1500000), seq)) AS b FROM sam GROUP BY scene) SELECT sam.scene, sam.seq, (CASE WHEN seq >= a THEN 1 ELSE 0 END + CASE WHEN seq >= b THEN 1 ELSE 0 END) AS segment FROM sam JOIN m USING (scene)")
 def t15(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
@@ -188,44 +166,17 @@ def t18(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("scene").agg(at(300000.0, F.col("seq") < F.col("half")).alias("i0"), at(2200000.0, F.col("seq") >= F.col("half")).alias("i1"))
 
 
-@query("t8_change_polygons", f"WITH {SCE}, n AS (SELECT river, scene, acq, width, lead(acq) OVER w AS until FROM sce WINDOW w AS (PARTITION BY river ORDER BY acq, scene)) SELECT river, scene, year(acq) AS start_year, year(until) AS end_year, until - acq AS duration FROM n WHERE until IS NOT NULL AND width > 100000")
-def t8(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("river").orderBy("acq", "scene")
-    n = views.scenes(spark, d).withColumn("until", F.lead("acq").over(w)).filter("until is not null and width > 100000")
-    return n.select("river", "scene", F.year("acq").alias("start_year"), F.year("until").alias("end_year"), F.datediff("until", "acq").alias("duration"))
-
-
-@query("t16_reachable_groups", f"WITH {SCE}, g AS (SELECT river, year(acq) AS y, count(*) AS n FROM sce GROUP BY 1, 2), p AS (SELECT river, y, n, lag(y) OVER (PARTITION BY river ORDER BY y) AS up FROM g WHERE n >= 2) SELECT up, y AS down, count(*) AS rivers FROM p WHERE up IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 4")
-def t16(spark: SparkSession, d: str) -> DataFrame:
-    g = views.scenes(spark, d).groupBy("river", F.year("acq").alias("y")).agg(F.count("*").alias("n")).filter("n >= 2")
-    p = g.withColumn("up", F.lag("y").over(Window.partitionBy("river").orderBy("y"))).filter("up is not null")
-    return p.groupBy("up", F.col("y").alias("down")).agg(F.count("*").alias("rivers")).filter("rivers >= 4")
-
-
 @query("e6_unprocessed_scenes", f"WITH {SCE} SELECT scene, river FROM sce WHERE scene NOT IN (SELECT scene FROM sce WHERE acq < DATE '1998-01-01')")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     s = views.scenes(spark, d)
     return catalog.unprocessed(s, s.filter("acq < date'1998-01-01'")).select("scene", "river")
 
 
-@query("k10_geojson")
+@query("k10_geojson", f"WITH {SAM} SELECT scene, '{{\"type\":\"Feature\",\"properties\":{{\"scene\":' || scene || '}},\"geometry\":{{\"type\":\"LineString\",\"coordinates\":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY seq) || ']}}}}' AS feature FROM sam GROUP BY scene")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     return store.to_geojson(views.samples(spark, d))
 
 
-@query("a38_mean_lag", f"WITH {SAM}, p AS (SELECT a.scene, a.seq, b.seq - a.seq AS lag FROM sam a JOIN sam b ON a.scene = b.scene AND b.seq BETWEEN a.seq AND a.seq + 3) SELECT scene, seq, round(avg(lag), 9) AS lag FROM p GROUP BY scene, seq")
-def a38(spark: SparkSession, d: str) -> DataFrame:
-    s = views.samples(spark, d).select("scene", "seq")
-    path = s.select("scene", "seq", F.explode(F.sequence("seq", F.col("seq") + 3)).alias("q")).join(s.select("scene", F.col("seq").alias("q")), ["scene", "q"])
-    return path.groupBy("scene", "seq").agg(F.round(F.avg(F.col("q") - F.col("seq")), 9).alias("lag"))
-
-
-@query("n1_numbers_between", "SELECT o_orderkey, list_sum(range(o_custkey % 10, o_custkey % 10 + 5))::BIGINT AS total FROM orders")
-def n1(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_custkey") % 10
-    return views.table(spark, d, "orders").select("o_orderkey", F.aggregate(F.sequence(k, k + 4), F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
-
-
 @query("r12_skeleton_nodes", f"WITH {PIX}, w AS (SELECT r, c FROM pix WHERE b > 100), n AS (SELECT a.r, a.c, count(b.r) AS n FROM w a LEFT JOIN w b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND NOT (a.r = b.r AND a.c = b.c) GROUP BY a.r, a.c) SELECT r, c, n FROM n WHERE n <> 2")
 def r12(spark: SparkSession, d: str) -> DataFrame:
     w = _pix(spark, d).filter("b > 100").select("row", "col")
@@ -233,3 +184,10 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     degree = pairs.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     keyed = w.withColumn("k", F.shiftleft(F.col("row").cast("long"), 32) + F.col("col").cast("long"))
     return _rc(keyed.join(degree, "k", "left").select("row", "col", F.coalesce("n", F.lit(0)).alias("n")).filter("n <> 2"))
+
+
+@query("n1_numbers_between", "WITH n AS (SELECT o_orderkey, round(o_custkey % 10 + 0.26, 1) AS a, o_custkey % 10 + 0.75 AS z FROM orders) SELECT o_orderkey, len(range((a * 10)::BIGINT, floor(z * 10)::BIGINT + 1)) AS n, a::DOUBLE AS first, round(floor(z * 10) / 10, 1)::DOUBLE AS last FROM n")
+def n1(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("o_custkey") % 10).cast("double")
+    n = views.table(spark, d, "orders").select("o_orderkey", S.numbers_between(k + 0.26, k + 0.75, 1).alias("x"))
+    return n.select("o_orderkey", F.size("x").alias("n"), F.element_at("x", 1).alias("first"), F.element_at("x", -1).alias("last"))

@@ -117,9 +117,9 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- raster -----------------------------------------------------------------------------------
-@query("r1_normalized_difference", f"WITH {BANDS} SELECT r, c, round({_ND}, 9) + 0.0 AS nd FROM bands WHERE b + b2 <> 0 OR b = 0")
+@query("r1_normalized_difference", f"WITH {BANDS} SELECT r, c, round({_ND}, 9) + 0.0 AS nd FROM bands")
 def r1(spark: SparkSession, d: str) -> DataFrame:
-    return _rc(_bands(spark, d).filter("b + b2 <> 0 or b = 0").select("row", "col", (F.round(S.normalized_difference(F.col("b"), F.col("b2")), 9) + F.lit(0.0)).alias("nd")))
+    return _rc(_bands(spark, d).select("row", "col", (F.round(S.normalized_difference(F.col("b"), F.col("b2")), 9) + F.lit(0.0)).alias("nd")))
 
 
 @query("r2_water_mask", f"WITH {BANDS}, m AS (SELECT r, {_ND} AS nd FROM bands) SELECT r, sum(CASE WHEN NOT isnan(nd) AND nd > 0.1 THEN 1 ELSE 0 END)::BIGINT AS water_cells, count(*) AS cells, round(sum(CASE WHEN NOT isnan(nd) AND nd > 0.1 THEN 1 ELSE 0 END) / count(*), 9) AS fraction FROM m GROUP BY r")
@@ -133,9 +133,12 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return _rc(_pix(spark, d).select("row", "col", S.to_uint8(F.col("b") / F.lit(1000.0)).alias("v")))
 
 
-@query("r5_fill_holes")
+_HOLES = f"{PIX}, l AS (SELECT r, c, r * 4294967296 + c AS k FROM pix WHERE NOT b > -60), reach(a, k, r, c) AS (SELECT k, k, r, c FROM l UNION SELECT reach.a, l.k, l.r, l.c FROM reach JOIN l ON abs(l.r - reach.r) + abs(l.c - reach.c) = 1), lab AS (SELECT r, c, min(a) AS label FROM reach GROUP BY r, c), sm AS (SELECT label FROM lab GROUP BY label HAVING count(*) < 6)"
+
+
+@query("r5_fill_holes", f"WITH RECURSIVE {_HOLES} SELECT p.r, p.c, CASE WHEN p.b > -60 OR (lab.r IS NOT NULL AND lab.label IN (SELECT label FROM sm)) THEN 1 ELSE 0 END AS water FROM pix p LEFT JOIN lab ON p.r = lab.r AND p.c = lab.c")
 def r5(spark: SparkSession, d: str) -> DataFrame:
-    return _rc(raster.fill_holes(_mask(spark, d, 0), 6))
+    return _rc(raster.fill_holes(_mask(spark, d, -60), 6))
 
 
 @query("r6_cloud_gate", f"WITH {PIX} SELECT sum((b > {LIMIT})::INT)::BIGINT AS water_cells, count(*) AS cells, round(sum((b > {LIMIT})::INT) / count(*), 9) AS fraction, NOT round(sum((b > {LIMIT})::INT) / count(*), 9) > 0.15 AS kept FROM pix")
@@ -156,7 +159,7 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
     return _rc(raster.largest_component(_water(spark, d)).select("row", "col", "label"))
 
 
-@query("r10_distance_transform", f"WITH {PIX}, w AS (SELECT * FROM pix WHERE b > {LIMIT}), z AS (SELECT * FROM pix WHERE NOT b > {LIMIT}) SELECT w.r, w.c, min((w.r - z.r) * (w.r - z.r) + (w.c - z.c) * (w.c - z.c)) AS d2 FROM w JOIN z ON z.r BETWEEN w.r - 12 AND w.r + 12 GROUP BY w.r, w.c")
+@query("r10_distance_transform", f"WITH {PIX}, w AS (SELECT * FROM pix WHERE b > {LIMIT}), z AS (SELECT * FROM pix WHERE NOT b > {LIMIT}) SELECT w.r, w.c, min((w.r - z.r) * (w.r - z.r) + (w.c - z.c) * (w.c - z.c)) AS d2 FROM w, z GROUP BY w.r, w.c")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     return _rc(raster.squared_distance(_mask(spark, d)))
 
@@ -179,13 +182,22 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return tiles.groupBy("tile").applyInPandas(run, "tile long, r long, c long")
 
 
-@query("r15_histogram_threshold")
-def r15(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = kernels.lowest_negative_minimum(pdf["b"].to_numpy(float))
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "threshold": [np.nan if low is None else low]})
+def smooth_sql(values: str, sigma: float) -> str:
+    """Gaussian smoothing of a list in SQL, mirrored at the ends."""
+    w = S.gaussian_weights(sigma)
+    r, n = len(w) // 2, f"len({values})"
+    at = f"(((i + k) % (2 * {n})) + 2 * {n}) % (2 * {n})"
+    taps = ", ".join(f"{x!r}::DOUBLE" for x in w)
+    return f"list_transform(range({n}), lambda i: list_sum(list_transform(range({-r}, {r + 1}), lambda k: ([{taps}])[k + {r + 1}] * {values}[CASE WHEN {at} < {n} THEN {at} ELSE 2 * {n} - 1 - {at} END + 1])))"
+
+
+_BINS = f"{PIX}, v AS (SELECT r // 64 AS tile, b FROM pix WHERE b <> 0), m AS (SELECT tile, min(b)::DOUBLE AS lo, max(b)::DOUBLE AS hi, count(*) AS n FROM v GROUP BY tile HAVING max(b) > min(b)), h AS (SELECT tile, least(63, floor((b - lo) * 64 / (hi - lo)))::BIGINT AS bin, count(*) AS k FROM v JOIN m USING (tile) GROUP BY 1, 2), f AS (SELECT m.tile, lo, hi, list(coalesce(k, 0) * 64 / (n * (hi - lo)) ORDER BY g.bin) AS dens FROM m CROSS JOIN (SELECT unnest(range(64)) AS bin) g LEFT JOIN h ON h.tile = m.tile AND h.bin = g.bin GROUP BY m.tile, lo, hi)"
 
-    return _pix(spark, d).withColumn("tile", F.floor(F.col("row") / 64)).groupBy("tile").applyInPandas(run, "tile long, threshold double")
+
+@query("r15_histogram_threshold", f"WITH {_BINS}, s AS (SELECT tile, lo, hi, {smooth_sql('dens', 3.0)} AS sm FROM f), u AS (SELECT tile, lo + (i + 0.5) * (hi - lo) / 64 AS mid, round(sm[i], 12) AS a, round(sm[i + 1], 12) AS b, round(sm[i + 2], 12) AS c FROM s, range(1, 63) AS t(i)) SELECT m.tile, round(max(mid), 6) AS threshold FROM m LEFT JOIN u ON u.tile = m.tile AND b < a AND b < c AND mid < 0 GROUP BY m.tile")
+def r15(spark: SparkSession, d: str) -> DataFrame:
+    tiles = _pix(spark, d).withColumn("scene", F.floor(F.col("row") / 64))
+    return raster.histogram_threshold(tiles, "b", 64, 3.0).select(F.col("scene").alias("tile"), F.round("threshold", 6).alias("threshold"))
 
 
 @query("k4_crop", f"WITH {PIX} SELECT r - 10 AS r, c - 5 AS c, b FROM pix WHERE r BETWEEN 10 AND 109 AND c BETWEEN 5 AND 24")
@@ -248,10 +260,11 @@ def g3_raw(spark: SparkSession, d: str) -> DataFrame:
     return s.select("scene", "seq", px.alias("px"), py.alias("py"))
 
 
-@query("g5_angle_between", f"WITH {SAM}, {GRAD}, a AS (SELECT scene, seq, dx, dy, lag(dx) OVER w AS px, lag(dy) OVER w AS py FROM g2 {W}) SELECT scene, seq, round(acos(greatest(-1, least(1, (dx * px + dy * py) / (sqrt(dx*dx + dy*dy) * sqrt(px*px + py*py))))), 5) AS angle FROM a WHERE px IS NOT NULL AND dx*dx + dy*dy > 0 AND px*px + py*py > 0")
+@query("g5_angle_between", f"WITH {SAM}, {GRAD}, a AS (SELECT scene, seq, dx, dy, coalesce(lag(dx) OVER w, 0) AS px, coalesce(lag(dy) OVER w, 0) AS py FROM g2 {W}) SELECT scene, seq, CASE WHEN (dx*dx + dy*dy) * (px*px + py*py) = 0 THEN 'nan'::DOUBLE ELSE round(acos(greatest(-1, least(1, (dx * px + dy * py) / (sqrt(dx*dx + dy*dy) * sqrt(px*px + py*py))))), 5) END AS angle FROM a")
 def g5(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("scene").orderBy("seq")
-    g = paths.steps(views.samples(spark, d)).withColumns({"px": F.lag("dx").over(w), "py": F.lag("dy").over(w)}).filter("px is not null and dx*dx + dy*dy > 0 and px*px + py*py > 0")
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
+    g = paths.steps(views.samples(spark, d)).withColumns({"px": before("dx"), "py": before("dy")})
     return g.select("scene", "seq", F.round(S.angle_between(F.col("dx"), F.col("dy"), F.col("px"), F.col("py")), 5).alias("angle"))
 
 
@@ -325,11 +338,6 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
     return paths.steps(views.samples(spark, d)).select("scene", "seq", F.round("s0", 3).alias("s"))
 
 
-@query("b5_widths_along_path", f"WITH {SAM}, {GRAD} SELECT scene, seq, round(sum(ds) OVER (PARTITION BY scene ORDER BY seq ROWS UNBOUNDED PRECEDING), 3) AS s, round(y * 0.4 + y * 0.6, 6) AS w FROM g2")
-def b5(spark: SparkSession, d: str) -> DataFrame:
-    return paths.steps(views.samples(spark, d)).select("scene", "seq", F.round("s", 3).alias("s"), F.round(F.col("y") * 0.4 + F.col("y") * 0.6, 6).alias("w"))
-
-
 @query("b11_curvature", f"WITH {CURV} SELECT scene, seq, round(curvature, 9) + 0.0 AS curvature FROM k")
 def b11(spark: SparkSession, d: str) -> DataFrame:
     return paths.curvature(views.samples(spark, d)).select("scene", "seq", (F.round("curvature", 9) + F.lit(0.0)).alias("curvature"))
@@ -359,9 +367,9 @@ def b18(spark: SparkSession, d: str) -> DataFrame:
     return paths.median5(views.samples(spark, d), "y").select("scene", "seq", "median5")
 
 
-@query("t21_high_variance", f"WITH {SAM}, v AS (SELECT scene, seq, var_pop(y) OVER (PARTITION BY scene ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS va FROM sam), m AS (SELECT scene, quantile_cont(va, 0.5) AS mid FROM v GROUP BY scene), h AS (SELECT v.scene, seq, CASE WHEN va > mid * 1.2 THEN 1 ELSE 0 END AS high FROM v JOIN m USING (scene)), t AS (SELECT *, CASE WHEN coalesce(lag(high) OVER w, 0) <> high THEN 1 ELSE 0 END AS turn FROM h {W}), u AS (SELECT *, sum(turn) OVER (PARTITION BY scene ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM t) SELECT scene, run::BIGINT AS run, min(seq) AS first, max(seq) AS last FROM u WHERE high = 1 GROUP BY scene, run")
+@query("t21_high_variance", f"WITH {SAM}, v AS (SELECT scene, seq, var_pop(y) OVER (PARTITION BY scene ORDER BY seq ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) AS va FROM sam), l AS (SELECT scene, list(va ORDER BY seq) AS vs FROM v GROUP BY scene), g AS (SELECT scene, {smooth_sql('vs', 2.0)} AS sm FROM l), q AS (SELECT scene, i - 1 AS seq, round(sm[i], 9) AS va FROM g, LATERAL (SELECT unnest(range(1, len(sm) + 1)) AS i)), m AS (SELECT scene, quantile_cont(va, 0.5) AS mid FROM q GROUP BY scene), h AS (SELECT q.scene, seq, CASE WHEN va > round(mid * 1.2, 9) THEN 1 ELSE 0 END AS high FROM q JOIN m ON q.scene = m.scene), t AS (SELECT *, CASE WHEN coalesce(lag(high) OVER w, 0) <> high THEN 1 ELSE 0 END AS turn FROM h {W}), r AS (SELECT *, sum(turn) OVER (PARTITION BY scene ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM t) SELECT scene, run::BIGINT AS run, min(seq) AS first, max(seq) AS last FROM r WHERE high = 1 GROUP BY scene, run")
 def t21(spark: SparkSession, d: str) -> DataFrame:
-    return paths.high_variance(views.samples(spark, d), "y", 10, 1.2)
+    return paths.high_variance(views.samples(spark, d), "y", 20, 1.2)
 
 
 @query("t20_migration", f"WITH {SAM}, t AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS tx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS ty FROM sam {W}) SELECT t.scene, t.seq, round((-ty * (o.x - t.x) + tx * (o.y + 10 - t.y)) / sqrt(tx * tx + ty * ty), 4) AS distance FROM t JOIN sam o ON o.scene = t.scene AND o.seq = t.seq + 1")
@@ -409,12 +417,7 @@ def h34(spark: SparkSession, d: str) -> DataFrame:
 @query("h35_degree_exceedance", f"WITH {DENSE}, g AS (SELECT u AS node, count(*) AS n FROM e GROUP BY u), k AS (SELECT *, row_number() OVER (ORDER BY n, node) AS nr, count(*) OVER () AS c FROM g) SELECT node, n, round(1 - nr / c::DOUBLE, 9) AS exceedance FROM k")
 def h35(spark: SparkSession, d: str) -> DataFrame:
     g = views.edges(spark, d).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"))
-    # ranks from counts of equal degrees: only nodes of one degree share a window
-    by = g.groupBy("n").agg(F.count("*").alias("k"))
-    before = by.alias("a").join(by.alias("b"), F.col("b.n") < F.col("a.n"), "left").groupBy(F.col("a.n").alias("n")).agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("before"))
-    total = g.agg(F.count("*").alias("c"))
-    ranked = g.join(before, "n").withColumn("nr", F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("node"))).crossJoin(F.broadcast(total))
-    return ranked.select("node", "n", F.round(1 - F.col("nr") / F.col("c"), 9).alias("exceedance"))
+    return graph.exceedance(g).select("node", "n", F.round("exceedance", 9).alias("exceedance"))
 
 
 @query("h5_remove_dead_ends")
@@ -442,19 +445,14 @@ def h29(spark: SparkSession, d: str) -> DataFrame:
     return graph.matching_subpaths(a, b).select("path_a", "path_b")
 
 
-@query("h30_splice_differences", f"WITH {DATED} SELECT u, v, 1 AS side FROM a EXCEPT SELECT u, v, 1 FROM b UNION ALL (SELECT u, v, 2 FROM b EXCEPT SELECT u, v, 2 FROM a)")
-def h30(spark: SparkSession, d: str) -> DataFrame:
-    a, b = graph.spliced(*_dated(spark, d))
-    return a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(2)))
-
-
 # ---- time -------------------------------------------------------------------------------------
 def _rects(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("grp").orderBy("x0", "x1", "y0", "d")
     return views.rects(spark, d).withColumn("id", F.row_number().over(w) + F.col("grp") * 1000000)
 
 
-PAIRS = f"{RECT}, {RID}, pr AS (SELECT a.grp, a.id AS i, b.id AS j, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common, (a.x1 - a.x0) * (a.y1 - a.y0) AS area_i, (b.x1 - b.x0) * (b.y1 - b.y0) AS area_j FROM rid a JOIN rid b ON a.grp = b.grp AND a.id < b.id AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND abs(a.d - b.d) <= 730), io AS (SELECT *, round(common / (area_i + area_j - common)::DOUBLE, 9) AS iou, round(common / least(area_i, area_j)::DOUBLE, 9) AS iou_min FROM pr)"
+STRIPS = "st AS (SELECT *, unnest(range(x0 // 64, x1 // 64 + 1)) AS strip FROM rid)"
+PAIRS = f"{RECT}, {RID}, {STRIPS}, pr AS (SELECT a.grp, a.id AS i, b.id AS j, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common, (a.x1 - a.x0) * (a.y1 - a.y0) AS area_i, (b.x1 - b.x0) * (b.y1 - b.y0) AS area_j FROM st a JOIN st b ON a.grp = b.grp AND a.strip = b.strip AND a.id < b.id WHERE greatest(a.x0, b.x0) // 64 = a.strip AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND abs(a.d - b.d) <= 730), io AS (SELECT *, round(common / (area_i + area_j - common)::DOUBLE, 9) AS iou, round(common / least(area_i, area_j)::DOUBLE, 9) AS iou_min FROM pr)"
 
 
 @query("t1_t2_iou", f"WITH {PAIRS} SELECT i, j, iou, iou_min FROM io")

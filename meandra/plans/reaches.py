@@ -45,11 +45,7 @@ def r4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r8_solidity")
 def r8(spark: SparkSession, d: str) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "cells": [len(pdf)], "solidity": [kernels.solidity(pdf["row"].to_numpy(), pdf["col"].to_numpy())]})
-
-    cells = raster.label(_mask(spark, d, 100).filter("water = 1").select("row", "col"))
-    return cells.groupBy("label").applyInPandas(run, "label long, cells long, solidity double")
+    return raster.by_solidity(raster.label(_mask(spark, d, 100).filter("water = 1").select("row", "col")), 0.7)
 
 
 @query("k11_svg_path", f"WITH {SAM} SELECT scene, 'M' || string_agg(floor(x / 1000)::BIGINT || ' ' || floor(y)::BIGINT, ' L' ORDER BY seq) || ' Z' AS path FROM sam GROUP BY scene")
@@ -193,4 +189,5 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e5_water_of_scene")
 def e5(spark: SparkSession, d: str) -> DataFrame:
-    return _rc(mapping.water_of_scene(_pix(spark, d), F.col("b"), 150, 6))
+    cells = _pix(spark, d).select(F.floor(F.col("row") / 64).alias("scene"), (F.col("row") % 64).alias("row"), "col", "b")
+    return _rc(mapping.water_of_scenes(cells, F.col("b"), 150, 6))

@@ -1,8 +1,10 @@
 import pytest
 
 import __spark_entry__ as entry
+import meandra.plans.lines  # noqa: F401
 import meandra.plans.more  # noqa: F401
 import meandra.plans.reaches  # noqa: F401
+import meandra.plans.wider  # noqa: F401
 from meandra.plans.queries import ORACLES, QUERIES
 
 
