@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The model file is compiled once: the normaliser (space to meta symbol, dummy prefix), the pieces
-(a trie, the transducer from characters to ids) and byte fallback (one arc a byte for characters
-without a piece). A word composed with them is a lattice: states are (position, last piece), arcs
+The model file is compiled once: the normaliser (a transducer given as a double-array trie with the
+strings it writes, then white space to meta symbols), the pieces (a trie, the transducer from
+characters to ids), user-defined pieces, which are cut out first, and byte fallback (one arc a byte
+for characters without a piece). A word composed with them is a lattice: states are (position, last piece), arcs
 are pieces. The answer is its shortest path in the tropical semiring (min, +).
 
 Arc weights follow the model's kind. A unigram model gives -log p of the piece. A BPE model has
@@ -11,15 +12,18 @@ are what merging would make of their joined characters. So an arc weighs 0 if th
 piece, piece) keeps this, else infinity, and one finite path is left.
 
 Words repeat, and no piece of a BPE or unigram vocabulary spans the start of a word, so lattices
-are solved for each distinct word of a task once (a bounded cache).
+are solved for each distinct word of a batch once, with a bounded cache between batches. The words
+of a batch are solved together: arcs of all words are found by hashes of their characters in the
+trie, then one step for each position takes every word's state on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -34,10 +38,12 @@ META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words that a worker remembers: those of the last two fills of half the size.
-CACHE = 1 << 18
-#: A word over this many characters is cut out of the cache, not shortened.
-LONG = 64
+#: Words that a task remembers at most; a longer word than LONG characters is not remembered, nor shortened.
+CACHE, LONG = 1 << 17, 64
+#: Pairs of pieces that a worker remembers at most (nine bytes each), and characters whose lattices are solved together.
+PAIRS, TOGETHER = 1 << 22, 1 << 17
+_NONE, _START = -(1 << 40), -1
+_BASE = 0x9E3779B97F4A7C15
 _INF = float("inf")
 
 
@@ -64,23 +70,52 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
-class _Known(dict):
-    """Ids of words as little-endian bytes, worked out when first asked for. Frequent words outlive a refill."""
-
-    def __init__(self, solve: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.solve, self.older = solve, {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.solve(word)
-        if len(word) <= LONG:
-            if 2 * len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[word] = found
-        return found
+class Rules:
+    """The rewriting part of a normaliser: at each place the longest rule that fits, else the character as it is."""
+
+    def __init__(self, blob: bytes) -> None:
+        size = int.from_bytes(blob[:4], "little")
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
+        self.strings = blob[4 + size :]
+        self.plain = re.compile("[%s]*" % "".join(re.escape(chr(c)) for c in range(1, 128) if self._first_byte_free(c)))
+
+    def _first_byte_free(self, byte: int) -> bool:
+        """Whether no rule begins with this byte."""
+        at = self._next(self.units[0]) ^ byte
+        return at >= len(self.units) or self.units[at] & 0x800000FF != byte
+
+    @staticmethod
+    def _next(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def longest(self, data: bytes, at: int) -> tuple[int, bytes | None]:
+        """(bytes read, what they become) of the longest rule at a place; (0, None) without one."""
+        units, node, best = self.units, self._next(self.units[0]), (0, None)
+        for i in range(at, len(data)):
+            node ^= data[i]
+            if node >= len(units) or units[node] & 0x800000FF != data[i]:
+                break
+            unit = units[node]
+            node ^= self._next(unit)
+            if unit >> 8 & 1:
+                start = units[node] & 0x7FFFFFFF
+                best = i + 1 - at, self.strings[start : self.strings.index(b"\0", start)]
+        return best
+
+    def apply(self, text: str) -> list[str]:
+        """What each rule or character becomes, in order; a stretch that no rule can begin in stays in one piece."""
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            n, new = self.longest(data, at)
+            if new is not None:
+                out.append(new.decode("utf-8", "replace"))
+                at += n
+                continue
+            lead = data[at]
+            n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            out.append(data[at : at + n].decode("utf-8", "replace"))
+            at += n
+        return out
 
 
 @dataclass
@@ -90,11 +125,14 @@ class PieceModel:
     types: list[int]
     kind: int
     dummy_prefix: bool
+    rules: Rules | None = None
+    squeeze: bool = False
     ids: dict[str, int] = field(repr=False, default_factory=dict)
 
     def __post_init__(self) -> None:
-        usable = (NORMAL, USER)
-        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t in usable}
+        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == NORMAL}
+        self.user = {p: struct.pack("<i", i) for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == USER}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.user, key=lambda p: (-len(p), p)))) + ")") if self.user else None
         # the piece trie, flat: each prefix of a piece, with its id or -1
         self.trie = {p[:i]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types)) if t == BYTE}
@@ -104,13 +142,15 @@ class PieceModel:
         # runs of meta symbols may be pieces, but no piece goes on with one after another character
         self.splits = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self._pairs: dict[int, dict[int, bool]] = {}
-        self._words = _Known(self._word)
+        self._words: dict[str, bytes] = {}
+        self._pair_keys, self._pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+        self._find: tuple[np.ndarray, np.ndarray] | None = None
         unknown = " \u2047 ".encode()
         self._out = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if t == CONTROL else unknown if i == self.unknown else p.replace(META, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types))]
 
     @classmethod
     def load(cls, data: bytes) -> PieceModel:
-        pieces, scores, types, kind, dummy = [], [], [], UNIGRAM, True
+        pieces, scores, types, kind, dummy, rules, squeeze = [], [], [], UNIGRAM, True, None, True
         for number, value in _fields(data):
             if number == 1:
                 f = dict(_fields(value))
@@ -121,15 +161,31 @@ class PieceModel:
                 kind = dict(_fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 f = dict(_fields(value))
-                if f.get(2) or f.get(4, 1):
-                    raise ValueError("only models with the identity normaliser that keep white space are supported")
-                dummy = bool(f.get(3, 1))
+                if not f.get(5, 1):
+                    raise ValueError("models that do not escape white space are not supported")
+                dummy, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+                rules = Rules(f[2]) if f.get(2) else None
         if kind not in (UNIGRAM, BPE):
             raise ValueError("neither a unigram nor a BPE model")
-        return cls(pieces, scores, types, kind, dummy)
+        return cls(pieces, scores, types, kind, dummy, rules, squeeze)
 
     # -- normaliser ---------------------------------------------------------------------------
     def normalise(self, text: str) -> str:
+        """The text after the normaliser's rules, spaces squeezed if the model says so, a prefix, and meta symbols for spaces.
+
+        User-defined pieces are no matter of the rules.
+        """
+        parts = [text]
+        if self.rules is not None:
+            parts = []
+            for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+                if k % 2 or self.rules.plain.fullmatch(part):
+                    parts.append(part)
+                else:
+                    parts += self.rules.apply(part)
+        text = "".join(parts)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
         return (META if self.dummy_prefix and text else "") + text.replace(" ", META)
 
     # -- arcs ---------------------------------------------------------------------------------
@@ -242,8 +298,12 @@ class PieceModel:
         return tuple(reversed(out))
 
     def _word(self, word: str) -> bytes:
+        return self._packed((self.kind == BPE and self._lone_path(word)) or self._path(word))
+
+    def _packed(self, path: Iterable[int]) -> bytes:
+        """Ids of a path as bytes; characters without a piece become byte pieces, or one unknown piece for a run of them."""
         out: list[int] = []
-        for k in (self.kind == BPE and self._lone_path(word)) or self._path(word):
+        for k in path:
             if k >= 0:
                 out.append(k)
             elif self.bytes:
@@ -252,30 +312,197 @@ class PieceModel:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}i", *out)
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all prefixes of pieces, sorted, and the id of each, -1 where it is no piece."""
+        if self._find is None:
+            names = list(self.trie)
+            sums, down = _sums("".join(names))
+            ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+            starts = np.concatenate(([0], ends[:-1]))
+            keys, ids = (sums[ends] - sums[starts]) * down[starts], np.fromiter(self.trie.values(), np.int64, len(names))
+            order = np.argsort(keys)
+            self._find = keys[order], ids[order]
+        return self._find
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_fits() for many pairs; what is worked out is kept in sorted arrays."""
+        keys = a * len(self.pieces) + b
+        at = np.minimum(np.searchsorted(self._pair_keys, keys), max(len(self._pair_keys) - 1, 0))
+        fresh = np.unique(keys[self._pair_keys[at] != keys]) if len(self._pair_keys) else np.unique(keys)
+        if len(fresh):
+            if len(self._pair_keys) + len(fresh) > PAIRS:
+                fresh = np.unique(keys)
+                self._pair_keys, self._pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+            n, pieces = len(self.pieces), self.pieces
+            found = np.fromiter((self.merge(pieces[x // n] + pieces[x % n]) == [x // n, x % n] for x in fresh.tolist()), bool, len(fresh))
+            every = np.concatenate((self._pair_keys, fresh))
+            order = np.argsort(every, kind="stable")
+            self._pair_keys, self._pair_fits = every[order], np.concatenate((self._pair_fits, found))[order]
+            at = np.searchsorted(self._pair_keys, keys)
+        return self._pair_fits[at]
+
+    def _solve(self, words: list[str]) -> list[bytes]:
+        """The lattices of many words at once, as _lone_path() solves one: the words' packed ids."""
+        joined = "".join(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        starts = ends - size
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word_of = np.repeat(np.arange(len(words)), size)
+        stop = ends[word_of]
+        sums, down = _sums(joined)
+        keys, ids = self._table()
+        # arcs: where a prefix of a piece begins, one character more is tried
+        at, length, arcs = np.arange(len(codes)), 1, []
+        while len(at):
+            h = (sums[at + length] - sums[at]) * down[at]
+            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            known = keys[spot] == h
+            piece = np.where(known, ids[spot], -1)
+            whole = piece >= 0
+            arcs.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
+            if length == 1:
+                arcs.append((at[~whole], np.ones(int((~whole).sum()), np.int64), -2 - codes[at[~whole]]))
+            at = at[known]
+            length += 1
+            at = at[at + length <= stop[at]]
+        start, long, piece = (np.concatenate(x) for x in zip(*arcs))
+        # a node for each place between characters of a word; arcs in the order of their place in it
+        place = start - starts[word_of[start]]
+        order = np.argsort(place, kind="stable")
+        start, long, piece, place = start[order], long[order], piece[order], place[order]
+        source = start + word_of[start]
+        target = source + long
+        last = np.full(len(codes) + len(words), _NONE)
+        back = np.zeros(len(last), np.int64)
+        first = starts + np.arange(len(words))
+        last[first] = _START
+        cuts = np.searchsorted(place, np.arange(int(place.max()) + 2)) if len(place) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            a, t = last[source[lo:hi]], target[lo:hi]
+            go = np.flatnonzero((a != _NONE) & (last[t] == _NONE))
+            a, k = a[go], piece[lo:hi][go]
+            both = np.flatnonzero((a >= 0) & (k >= 0))
+            go = np.delete(go, both[~self._fit(a[both], k[both])]) if len(both) else go
+            last[t[go]] = piece[lo:hi][go]
+            back[t[go]] = source[lo:hi][go]
+        # a word that is a piece is that piece
+        whole = (place == 0) & (long == size[word_of[start]]) & (piece >= 0)
+        last[target[whole]] = piece[whole]
+        back[target[whole]] = source[whole]
+        # all words' paths backwards, a piece of each at a time
+        end = first + size
+        reached = last[end] != _NONE
+        now, who, found = end[reached], np.flatnonzero(reached), []
+        while len(now):
+            on = now != first[who]
+            now, who = now[on], who[on]
+            found.append((who, last[now]))
+            now = back[now]
+        who = np.concatenate([w for w, _ in found]) if found else np.empty(0, np.int64)
+        path = np.concatenate([k for _, k in found]) if found else np.empty(0, np.int64)
+        turn = np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
+        order = np.lexsort((-turn, who))
+        who, path = who[order], path[order]
+        cuts = np.searchsorted(who, np.arange(len(words) + 1)).tolist()
+        plain = np.ones(len(words), bool)
+        plain[who[path < 0]] = False
+        packed = path.astype("<i4").tobytes()
+        out = []
+        for i, (lo, hi, sure) in enumerate(zip(cuts[:-1], cuts[1:], (plain & reached).tolist())):
+            out.append(packed[4 * lo : 4 * hi] if sure else self._packed(path[lo:hi].tolist()) if reached[i] else self._packed(self._path(words[i])))
+        return out
+
+    def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of these words; short ones are remembered."""
+        known, asked = self._words, set(words) - self.user.keys()
+        fresh = [w for w in asked if w not in known]
+        if len(known) + len(fresh) > CACHE:
+            known.clear()
+            fresh = list(asked)
+        extra: dict[str, bytes] = {}
+        if self.kind == UNIGRAM:
+            found = map(self._word, fresh)
+            for w, ids in zip(fresh, found):
+                (known if len(w) <= LONG else extra)[w] = ids
+        else:
+            lo = 0
+            while lo < len(fresh):
+                hi, chars = lo, 0
+                while hi < len(fresh) and (hi == lo or chars + len(fresh[hi]) <= TOGETHER):
+                    chars += len(fresh[hi])
+                    hi += 1
+                for w, ids in zip(fresh[lo:hi], self._solve(fresh[lo:hi])):
+                    (known if len(w) <= LONG else extra)[w] = ids
+                lo = hi
+        return known if not extra and not self.user else known | extra | self.user
+
     def forget(self) -> None:
-        """Drop what was worked out for words and pairs: workers outlive their tasks."""
-        self._words = _Known(self._word)
+        """Drop what was worked out for words: workers outlive their tasks. Pairs of pieces stay, in bounded arrays."""
+        self._words.clear()
         self._pairs.clear()
 
     def words(self, text: str) -> list[str]:
+        """Parts of a normalised text that are solved alone: user-defined pieces, and the words between them."""
+        if self.cut is not None:
+            own = self.user
+            return [w for part in self.cut.split(text) if part for w in ([part] if part in own else self._plain_words(part))]
+        return self._plain_words(text)
+
+    def _plain_words(self, text: str) -> list[str]:
         if not self.splits:
-            return [text]
+            return [text] if text else []
         return _WORD.findall(text)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers; none for an empty one."""
-        return b"".join(map(self._words.__getitem__, self.words(self.normalise(text))))
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """encode_bytes() of each text, in groups of some hundred thousand words that are looked up together."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        count = 0
+        for i, text in enumerate(texts):
+            held.append(self.words(self.normalise(text)))
+            count += len(held[-1])
+            if count > CACHE // 4 or i == len(texts) - 1:
+                known = self._learn(itertools.chain.from_iterable(held))
+                out += [b"".join(map(known.__getitem__, words)) for words in held]
+                held, count = [], 0
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; none for an empty one."""
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, byte pieces read as UTF-8 (bad bytes become U+FFFD), one dummy space taken off."""
-        if ids and not 0 <= min(ids) <= max(ids) < len(self._out):
-            raise ValueError("an id is not in the model")
+    def decode(self, ids: list[int | None]) -> str:
+        """The text of ids: pieces joined, byte pieces read as UTF-8 (bad bytes become U+FFFD), one dummy space taken off.
+
+        An id that is not in the model reads as the unknown piece does; a null one as nothing.
+        """
+        try:
+            if ids and not 0 <= min(ids) <= max(ids) < len(self._out):
+                raise TypeError
+        except TypeError:
+            ids = [i if 0 <= i < len(self._out) else self.unknown for i in ids if i is not None]
         text = b"".join([self._out[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return text[1:] if (self.dummy_prefix or self.squeeze) and text.startswith(" ") else text
+
+
+def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums that hash any span of a text's characters, and the factors that move a span's sum to its start."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    codes = (codes ^ (codes << np.uint64(13))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    up, down = _powers(1 << max(10, len(codes).bit_length()))
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)], dtype=np.uint64))), down
+
+
+@lru_cache(maxsize=4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 #: A word with the meta symbols before it; at the end of a text, meta symbols alone.
@@ -298,7 +525,10 @@ def read_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, data: bytes) -> DataFrame:
-    """`docs` with ids array<int> (null text: null; empty text: empty). Replaces a column of that name."""
+    """`docs` with ids array<int> (null text: null; empty text: empty). Replaces a column of that name.
+
+    Whole texts are encoded, however long. Repeated rows come back repeated; rows without a doc_id are coded like any.
+    """
     rows = docs.drop("ids")
     at = rows.columns.index("text")
     names = rows.columns + ["ids"]
@@ -306,7 +536,9 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(data)
         for batch in short(batches):
-            ids = [None if t is None else np.frombuffer(model.encode_bytes(t), "<i4") for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            coded = iter(model.encode_many([t for t in texts if t is not None]))
+            ids = [None if t is None else np.frombuffer(next(coded), "<i4") for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names)
         model.forget()
         release()
@@ -315,7 +547,10 @@ def encode(docs: DataFrame, data: bytes) -> DataFrame:
 
 
 def decode(rows: DataFrame, data: bytes) -> DataFrame:
-    """`rows` with text made from ids (null ids: null text). Replaces a column of that name."""
+    """`rows` with text made from ids (null ids: null text; see PieceModel.decode for bad ids). Replaces a column of that name.
+
+    Repeated rows come back repeated.
+    """
     kept = rows.drop("text")
     at = kept.columns.index("ids")
     names = kept.columns + ["text"]
@@ -340,12 +575,13 @@ def digests(docs: DataFrame, data: bytes) -> DataFrame:
         model = model_of(data)
         for batch in short(batches):
             n, sha, same = [], [], []
-            for raw in as_bytes(batch.column(1)):
-                if raw is None:
+            texts = [None if raw is None else raw.decode("utf-8", "replace") for raw in as_bytes(batch.column(1))]
+            coded = iter(model.encode_many([t for t in texts if t is not None]))
+            for text in texts:
+                if text is None:
                     n.append(None), sha.append(None), same.append(None)
                     continue
-                text = raw.decode("utf-8", "replace")
-                packed = model.encode_bytes(text)
+                packed = next(coded)
                 n.append(len(packed) // 4)
                 sha.append(hashlib.sha256(packed).hexdigest())
                 same.append(model.decode(np.frombuffer(packed, "<i4").tolist()) == text)
