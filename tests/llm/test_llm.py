@@ -3,6 +3,7 @@ import html as entities
 import json
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -218,6 +219,57 @@ def test_pieces_equal_the_library(spark, sf):
         assert own._path(own.words(own.normalise(t))[0] if t else "") is not None
 
 
+def field(number, value):
+    """A field of a protocol-buffer message."""
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(kind, words, rules=b"", user=(), squeeze=1, fallback=True):
+    """A model that was not trained: its pieces are given, with scores by their rank."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(u, 0.0, 4) for u in user]
+    rows += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    rows += [(w, -1.0 - 0.37 * i, 1) for i, w in enumerate(words)]
+    pieces_ = b"".join(field(1, field(1, p) + field(2, s) + field(3, t)) for p, s, t in rows)
+    trainer = field(3, kind) + (field(35, 1) if fallback else b"")
+    return pieces_ + field(2, trainer) + field(3, (field(2, rules) if rules else b"") + field(3, 1) + field(4, squeeze) + field(5, 1))
+
+
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc"])
+def test_other_models_equal_the_library(kind, fallback, rule):
+    names = ["▁", "a", "b", "c", "d", "e", "ab", "▁a", "bc", "▁ab", "cd", "abc", "▁abc", "de", "cde", "é", "▁é", "f", "i", "fi", "ガ", "1"]
+    rules = b""
+    if rule:
+        spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()
+        rules = dict(pieces._fields(dict(pieces._fields(spec))[3]))[2]
+    for squeeze in (0, 1):
+        data = model_file(kind, names, rules, user=("[X]", "<tag>"), squeeze=squeeze, fallback=fallback)
+        lib, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.PieceModel.load(data)
+        texts = ["", " ", "abc abcde", "  a  b ", "cdeabc cd e", "xyz abc xx", "a[X]bc <tag>", "é ab", "ﬁ ab ｶﾞ ①", "ab\tcd\u00a0e", "aabbccddee" * 30, "[X][X]", "ab\n\nab", "e\u0301 a"]
+        for t in texts:
+            assert own.encode(t) == lib.encode(t), (t, squeeze)
+            assert own.decode(own.encode(t)) == lib.decode(lib.encode(t)), (t, squeeze)
+
+
+def test_bad_ids_have_an_answer(spark):
+    model = pieces.PieceModel.load(pieces.read_model(queries.PIECE_MODEL))
+    ids = model.encode("so it goes")
+    assert model.decode([*ids, 10**6, None, -5]) == "so it goes \u2047  \u2047 "
+    assert model.decode([None]) == ""
+
+
 def test_piece_frames_round_trip(spark):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "c"), (1, "a b")]
     data = pieces.read_model(queries.PIECE_MODEL)
