@@ -62,11 +62,15 @@ def _held(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
+def _none() -> Column:
+    return F.array().cast("array<struct<h:bigint,at:int>>")
+
+
 def _windows(words: Column, width: int, literal: bool = False) -> Column:
     """(h, at) of each window of `width` words; literal windows have hashes of their own."""
     at = F.sequence(F.lit(0), F.size(words) - width)
     h = F.transform(at, lambda i: F.struct(F.xxhash64(F.lit(-width if literal else width), *(words[i + k] for k in range(width))).alias("h"), i.alias("at")))
-    return F.when(F.size(words) >= width, h).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+    return F.when(F.size(words) >= width, h).otherwise(_none())
 
 
 def _item_windows(items: DataFrame, literal: bool) -> DataFrame:
@@ -84,7 +88,8 @@ def _item_windows(items: DataFrame, literal: bool) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, matched, windows): the items that documents hold, each pair once.
 
-    matched of the item's `windows` windows are in the document, at least `share` of them.
+    matched of the item's `windows` windows are in the document, at least `share` of them. An item of
+    fewer than WINDOW words, which may stand anywhere by chance, is held by a text of just these words only.
     Null or wordless texts hold nothing and are in nothing. Rows without doc_id or item_id take
     no part. Repeated rows count once; items or documents that share an id are judged together.
     Other columns are ignored. Empty tables give no rows.
@@ -97,7 +102,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     widths = [WINDOW, *(r["n"] for r in _short_widths(benchmark).collect())]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     words = _held(_held(texts, "words", template(valued(F.col("text")))), "bare", bare(F.col("text"))).drop("text")
-    each = F.concat(*(_windows(F.col(c), w, c == "bare") for c in ("words", "bare") for w in widths))
+    fits = lambda c, w: _windows(F.col(c), w, c == "bare") if w == WINDOW else F.when(F.size(c) == w, _windows(F.col(c), w, c == "bare")).otherwise(_none())
+    each = F.concat(*(fits(c, w) for c in ("words", "bare") for w in widths))
     met = words.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.h", "w.at")
     met = cut(met.join(sized(items.select("h").distinct()), "h", "left_semi"))
 
