@@ -98,3 +98,16 @@ def banks(cells: DataFrame, ends: DataFrame) -> DataFrame:
 
     found = cells.join(ends, "scene").groupBy("scene").applyInPandas(run, "scene long, side long, row double, col double")
     return found.withColumn("side", F.when(F.col("side") > 0, "left").when(F.col("side") < 0, "right").otherwise("end"))
+
+
+def smooth_centerlines(cells: DataFrame, ends: DataFrame, step: float = 25.0, residual: float = 1e5, least: float = 0.0, pixel: float = 30.0) -> DataFrame:
+    """(scene, seq, x, y): centerlines in ground units, smoothed and resampled about every `step`; scenes with a shorter one than `least` give no rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf.sort_values("seq")
+        x, y = (kernels.savgol(p[c].to_numpy(float) * pixel, 21) for c in ("col", "row"))
+        x, y = kernels.smoothing_curve(x, y, step, residual)
+        keep = float(np.hypot(np.diff(x), np.diff(y)).sum()) >= least
+        return pd.DataFrame({"scene": p["scene"].iloc[0], "seq": np.arange(len(x)), "x": x, "y": y})[: len(x) if keep else 0]
+
+    return centerlines(cells, ends).groupBy("scene").applyInPandas(run, "scene long, seq long, x double, y double")

@@ -176,3 +176,12 @@ def width_and_curvature(points: DataFrame, step: float, residual: float, window:
         return pd.DataFrame({"scene": pdf["scene"].iloc[0], "seq": np.arange(len(sx)), "x": sx, "y": sy, "s": s, "width": width[near], "curvature": c})
 
     return points.groupBy("scene").applyInPandas(run, "scene long, seq long, x double, y double, s double, width double, curvature double")
+
+
+def centroids(points: DataFrame) -> DataFrame:
+    """(scene, x, y): centroid of each closed ring; a ring without area gives no row."""
+    whole = _w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    p = points.withColumns({"nx": F.coalesce(F.lead("x").over(_w()), F.first("x").over(whole)), "ny": F.coalesce(F.lead("y").over(_w()), F.first("y").over(whole))})
+    k = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
+    g = p.groupBy("scene").agg(F.sum(k).alias("a"), F.sum((F.col("x") + F.col("nx")) * k).alias("sx"), F.sum((F.col("y") + F.col("ny")) * k).alias("sy"))
+    return g.filter("a <> 0").select("scene", (F.col("sx") / (3 * F.col("a"))).alias("x"), (F.col("sy") / (3 * F.col("a"))).alias("y"))

@@ -98,3 +98,10 @@ def rook_nodes(cells: DataFrame) -> DataFrame:
     across = cells.select("label", sides.alias("p")).select("label", "p.row", "p.col").join(cells.select("row", "col", F.col("label").alias("other")), ["row", "col"], "left")
     outer = across.filter("other is null or other <> label").groupBy("label").agg(F.count("*").alias("perimeter"), F.countDistinct("other").alias("neighbours"))
     return area.join(outer, "label", "left").select("label", "area", "row", "col", F.coalesce("perimeter", F.lit(0)).alias("perimeter"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def utm_rings(rings: DataFrame, width: float, height: float, left: float, upper: float, dx: float, dy: float) -> DataFrame:
+    """Rings (node, x, y in cells) in ground units; nodes 0 and 1, the outer ones, are first cut to the image, corner by corner."""
+    outer = F.col("node") < 2
+    cut = lambda c, most: F.when(outer, F.greatest(F.lit(0.0), F.least(F.lit(most), F.col(c)))).otherwise(F.col(c))
+    return rings.withColumns({"x": F.lit(left) + cut("x", width) * dx, "y": F.lit(upper) + cut("y", height) * dy})

@@ -141,3 +141,16 @@ def by_solidity(cells: DataFrame, below: float = 0.2) -> DataFrame:
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "cells": [n], "solidity": [share]})
 
     return ends.groupBy("label").applyInPandas(run, "label long, cells long, solidity double").filter(F.col("solidity") < below)
+
+
+def bilinear(cells: DataFrame, scale: float, value: str = "b") -> DataFrame:
+    """(row, col, value): a raster of int(rows * scale) by int(cols * scale) cells, each between the four nearest ones; edges repeat."""
+    extent = cells.agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))  # one row
+    size = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("long")
+    lines = extent.filter((size("_h") > 0) & (size("_w") > 0)).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), size("_h") - 1)))
+    at = lambda c: (F.col(c) + 0.5) / F.lit(scale) - 0.5
+    near = lambda pos, last: F.array(*(F.struct(F.greatest(F.lit(0), F.least(F.col(last) - 1, F.floor(pos) + k)).cast("long").alias("i"), (F.abs(1 - k - (pos - F.floor(pos)))).alias("w")) for k in (0, 1)))
+    rows = lines.withColumn("_r", F.explode(near(at("row"), "_h"))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), size("_w") - 1)))
+    both = rows.withColumn("_c", F.explode(near(at("col"), "_w"))).select("row", "col", F.col("_r.i").alias("sr"), F.col("_c.i").alias("sc"), (F.col("_r.w") * F.col("_c.w")).alias("w"))
+    source = cells.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("_v"))
+    return both.join(source, ["sr", "sc"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("_v")).alias(value))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meandra.operators import mapping, paths, temporal
+from meandra.functions.scalar import normalized_difference
+from meandra.operators import belts, mapping, paths, polygons, temporal
+from meandra.operators.graph import checkpointed
 
 
 class River:
@@ -13,6 +15,13 @@ class River:
 
     def __init__(self, cells: DataFrame, ends: DataFrame, pixel: float = 30.0, left: float = 0.0, upper: float = 0.0):
         self.cells, self.ends, self.pixel, self.left, self.upper = cells, ends, pixel, left, upper
+        self._line: DataFrame | None = None
+
+    @classmethod
+    def create_mndwi(cls, bands: DataFrame, ends: DataFrame, limit: float = 0.01, smallest_hole: int = 64, most_water: float = 0.15, largest: bool = True, **georeference: float) -> River:
+        """From bands (scene, row, col, green, swir): the index, its mask, holes filled, cloudy scenes left out, the largest water body kept."""
+        value = normalized_difference(F.col("green"), F.col("swir"))
+        return cls(mapping.water_of_scenes(bands, value, limit, smallest_hole, most_water, largest), ends, **georeference)
 
     def _placed(self, df: DataFrame, *keep: str) -> DataFrame:
         x = F.lit(self.left) + (F.col("col") + 0.5) * self.pixel
@@ -24,9 +33,36 @@ class River:
         return self._placed(mapping.networks(self.cells), "scene", "u", "v", "key", "seq")
 
     def centerline(self) -> DataFrame:
-        """(scene, seq, width, x, y), width in ground units."""
-        line = mapping.centerlines(self.cells, self.ends).withColumn("width", F.col("half_width") * 2 * self.pixel)
-        return self._placed(line, "scene", "seq", "width")
+        """(scene, seq, width, x, y), width in ground units. Mapped once and written out: what is asked of it later starts from there."""
+        if self._line is None:
+            line = mapping.centerlines(self.cells, self.ends).withColumn("width", F.col("half_width") * 2 * self.pixel)
+            self._line = checkpointed(self._placed(line, "scene", "seq", "width"))
+        return self._line
+
+    def smooth_centerline(self, step: float = 25.0, residual: float = 1e5, least: float = 0.0) -> DataFrame:
+        """(scene, seq, x, y): smoothed and resampled, with y downwards from the first row."""
+        return mapping.smooth_centerlines(self.cells, self.ends, step, residual, least, self.pixel)
+
+    def belt(self, scene: object, half_width: float) -> DataFrame:
+        """(row, col, side): the channel belt of one scene, `half_width` in ground units."""
+        line = self.centerline().filter(F.col("scene") == scene)
+        line = line.select("seq", ((F.lit(self.upper) - F.col("y")) / self.pixel - 0.5).alias("row"), ((F.col("x") - self.left) / self.pixel - 0.5).alias("col"))
+        return belts.belt(self.cells.filter(F.col("scene") == scene), line, half_width / self.pixel)
+
+    def islands(self) -> DataFrame:
+        """(scene, row, col, face): land that water encloses, scene by scene, each island named by its first cell."""
+        found = None
+        for r in self.cells.select("scene").distinct().collect():  # a plan for each scene of the object
+            one = self.cells.filter(F.col("scene") == r["scene"]).select("row", "col", F.col("water").alias("line"))
+            faces = polygons.faces(one).select(F.lit(r["scene"]).alias("scene"), "row", "col", "face")
+            found = faces if found is None else found.unionByName(faces)
+        return found
+
+    def water_mask(self, scene: object, buffer: int = 0, fill: int = 1, nodata: int = 0) -> DataFrame:
+        """(row, col, water): the mask of one scene as a raster to be written, land grown by `buffer` cells."""
+        cells = self.cells.filter(F.col("scene") == scene)
+        land = cells.filter("water = 0").select(F.lit(0).alias("node"), "row", "col")
+        return polygons.water_mask(cells, land, True, buffer, fill, nodata)
 
     def banks(self, side: str | None = None) -> DataFrame:
         """(scene, side, x, y) of the left, the right or all banks."""
