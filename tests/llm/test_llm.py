@@ -1,6 +1,7 @@
 import hashlib
 import html as entities
 import json
+import math
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import sentencepiece
 import xxhash
 
@@ -173,13 +175,13 @@ def test_leaks_and_slots(spark):
         (1, "foo bar. the tall tree near old Boris holds 99 km of rope and 3 birds in spring, they said"),
         (2, "we saw a quick brown fox jumps over one lazy dog every single morning today"),
         (3, "a quick brown fox sat down and one lazy dog slept"),
-        (4, "this short item here ends"),
+        (4, "Short item here!"), (8, "this short item here ends"),
         (5, None), (6, ""), (7, "12 12 12 12 12 12 12 12 12 12"), (None, ITEMS[3][1]), (2, "other text"),
     ]
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(spark, rows), bench).collect()}
     assert got == {(1, 1), (2, 4), (4, 2)}
     left = [r["doc_id"] for r in decontamination.decontaminate(docs_of(spark, rows), bench).collect()]
-    assert sorted(x for x in left if x is not None) == [3, 5, 6, 7] and None in left
+    assert sorted(x for x in left if x is not None) == [3, 5, 6, 7, 8] and None in left
     assert decontamination.leaks(empty(spark), bench).count() == 0
     assert decontamination.leaks(docs_of(spark, rows), bench.limit(0)).count() == 0
 
@@ -197,13 +199,82 @@ def test_copies_in_another_case_are_leaks(spark):
     assert got == {(1, 4), (2, 1)}
 
 
-def test_leaks_of_whole_items_equal_brute_force(spark, sf):
+def plain_leaks(docs, items, width=5, share=0.8):
+    """(doc, item) pairs by the operator's definition, every document against every item."""
+    space = r"[\x20\x09-\x0D]+"
+
+    def valued(t):
+        t = regex.sub(decontamination._NAME, r"<name=\g<0>>", t.translate({60: None, 62: None, 61: None}))
+        if not regex.search(r"\d", t, regex.ASCII):
+            return t
+        t = regex.sub(decontamination._NUMBER, r"<num=\g<0>>", t, flags=regex.ASCII)
+        return regex.sub(rf"(<num=[^>]*>)\x20?(?i:({decontamination.UNITS}))(?![\p{{L}}\d])", r"\1 <unit=\2>", t, flags=regex.ASCII)
+
+    def cleaned(v):
+        v = regex.sub("=[^>]*>", ">", v).lower()
+        return regex.sub(r"[^\p{L}\p{M}\p{N}<>\x20\x09-\x0D]+", "", v)
+
+    def words(v):
+        return [w for w in regex.split(space, cleaned(v)) if w]
+
+    def slots(v):
+        rows = [(cleaned(w), (regex.findall("=([^>]*)>", w) or [""])[0].lower()) for w in regex.split(space, v)]
+        rows = [r for r in rows if r[0]]
+        return {i: r for i, r in enumerate(rows) if r[0].startswith("<")}
+
+    def windows(w, size):
+        return [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+
+    made = {}
+    for d, t in docs:
+        bare = t.translate({60: None, 62: None, 61: None})
+        made.setdefault(d, []).append((words(valued(t)), words(bare), slots(valued(t))))
+    out = set()
+    for k, t in items:
+        v = valued(t)
+        for literal, w in ((False, words(v)), (True, words(t.translate({60: None, 62: None, 61: None})))):
+            size = min(width, len(w))
+            if not size:
+                continue
+            own = windows(w, size)
+            need = math.ceil(len(set(own)) * share - 1e-9)
+            whole = size < width  # a short item is a text of its own
+            asked = slots(v)
+            for d, texts in made.items():
+                there = {x for tw, bw, _ in texts for x in windows(bw if literal else tw, size) if not whole or len(bw if literal else tw) == size}
+                if len(set(own) & there) < need:
+                    continue
+                if literal or not any(x.startswith("<") for x in w):
+                    out.add((d, k))
+                    continue
+                for tw, _, given in texts:
+                    for shift in range(-len(own), len(tw)):
+                        line = sum(0 <= i + shift and tuple(tw[i + shift : i + shift + size]) == x for i, x in enumerate(own))
+                        if line < math.ceil(len(own) * share - 1e-9):
+                            continue
+                        values = {}
+                        for i, (kind, value) in asked.items():
+                            if i + shift in given and given[i + shift][0] == kind:
+                                values.setdefault((kind, value), set()).add(given[i + shift][1])
+                        if all(len(x) == 1 for x in values.values()):
+                            out.add((d, k))
+    return out
+
+
+def test_leaks_equal_brute_force(spark, sf):
     docs, bench = (common.table(spark, sf, t) for t in ("documents", "benchmark"))
-    flat = lambda t: " ".join("".join(c for c in t.lower() if c.isalnum() or c.isspace()).split())
-    items = {r["item_id"]: flat(r["text"]) for r in bench.collect()}
-    want = {(r["doc_id"], k) for r in docs.collect() for k, v in items.items() if f" {v} " in f" {flat(r['text'] or '')} "}
+    want = plain_leaks([(r["doc_id"], r["text"] or "") for r in docs.collect()], [(r["item_id"], r["text"] or "") for r in bench.collect()])
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
-    assert want <= got and len(got) <= len(want) + 5
+    assert got == want and len(want) >= 3
+
+
+def test_leaks_in_german_and_in_long_texts(spark):
+    items = [(1, "Der alte Mann geht mit seinem Hund durch den kleinen Park und kauft 3 Brote"), (2, "Im Garten steht ein Baum mit roten Blumen neben dem Haus der Familie")]
+    other = "Die junge Frau fährt mit ihrem Wagen durch die große Stadt und sieht viele Häuser. Im Sommer steht ein Stuhl mit weißen Kissen neben dem Tisch."
+    rows = [(1, other), (2, "Wir lasen: " + items[0][1] + ". Danach war Ruhe."), (3, items[0][1].replace("3", "8")), (4, "wort " * 60_000 + items[1][1] + " wort" * 60_000), (5, "Der Hund geht mit dem Mann.")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs_of(spark, rows).withColumn("h", common.F.lit(1)), bench.withColumn("words", common.F.lit(2))).collect()}
+    assert got == {(2, 1), (3, 1), (4, 2)}
 
 
 # ---- pieces -----------------------------------------------------------------------------------
