@@ -17,7 +17,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_KEYS = 100_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand fewer rows at once to Python where the session leaves that at its default: a row may be a long text.
+
+    Batches of ten thousand texts stand in an executor's memory twice beside its heap, for each task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "512")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     session without that setting (tests) gets a temporary one.
     """
     spark = df.sparkSession
+    small_batches(spark)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,11 +61,18 @@ def first_rows(docs: DataFrame, chosen: Callable[[DataFrame], DataFrame]) -> Dat
     boxed = boxed.select(F.col("_row.doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("_row.text").cast("string"), F.lit(""))).alias("h"), "_row")
     named = boxed.filter("doc_id is not null")
     keep = cut(chosen(named.select("doc_id", "h", F.coalesce(F.col("_row.text").cast("string"), F.lit("")).alias("text"))).select("doc_id", "h"))
-    again = cut(named.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"))
-    kept = named.join(keep, ["doc_id", "h"], "left_semi")
+    ids = cut(named.groupBy("doc_id", "h").agg(F.count("*").alias("n")))
+    gone = cut(ids.join(keep, ["doc_id", "h"], "left_anti").select("doc_id", "h"))
+    if gone.count() <= BROADCAST_KEYS:  # checked size: then texts need not move to meet what is kept
+        kept = named.join(F.broadcast(gone), ["doc_id", "h"], "left_anti")
+    else:
+        kept = named.join(keep, ["doc_id", "h"], "left_semi")
     rows = kept
-    if not again.isEmpty():
-        several = again.join(keep, ["doc_id", "h"], "left_semi")
+    several = cut(ids.filter("n > 1").join(keep, ["doc_id", "h"], "left_semi").select("doc_id", "h"))
+    n = several.count()
+    if n:
+        if n <= BROADCAST_KEYS:
+            several = F.broadcast(several)
         least = kept.join(several, ["doc_id", "h"], "left_semi").groupBy("doc_id", "h").agg(F.min("_row").alias("_row"))
         rows = kept.join(several, ["doc_id", "h"], "left_anti").unionByName(least)
     return rows.select("_row.*").unionByName(boxed.filter("doc_id is null").select("_row.*"))

@@ -564,6 +564,28 @@ def decode(rows: DataFrame, data: bytes) -> DataFrame:
     return kept.mapInArrow(run, kept.withColumn("text", F.lit(None).cast("string")).schema)
 
 
+def round_trips(docs: DataFrame, data: bytes) -> DataFrame:
+    """(doc_id, ids, n_ids, round_trip) for every row: encoded and decoded again in one pass; null texts have null in all but doc_id.
+
+    One process codes and checks a text, so a task holds one model and one batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = model_of(data)
+        for batch in short(batches):
+            texts = batch.column(1).to_pylist()
+            coded = iter(model.encode_many([t for t in texts if t is not None]))
+            ids = [None if t is None else np.frombuffer(next(coded), "<i4") for t in texts]
+            same = [None if t is None else model.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+            n = [None if i is None else len(i) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_ids", "round_trip"])
+        model.forget()
+        release()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, round_trip boolean")
+
+
 def digests(docs: DataFrame, data: bytes) -> DataFrame:
     """(doc_id, n_ids, ids_sha256, round_trip) for every row: ids encoded and decoded again.
 

@@ -274,12 +274,16 @@ def repeated_passages(docs: DataFrame, page: int = PAGE) -> DataFrame:
 def remove_repeats(docs: DataFrame, page: int = PAGE) -> DataFrame:
     """`docs` with repeated passages taken out of text, n_chars brought up to date; emptied rows go.
 
-    Texts without a repeat stay as they are; of the others the words left are joined by one space.
+    Texts without a repeat stay as they are; of the others the words left are joined by one space. Null and
+    wordless texts, and rows without a doc_id, stay. Rows that repeat a doc_id are judged each. Columns may have
+    any names.
     """
     changed = repeated_passages(docs, page).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_body"])
-    body = F.xxhash64(F.trim(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE, " ")))
-    joined = docs.withColumn("_now", body).join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("_now") == F.col("_body")), "left").filter("_kept is null or _kept <> ''")
-    new = {"text": F.coalesce("_kept", "text")}
+    row = F.col("_row")
+    boxed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    body = F.xxhash64(F.trim(F.regexp_replace(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), SPACE, " ")))
+    joined = boxed.withColumn("_now", body).join(changed, (F.col("_row.doc_id").cast("long") == F.col("_id")) & (F.col("_now") == F.col("_body")), "left").filter("_kept is null or _kept <> ''")
+    new = row.withField("text", F.coalesce("_kept", F.col("_row.text")))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return joined.withColumns(new).select(*docs.columns)
+        new = new.withField("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars")))
+    return joined.select(new.alias("_row")).select("_row.*")
