@@ -128,7 +128,7 @@ def test_near_copies_equal_brute_force(spark, page, monkeypatch):
         for name, size in (("LEADERS", 1), ("CHUNK", 7), ("BLOCK", 5)):
             monkeypatch.setattr(nearcopies, name, size)
     rows = [r for r in rows if r[0] != 5]
-    docs = docs_of(spark, rows)
+    docs = docs_of(spark, rows).withColumns({c: common.F.lit("clash") for c in ("h", "node", "bands", "_row")})
     cut_up = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
     ids, sets = zip(*((i, cut_up((t or "").lower().split())) for i, t in rows if i is not None))
     root = list(range(len(ids)))
@@ -347,6 +347,8 @@ def test_piece_frames_round_trip(spark):
     back = pieces.decode(pieces.encode(docs_of(spark, rows), data), data).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in back), key=key) == sorted(rows, key=key)
+    tripped = pieces.round_trips(docs_of(spark, rows).withColumn("ids", common.F.lit(1)), data).collect()
+    assert len(tripped) == 5 and all(r["round_trip"] is (None if r["doc_id"] == 2 else True) for r in tripped)
     out = {r["doc_id"]: r for r in pieces.digests(docs_of(spark, rows), data).collect()}
     assert out[2]["n_ids"] is None and out[3]["n_ids"] == 0 and out[1]["round_trip"]
 
@@ -540,7 +542,7 @@ def test_substrings_equal_brute_force(spark, page):
 
 
 def test_removed_passages_leave_columns(spark):
-    docs = docs_of(spark, corpus(8))
+    docs = docs_of(spark, corpus(8)).withColumns({c: common.F.lit("clash") for c in ("_id", "_body", "_kept", "_now", "anchor", "a.b")})
     out = substrings.remove_repeats(docs)
     assert out.columns == docs.columns and 0 < out.count() < docs.count()
     assert substrings.remove_repeats(empty(spark)).count() == 0
