@@ -304,6 +304,45 @@ def offsets(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, path
         return np.bincount(p, weights=off, minlength=len(x1)) / np.where(n > 0, n, np.nan)
 
 
+def clahe(image: np.ndarray, tiles: int = 8, clip: float = 0.01, bins: int = 256) -> np.ndarray:
+    """Contrast-limited equalisation of an image of 0..1: each tile's clipped histogram, blended between tile centres."""
+    rows, cols = image.shape
+    level = np.clip((image * bins).astype(int), 0, bins - 1)
+    edges = [np.linspace(0, n, min(tiles, n) + 1).astype(int) for n in (rows, cols)]
+    maps = np.empty((len(edges[0]) - 1, len(edges[1]) - 1, bins))
+    for i, (r0, r1) in enumerate(zip(edges[0][:-1], edges[0][1:])):
+        for j, (c0, c1) in enumerate(zip(edges[1][:-1], edges[1][1:])):
+            h = np.bincount(level[r0:r1, c0:c1].ravel(), minlength=bins) / ((r1 - r0) * (c1 - c0))
+            most = max(clip, 1 / bins)
+            h = np.minimum(h, most) + np.maximum(h - most, 0).sum() / bins
+            maps[i, j] = np.cumsum(h) / h.sum()
+    spots = []
+    for n, e in zip((rows, cols), edges):
+        centre = (e[:-1] + e[1:] - 1) / 2
+        at = np.clip(np.interp(np.arange(n), centre, np.arange(len(centre))), 0, len(centre) - 1)
+        low = np.minimum(at.astype(int), max(len(centre) - 2, 0))
+        spots.append((low, np.minimum(low + 1, len(centre) - 1), at - low))
+    (r0, r1, a), (c0, c1, b) = spots
+    a, b = a[:, None], b[None, :]
+    pick = lambda r, c: maps[r[:, None], c[None, :], level]
+    return (1 - a) * ((1 - b) * pick(r0, c0) + b * pick(r0, c1)) + a * ((1 - b) * pick(r1, c0) + b * pick(r1, c1))
+
+
+def smooth_ring(ring: np.ndarray, width: int = 21, tolerance: float | None = None) -> np.ndarray:
+    """A closed ring after polynomial smoothing across its seam; with over 100 vertices simplified by 1.5 of their mean distance, or `tolerance`."""
+    n = len(ring)
+    if n < width:
+        return ring.astype(float)
+    half = width // 2
+    wrapped = np.concatenate([ring[-half:], ring, ring[:half]]).astype(float)
+    out = np.stack([savgol(wrapped[:, k], width)[half : half + n] for k in (0, 1)], axis=1)
+    if n > 100:
+        closed = np.concatenate([out, out[:1]])
+        limit = 1.5 * float(np.hypot(*np.diff(closed, axis=0).T).mean()) if tolerance is None else tolerance
+        out = simplify(closed, limit)[:-1]
+    return out
+
+
 def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     """First and last index of each run of true values."""
     turn = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(int), [0]])))
@@ -426,15 +465,82 @@ def route(n: int, edges: list[tuple[int, int, float]], start: int, end: int) ->
     return path[::-1]
 
 
-def main_line(mask: np.ndarray, start: tuple[float, float], end: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """(pixels, half widths) along the skeleton between the nodes nearest to two places; empty without a route."""
+def graph_parts(n: int, edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """For each node the least node that edges lead to."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for u, v, _ in edges:
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    return np.array([find(i) for i in range(n)], int)
+
+
+def bridged(mask: np.ndarray, nodes: np.ndarray, edges: list, a: int, b: int, most: float) -> np.ndarray | None:
+    """The mask with a line three cells wide over the shortest gap between the parts of nodes a and b; None over `most` cells."""
+    part = graph_parts(len(nodes), edges)
+    pixels = [np.concatenate([nodes[part == part[k]], *(pts for u, _, pts in edges if part[u] == part[k])]) for k in (a, b)]
+    near = nearest(pixels[1], pixels[0])
+    gap = np.hypot(*(pixels[0] - pixels[1][near]).T)
+    k = int(gap.argmin())
+    if gap[k] > most:
+        return None
+    p, q = pixels[0][k], pixels[1][near[k]]
+    out, n = mask.copy(), int(np.ceil(gap[k])) * 2 + 1
+    for r, c in np.rint(p + np.linspace(0, 1, n)[:, None] * (q - p)).astype(int):
+        out[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2] = True
+    return out
+
+
+def _longest_part(nodes: np.ndarray, edges: list, size: list[float], start: np.ndarray, end: np.ndarray) -> tuple[int, int] | None:
+    """Of the five longest parts of a network the ends of the one whose route between the nodes nearest to two places is longest."""
+    part = graph_parts(len(nodes), edges)
+    length: dict[int, float] = {}
+    for (u, _, _), s in zip(edges, size):
+        length[part[u]] = length.get(part[u], 0.0) + s
+    costs, best = [(u, v, s) for (u, v, _), s in zip(edges, size)], (0.0, None)
+    for p in sorted(length, key=lambda p: (-length[p], p))[:5]:
+        own = np.flatnonzero(part == p)
+        u, v = (int(own[np.hypot(*(nodes[own] - x).T).argmin()]) for x in (start, end))
+        if u == v:
+            v = int(own[np.hypot(*(nodes[own] - nodes[u]).T).argmax()])
+        way = route(len(nodes), costs, u, v)
+        total = sum(size[k] for k, _ in way) if way else 0.0
+        if total > best[0]:
+            best = (total, (u, v))
+    return best[1]
+
+
+def main_line(mask: np.ndarray, start: tuple[float, float], end: tuple[float, float], gap: float = 200.0) -> tuple[np.ndarray, np.ndarray]:
+    """(pixels, half widths) along the skeleton between the nodes nearest to two places; empty without any line.
+
+    Parts of the skeleton that do not meet are bridged over the shortest gap, if that is at most `gap` cells. If no
+    route comes of it, the longest part gives the line.
+    """
     nothing = np.empty((0, 2)), np.empty(0)
     nodes, edges = skeleton_graph(thin(mask)) if mask.any() else nothing
     if not len(nodes):
         return nothing
-    a, b = (int(np.hypot(*(nodes - np.array(p)).T).argmin()) for p in (start, end))
-    size = [float(np.hypot(*np.diff(pts, axis=0).T).sum()) for _, _, pts in edges]
-    way = route(len(nodes), [(u, v, s) for (u, v, _), s in zip(edges, size)], a, b)
+    places = np.array(start, float), np.array(end, float)
+    way = None
+    for attempt in range(2):
+        a, b = (int(np.hypot(*(nodes - p).T).argmin()) for p in places)
+        size = [float(np.hypot(*np.diff(pts, axis=0).T).sum()) for _, _, pts in edges]
+        way = route(len(nodes), [(u, v, s) for (u, v, _), s in zip(edges, size)], a, b)
+        if way is not None or attempt:
+            break
+        wider = bridged(mask, nodes, edges, a, b, gap)
+        if wider is None:
+            break
+        mask = wider
+        nodes, edges = skeleton_graph(thin(mask))
+    if way is None:
+        longest = _longest_part(nodes, edges, size, *places)
+        way = route(len(nodes), [(u, v, s) for (u, v, _), s in zip(edges, size)], *longest) if longest else None
     if not way:
         return nothing
     line = np.concatenate([edges[k][2] if forwards else edges[k][2][::-1] for k, forwards in way])

@@ -185,3 +185,13 @@ def centroids(points: DataFrame) -> DataFrame:
     k = F.col("x") * F.col("ny") - F.col("nx") * F.col("y")
     g = p.groupBy("scene").agg(F.sum(k).alias("a"), F.sum((F.col("x") + F.col("nx")) * k).alias("sx"), F.sum((F.col("y") + F.col("ny")) * k).alias("sy"))
     return g.filter("a <> 0").select("scene", (F.col("sx") / (3 * F.col("a"))).alias("x"), (F.col("sy") / (3 * F.col("a"))).alias("y"))
+
+
+def smooth_rings(points: DataFrame, width: int = 21) -> DataFrame:
+    """(scene, seq, x, y): each closed ring smoothed across its seam, and simplified if it has over 100 vertices. A task holds one ring."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = kernels.smooth_ring(pdf.sort_values("seq")[["x", "y"]].to_numpy(float), width)
+        return pd.DataFrame({"scene": pdf["scene"].iloc[0], "seq": np.arange(len(r)), "x": r[:, 0], "y": r[:, 1]})
+
+    return points.groupBy("scene").applyInPandas(run, "scene long, seq long, x double, y double")

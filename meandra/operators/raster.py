@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,3 +155,15 @@ def bilinear(cells: DataFrame, scale: float, value: str = "b") -> DataFrame:
     both = rows.withColumn("_c", F.explode(near(at("col"), "_w"))).select("row", "col", F.col("_r.i").alias("sr"), F.col("_c.i").alias("sc"), (F.col("_r.w") * F.col("_c.w")).alias("w"))
     source = cells.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("_v"))
     return both.join(source, ["sr", "sc"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("_v")).alias(value))
+
+
+def equalised(cells: DataFrame, value: Column, tiles: int = 8, clip: float = 0.01) -> DataFrame:
+    """(scene, row, col, shade): a band of 0..1 after contrast-limited equalisation, scene by scene; for previews. A task holds one scene."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = (pdf[c].to_numpy() - pdf[c].min() for c in ("row", "col"))
+        image = np.zeros((row.max() + 1, col.max() + 1))
+        image[row, col] = pdf["_v"].to_numpy(float)
+        return pdf[["scene", "row", "col"]].assign(shade=kernels.clahe(image, tiles, clip)[row, col])
+
+    return cells.select("scene", "row", "col", value.cast("double").alias("_v")).groupBy("scene").applyInPandas(run, "scene long, row long, col long, shade double")

@@ -147,3 +147,25 @@ def separated(parts: DataFrame) -> DataFrame:
     """(id, part, seq, x, y): the vertices of all parts with a NaN after the last of each."""
     ends = parts.groupBy("id", "part").agg((F.max("seq") + 1).alias("seq")).withColumns({"x": F.lit(float("nan")), "y": F.lit(float("nan"))})
     return parts.select("id", "part", "seq", "x", "y").unionByName(ends)
+
+
+def split_path(edges: DataFrame, path: DataFrame, places: DataFrame) -> DataFrame:
+    """(scene, segment, pos, edge, xs, ys): a path cut at the vertices nearest to places (scene, place, px, py).
+
+    Segments count from 0 downstream. An edge in which a cut falls comes back in parts, each with the vertex at the
+    cut; places that fall on one vertex make one cut, and one at an end of the path none.
+    """
+    rows = path.join(vertices(edges).withColumnRenamed("seq", "k"), "edge")
+    w = Window.partitionBy("scene").orderBy("pos", "k")
+    rows = rows.withColumn("seq", F.row_number().over(w) - 1)
+    d2 = F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))
+    last = rows.groupBy("scene").agg(F.max("seq").alias("last"))
+    cuts = rows.join(places, "scene").groupBy("scene", "place").agg(F.min_by("seq", F.struct(d2, "seq")).alias("seq")).select("scene", "seq").distinct()
+    cuts = cuts.join(last, "scene").filter("seq > 0 and seq < last").select("scene", "seq", F.lit(1).alias("cut"))
+    run = Window.partitionBy("scene").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.join(cuts, ["scene", "seq"], "left").withColumn("cut", F.coalesce("cut", F.lit(0))).withColumn("segment", F.sum("cut").over(run))
+    # the vertex at a cut ends one segment and begins the next
+    own = F.when(F.col("cut") == 1, F.array(F.col("segment") - 1, F.col("segment"))).otherwise(F.array("segment"))
+    parts = cut.withColumn("segment", F.explode(own)).groupBy("scene", "segment", "pos", "edge").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("v"))
+    parts = parts.filter(F.size("v") > 1)
+    return parts.select("scene", "segment", "pos", "edge", F.transform("v", lambda p: p["x"]).alias("xs"), F.transform("v", lambda p: p["y"]).alias("ys"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meandra.batch import best_scenes
-from meandra.operators import belts, mapping, paths, polygons, raster
-from meandra.plans.queries import PIX, RECT, RID, SAM, _pix, _rc, _rects, query
+from meandra.operators import belts, mapping, paths, polygons, prediction, raster, shapes
+from meandra.plans.lines import _ALONG, _path
+from meandra.plans.queries import CURV, PIX, RECT, RID, SAM, _pix, _rc, _rects, query
 from meandra.plans.reaches import _river
 from meandra.plans.wider import _EMB, _edges
 from meandra.sources import views
@@ -115,3 +116,33 @@ def e4(spark: SparkSession, d: str) -> DataFrame:
     p = _pix(spark, d)
     bands = p.select(F.floor(F.col("row") / 64).alias("scene"), (F.col("row") % 64).alias("row"), "col", (F.col("b") + 600).alias("green"), F.lit(200).alias("swir"))
     return _rc(River.create_mndwi(bands, _river(spark, d).ends, 0.579, 6).cells)
+
+
+_SPLIT = "pl AS (SELECT label AS scene, p AS place, (p - 1) * 0.12::DOUBLE AS px, (label % 3 - 1) * 0.1::DOUBLE AS py FROM (SELECT DISTINCT label FROM embeddings), (VALUES (0), (1), (2)) t(p)), vv AS (SELECT scene, pos, lb.vec_id AS edge, k, x, y, row_number() OVER (PARTITION BY scene ORDER BY pos, k) - 1 AS seq FROM vx JOIN lb USING (vec_id)), la AS (SELECT scene, max(seq) AS last FROM vv GROUP BY scene), ct AS (SELECT DISTINCT scene, seq FROM (SELECT vv.scene, place, arg_min(seq, (pow(x - px, 2) + pow(y - py, 2), seq)) AS seq FROM vv JOIN pl ON pl.scene = vv.scene GROUP BY vv.scene, place) JOIN la USING (scene) WHERE seq > 0 AND seq < last), sg AS (SELECT vv.*, ct.seq IS NOT NULL AS cut, sum((ct.seq IS NOT NULL)::INT) OVER (PARTITION BY vv.scene ORDER BY vv.seq ROWS UNBOUNDED PRECEDING) AS segment FROM vv LEFT JOIN ct ON ct.scene = vv.scene AND ct.seq = vv.seq), al2 AS (SELECT scene, pos, edge, k, x, y, segment FROM sg UNION ALL SELECT scene, pos, edge, k, x, y, segment - 1 FROM sg WHERE cut)"
+
+
+@query("t15_split_edges", f"WITH {_ALONG}, {_SPLIT} SELECT scene, segment::BIGINT AS segment, pos, edge, count(*) AS n, arg_min(x, k) AS x0, arg_max(y, k) AS y1 FROM al2 GROUP BY scene, segment, pos, edge HAVING count(*) > 1")
+def t15_edges(spark: SparkSession, d: str) -> DataFrame:
+    labels = views.table(spark, d, "embeddings").select(F.col("label").alias("scene")).distinct()
+    places = labels.select("scene", F.explode(F.array(*(F.lit(k) for k in range(3)))).alias("place"))
+    places = places.select("scene", "place", ((F.col("place") - 1) * F.lit(0.12)).alias("px"), ((F.col("scene") % 3 - 1) * F.lit(0.1)).alias("py"))
+    s = shapes.split_path(_edges(spark, d), _path(spark, d), places)
+    return s.select("scene", "segment", "pos", "edge", F.size("xs").cast("long").alias("n"), F.element_at("xs", 1).alias("x0"), F.element_at("ys", -1).alias("y1"))
+
+
+@query("p1_predicted_migration", f"WITH {CURV}, z AS (SELECT scene, seq, x / 1000 AS s, coalesce(curvature, 0) * 1000 AS r FROM k), m AS (SELECT a.scene, a.seq, any_value(a.r) AS r, sum(b.r * exp(-0.002::DOUBLE * (a.s - b.s))) / sum(exp(-0.002::DOUBLE * (a.s - b.s))) AS m FROM z a JOIN z b ON a.scene = b.scene AND b.seq <= a.seq GROUP BY a.scene, a.seq) SELECT scene, seq, round(-r + 2.5 * m, 9) + 0.0 AS predicted FROM m")
+def p1(spark: SparkSession, d: str) -> DataFrame:
+    c = paths.curvature(views.samples(spark, d))
+    p = c.select("scene", "seq", (F.col("x") / 1000).alias("s"), prediction.nominal_rate(F.coalesce("curvature", F.lit(0.0)), F.lit(1000.0), 1.0).alias("nominal"))
+    return prediction.predicted_rate(p, 0.002).select("scene", "seq", (F.round("predicted", 9) + F.lit(0.0)).alias("predicted"))
+
+
+@query("g27_smooth_banks")
+def g27(spark: SparkSession, d: str) -> DataFrame:
+    return paths.smooth_rings(views.samples(spark, d).withColumn("y", F.col("y") * 5000))
+
+
+@query("r18_equalised_bands")
+def r18_clahe(spark: SparkSession, d: str) -> DataFrame:
+    cells = raster.stretched(_pix(spark, d).withColumn("scene", F.floor(F.col("row") / 64)), "b")
+    return _rc(raster.equalised(cells, F.col("v") / 255).select("scene", "row", "col", "shade"))

@@ -317,3 +317,29 @@ def test_results_do_not_hang_on_partitions(name, spark, sf):
         assert key(one) == key(QUERIES[name](spark, sf).toPandas()) and len(one)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_gaps_are_bridged_and_the_longest_part_is_kept():
+    mask = np.zeros((30, 120), bool)
+    mask[13:18, :50] = mask[13:18, 58:] = True
+    line, half = kernels.main_line(mask, (15, 0), (15, 119))
+    assert line[:, 1].min() < 10 and line[:, 1].max() > 110 and len(half) == len(line)
+    line, _ = kernels.main_line(mask, (15, 0), (15, 119), gap=3)
+    assert line[:, 1].min() > 55 and len(line) > 40  # too far apart: the longer part
+    assert kernels.main_line(np.zeros((5, 5), bool), (0, 0), (4, 4))[0].size == 0
+
+
+def test_equalised_images_keep_their_order():
+    rng = np.random.default_rng(4)
+    image = np.sort(rng.random(4096)).reshape(64, 64)
+    out = kernels.clahe(image, tiles=1)
+    assert out.min() >= 0 and out.max() <= 1 and (np.diff(out.ravel()) >= -1e-12).all()
+    assert kernels.clahe(np.full((9, 7), 0.5)).shape == (9, 7)
+
+
+def test_smooth_rings_keep_circles():
+    t = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    ring = np.stack([np.cos(t), np.sin(t)], axis=1) * 100
+    out = kernels.smooth_ring(ring, tolerance=0.01)
+    assert np.allclose(np.hypot(*out.T), 100, atol=0.1) and 50 < len(out) <= 300
+    assert len(kernels.smooth_ring(ring[:5])) == 5
