@@ -5,16 +5,28 @@ from __future__ import annotations
 import numpy as np
 
 
+def along_rows(d2: np.ndarray) -> np.ndarray:
+    """Least of d2 at another cell of the row and the squared way there. Shifts grow until none can give less."""
+    out = d2.astype(float).copy()
+    for k in range(1, d2.shape[1]):
+        if not out.size or k * k >= out.max():
+            break
+        np.minimum(out[:, k:], d2[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], d2[:, k:] + k * k, out=out[:, :-k])
+    return out
+
+
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance of each true cell to the nearest false one; infinite without any."""
-    far = np.float64(mask.shape[0] + mask.shape[1]) ** 2 * 4
-    g = np.where(mask, far, 0.0)
-    rows = np.arange(mask.shape[0], dtype=float)
-    cols = np.arange(mask.shape[1], dtype=float)
+    """Exact Euclidean distance of each true cell to the nearest false one; infinite without any.
+
+    Columns are scanned once each way; rows are shifted as far as the greatest distance.
+    """
     if not mask.size or mask.all():
         return np.full(mask.shape, np.inf)
-    down = np.min((rows[:, None, None] - rows[None, :, None]) ** 2 + g[None, :, :], axis=1) if mask.shape[0] <= 256 else np.stack([np.min((rows[:, None] - r) ** 2 + g, axis=0) for r in rows])
-    return np.sqrt(np.stack([np.min((cols[None, :] - c) ** 2 + down, axis=1) for c in cols], axis=1))
+    rows = np.arange(mask.shape[0], dtype=float)[:, None]
+    above = np.maximum.accumulate(np.where(mask, -np.inf, rows), axis=0)
+    below = np.minimum.accumulate(np.where(mask, np.inf, rows)[::-1], axis=0)[::-1]
+    return np.sqrt(along_rows(np.minimum(rows - above, below - rows) ** 2))
 
 
 def thin(mask: np.ndarray) -> np.ndarray:
@@ -94,6 +106,32 @@ def nearest(points: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.concatenate([((points[None] - places[i : i + 512, None]) ** 2).sum(axis=2).argmin(axis=1) for i in range(0, len(places), 512)])
 
 
+def carried(places: np.ndarray, samples: np.ndarray, width: np.ndarray, method: str, most: float | None = None) -> np.ndarray:
+    """Widths of samples along a line carried over to places; see paths.channel_width()."""
+    if method == "inverse_distance":
+        out = np.empty(len(places))
+        for lo in range(0, len(places), 512):
+            d2 = ((places[lo : lo + 512, None] - samples[None]) ** 2).sum(axis=2)
+            k = 1 / np.maximum(d2, 1e-10)
+            if most is not None:
+                k = np.where(d2 <= most * most, k, 0.0)
+            total = k.sum(axis=1)
+            out[lo : lo + 512] = np.where(total > 0, (k * width).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
+        return out
+    at = nearest(samples, places)
+    if method == "nearest_neighbor":
+        gaps = np.hypot(*np.diff(samples, axis=0).T)
+        far = (3 * gaps.mean() if len(gaps) else np.inf) if most is None else most
+        return np.where(np.hypot(*(places - samples[at]).T) <= far, width[at], np.nan)
+    low, high = np.maximum(at - 1, 0), np.minimum(at + 1, len(samples) - 1)
+    d = samples[high] - samples[low]
+    size = (d * d).sum(axis=1)
+    s = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(samples, axis=0).T))]) if len(samples) > 1 else np.zeros(1)
+    t = np.clip(((places - samples[low]) * d).sum(axis=1) / np.where(size > 0, size, 1), 0, 1)
+    along = s[low] + t * (s[high] - s[low])
+    return np.where(size > 0, np.interp(along, s, width), width[at])
+
+
 def median5(v: np.ndarray) -> np.ndarray:
     """Middle of five values, zeros beyond the ends."""
     return np.median(np.stack([np.pad(v, 2)[k : k + len(v)] for k in range(5)]), axis=0) if len(v) else v

@@ -195,3 +195,50 @@ def smooth_rings(points: DataFrame, width: int = 21) -> DataFrame:
         return pd.DataFrame({"scene": pdf["scene"].iloc[0], "seq": np.arange(len(r)), "x": r[:, 0], "y": r[:, 1]})
 
     return points.groupBy("scene").applyInPandas(run, "scene long, seq long, x double, y double")
+
+
+def nearest_vertices(points: DataFrame, line: DataFrame, *keys: str) -> DataFrame:
+    """(scene, keys, seq, x, y, pos, distance): the vertex of the scene's line that is nearest to each point, the first on ties.
+
+    Points without a line in their scene give no rows. A task holds one scene: its points meet the line in blocks, not as rows.
+    """
+    p = points.select("scene", *keys, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    schema = p.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", pos long, distance double"
+    names = [*p.columns, "pos", "distance"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({n: [] for n in names})
+        b = b.sort_values("pos")
+        places, vertices = a[["x", "y"]].to_numpy(float), b[["u", "v"]].to_numpy(float)
+        at = kernels.nearest(vertices, places)
+        return a.assign(pos=b["pos"].to_numpy()[at], distance=np.sqrt(((vertices[at] - places) ** 2).sum(axis=1)))[names]
+
+    right = line.select(F.col("scene").alias("of"), F.col("seq").alias("pos"), F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"))
+    return p.groupBy("scene").cogroup(right.groupBy("of")).applyInPandas(run, schema)
+
+
+def channel_width(points: DataFrame, samples: DataFrame, method: str = "nearest_neighbor", most: float | None = None) -> DataFrame:
+    """(scene, seq, width): channel widths carried over to other vertices of the scene. samples: (scene, seq, x, y, width).
+
+    nearest_neighbor: that of the nearest sample, NaN beyond `most` (three mean spacings of the samples if not given);
+    inverse_distance: mean by squared distance, within `most` if given, NaN without a sample in reach; spline_projection:
+    between the two neighbours of the nearest sample by the share of the way, the nearest one's where it has no neighbour.
+    """
+    if method not in ("nearest_neighbor", "inverse_distance", "spline_projection"):
+        raise ValueError(f"unknown method {method}")
+    p = points.select("scene", "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    kind = p.schema.simpleString().removeprefix("struct<").split(",x:")[0].replace(":", " ")
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty:
+            return pd.DataFrame({"scene": [], "seq": [], "width": []})
+        out = np.full(len(a), np.nan)
+        if len(b):
+            b = b.sort_values("pos")
+            places, v, w = a[["x", "y"]].to_numpy(float), b[["u", "v"]].to_numpy(float), b["width"].to_numpy(float)
+            out = kernels.carried(places, v, w, method, most)
+        return a[["scene", "seq"]].assign(width=out)
+
+    right = samples.select(F.col("scene").alias("of"), F.col("seq").alias("pos"), F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"), F.col("width").cast("double").alias("width"))
+    return p.groupBy("scene").cogroup(right.groupBy("of")).applyInPandas(run, f"{kind}, width double")

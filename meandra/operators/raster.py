@@ -12,6 +12,10 @@ from meandra.functions.scalar import above, gaussian
 from meandra.operators.graph import components
 
 
+#: Rows of a raster that share a task.
+ROWS = 64
+
+
 def water_mask(cells: DataFrame, value: Column, limit: float) -> DataFrame:
     return cells.withColumn("water", above(value.cast("double"), limit))
 
@@ -60,16 +64,27 @@ def fill_holes(mask: DataFrame, smallest: int) -> DataFrame:
 def squared_distance(mask: DataFrame) -> DataFrame:
     """(row, col, d2): squared distance of each water cell to the nearest land cell.
 
-    Separable: nearest land along the column by windows, then the least sum of squares along the row.
+    Separable: nearest land along the column by windows, then the least sum of squares along the row, in blocks of ROWS rows.
+    Water of a raster without land gives no rows.
     """
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("water") == 0, F.col("row"))
     g = mask.withColumn("above", F.last(at, ignorenulls=True).over(up)).withColumn("below", F.first(at, ignorenulls=True).over(down))
     g = g.withColumn("g", F.least(F.col("row") - F.col("above"), F.col("below") - F.col("row")))
-    side = g.filter("g is not null").select("row", F.col("col").alias("c2"), "g")
-    near = g.filter("water = 1").select("row", "col").join(side, "row")
-    return near.groupBy("row", "col").agg(F.min((F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2")) + F.col("g") * F.col("g")).cast("long").alias("d2"))
+    g = g.select("row", "col", "water", F.coalesce("g", F.lit(-1)).alias("g"), F.floor(F.col("row") / ROWS).alias("block"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = (pdf[c].to_numpy() for c in ("row", "col"))
+        r0, c0 = row.min(), col.min()
+        d2 = np.full((row.max() - r0 + 1, col.max() - c0 + 1), np.inf)
+        near = pdf["g"].to_numpy(float)
+        d2[row - r0, col - c0] = np.where(near < 0, np.inf, near * near)
+        found = kernels.along_rows(d2)[row - r0, col - c0]
+        keep = (pdf["water"].to_numpy() == 1) & np.isfinite(found)
+        return pd.DataFrame({"row": row[keep], "col": col[keep], "d2": found[keep].astype(np.int64)})
+
+    return g.groupBy("block").applyInPandas(run, "row long, col long, d2 long")
 
 
 def crop(cells: DataFrame, row0: int, col0: int, rows: int, cols: int) -> DataFrame:

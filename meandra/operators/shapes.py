@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meandra.operators import paths
 from meandra.operators.network import array_length, mean_width
 
 
@@ -132,15 +133,13 @@ def straightened(points: DataFrame, reference: DataFrame, *rings: str) -> DataFr
     """(scene, ring keys, seq, pos, s, off): each point by the nearest vertex of the scene's reference line.
 
     off: signed distance along the left normal at that vertex; s: how far along the line it is; reference:
-    (scene, seq, x, y, dx, dy, s) with vertices of no direction left out. A scene's line meets its points in
-    squares of growing size, until each point has met a vertex, and the ring around them.
+    (scene, seq, x, y, dx, dy, s) with vertices of no direction left out. A task holds one scene's line and points.
     """
     ref = reference.filter("dx * dx + dy * dy > 0").select("scene", F.col("seq").alias("pos"), F.col("x").alias("rx"), F.col("y").alias("ry"), "dx", "dy", "s")
-    m = points.join(ref, "scene")
-    d2 = F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2))
+    near = paths.nearest_vertices(points.select("scene", *rings, "seq", "x", "y"), ref.select("scene", F.col("pos").alias("seq"), F.col("rx").alias("x"), F.col("ry").alias("y")), *rings)
+    m = near.join(ref, ["scene", "pos"])
     off = ((F.col("y") - F.col("ry")) * F.col("dx") - (F.col("x") - F.col("rx")) * F.col("dy")) / F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    best = m.groupBy("scene", *rings, "seq").agg(F.min_by(F.struct("pos", "s", off.alias("off")), F.struct(d2, "pos")).alias("m"))
-    return best.select("scene", *rings, "seq", "m.pos", "m.s", "m.off")
+    return m.select("scene", *rings, "seq", "pos", "s", off.alias("off"))
 
 
 def separated(parts: DataFrame) -> DataFrame:

@@ -13,16 +13,22 @@ from meandra.operators.graph import components
 def overlapping(rects: DataFrame, most_days: int = 730) -> DataFrame:
     """(grp, i, j, common, area_i, area_j): pairs i < j of one group that overlap, at most so many days apart.
 
-    Rectangles meet in strips of their group along x, so a group's rows are not all compared.
+    Rectangles meet in strips of their group along x, so a group's rows are not all compared. Where there is a column
+    type, rows of type 0 or 1 are never i.
     """
     strip = 64
     r = rects.withColumn("strip", F.explode(F.sequence(F.floor(F.col("x0") / strip), F.floor(F.col("x1") / strip))))
-    a, b = (r.select("grp", "strip", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "x0", "x1", "y0", "y1", "d"))) for s in "ij")
+    # dates fall into buckets of `most_days`: only neighbouring ones meet
+    r = r.withColumn("era", F.floor(F.unix_date("d") / F.lit(max(1, most_days))))
+    a, b = (r.select("grp", "strip", "era", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "x0", "x1", "y0", "y1", "d", *(["type"] if "type" in rects.columns else [])))) for s in "ij")
+    if "type" in rects.columns:  # main banks, types 0 and 1, look for no partner
+        a = a.filter("type_i not in (0, 1)")
+    a = a.withColumn("era", F.explode(F.array(*(F.col("era") + k for k in (-1, 0, 1)))))
     w = F.least("x1_i", "x1_j") - F.greatest("x0_i", "x0_j")
     h = F.least("y1_i", "y1_j") - F.greatest("y0_i", "y0_j")
     # each pair once: in the strip where its overlap begins
     home = F.floor(F.greatest("x0_i", "x0_j") / strip) == F.col("strip")
-    m = a.join(b, ["grp", "strip"]).filter((F.col("id_i") < F.col("id_j")) & (w > 0) & (h > 0) & home & (F.abs(F.datediff("d_i", "d_j")) <= most_days))
+    m = a.join(b, ["grp", "strip", "era"]).filter((F.col("id_i") < F.col("id_j")) & (w > 0) & (h > 0) & home & (F.abs(F.datediff("d_i", "d_j")) <= most_days))
     area = lambda s: (F.col(f"x1_{s}") - F.col(f"x0_{s}")) * (F.col(f"y1_{s}") - F.col(f"y0_{s}"))
     return m.select("grp", F.col("id_i").alias("i"), F.col("id_j").alias("j"), (w * h).alias("common"), area("i").alias("area_i"), area("j").alias("area_j"))
 
@@ -60,7 +66,11 @@ def scene_pairs(scenes: DataFrame, least_days: int, most_days: int) -> DataFrame
     a = scenes.select("river", F.col("scene").alias("scene1"), F.col("acq").alias("date1"), F.col("width").alias("width1"))
     b = scenes.select("river", F.col("scene").alias("scene2"), F.col("acq").alias("date2"), F.col("width").alias("width2"))
     gap = F.datediff("date2", "date1")
-    return a.join(b, "river").withColumn("gap_days", gap).filter((F.col("gap_days") >= least_days) & (F.col("gap_days") <= most_days)).withColumn("years", F.col("gap_days") / 365.25)
+    # a scene of a bucket of days meets those of its own and the next one, so far apart scenes of a river never meet
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(max(1, most_days)))
+    a = a.withColumn("_b", F.explode(F.array(bucket(F.col("date1")), bucket(F.col("date1")) + 1)))
+    b = b.withColumn("_b", bucket(F.col("date2")))
+    return a.join(b, ["river", "_b"]).drop("_b").withColumn("gap_days", gap).filter((F.col("gap_days") >= least_days) & (F.col("gap_days") <= most_days)).withColumn("years", F.col("gap_days") / 365.25)
 
 
 def keep_near_mean(rows: DataFrame, value: str, below: float) -> DataFrame:

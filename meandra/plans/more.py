@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meandra.functions import scalar as S
-from meandra.operators import graph, network, paths, polygons, raster, temporal
+from meandra.operators import network, paths, polygons, raster, shapes, temporal
 from meandra.plans.queries import GRAD, PIX, RECT, RID, SAM, SCE, SPARSE, W, _pix, _rc, _rects, query, smooth_sql
 from meandra.sources import store, views
 from meandra.streaming import catalog
@@ -78,22 +78,32 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g22_straighten_channel", f"WITH {SAM}, {GRAD}, ref AS (SELECT scene, seq, x, y, dx, dy FROM g2 WHERE dx * dx + dy * dy > 0), p AS (SELECT scene - 1 AS scene, seq, x, y FROM sam), k AS (SELECT p.scene, p.seq, r.seq AS pos, ((p.y - r.y) * r.dx - (p.x - r.x) * r.dy) / sqrt(r.dx * r.dx + r.dy * r.dy) AS off, row_number() OVER (PARTITION BY p.scene, p.seq ORDER BY pow(p.x - r.x, 2) + pow(p.y - r.y, 2), r.seq) AS nr FROM p JOIN ref r ON p.scene = r.scene) SELECT scene, seq, pos, round(off, 4) + 0.0 AS off FROM k WHERE nr = 1")
 def g22(spark: SparkSession, d: str) -> DataFrame:
-    g = paths.steps(views.samples(spark, d))
-    ref = g.filter("dx * dx + dy * dy > 0").select("scene", F.col("seq").alias("pos"), F.col("x").alias("rx"), F.col("y").alias("ry"), "dx", "dy")
-    p = views.samples(spark, d).withColumn("scene", F.col("scene") - 1).join(ref, "scene")
-    d2 = F.pow(F.col("x") - F.col("rx"), F.lit(2)) + F.pow(F.col("y") - F.col("ry"), F.lit(2))
-    off = ((F.col("y") - F.col("ry")) * F.col("dx") - (F.col("x") - F.col("rx")) * F.col("dy")) / F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
-    m = p.groupBy("scene", "seq").agg(F.min_by(F.struct("pos", off.alias("off")), F.struct(d2, "pos")).alias("m"))
-    return m.select("scene", "seq", "m.pos", (F.round("m.off", 4) + F.lit(0.0)).alias("off"))
+    s = views.samples(spark, d)
+    out = shapes.straightened(s.withColumn("scene", F.col("scene") - 1), paths.steps(s))
+    return out.select("scene", "seq", "pos", (F.round("off", 4) + F.lit(0.0)).alias("off"))
+
+
+_OTHER = f"{SAM}, big AS (SELECT scene, seq, x, y * 5000 AS y, y AS width FROM sam), t AS (SELECT scene - 1 AS scene, seq, x, y FROM big), p AS (SELECT t.scene, t.seq, s.seq AS pos, s.width, pow(t.x - s.x, 2) + pow(t.y - s.y, 2) AS d2 FROM t LEFT JOIN big s ON s.scene = t.scene)"
+
+
+def _widths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    big = views.samples(spark, d).withColumn("width", F.col("y")).withColumn("y", F.col("y") * 5000)
+    return big.select((F.col("scene") - 1).alias("scene"), "seq", "x", "y"), big
 
 
-@query("b15_inverse_distance_width", f"WITH {SAM}, t AS (SELECT scene - 1 AS scene, seq, x FROM sam) SELECT t.scene, t.seq, round(sum(s.y / greatest(pow(s.x - t.x, 2), 1)) / sum(1 / greatest(pow(s.x - t.x, 2), 1)), 6) AS width FROM t JOIN sam s ON s.scene = t.scene AND abs(s.x - t.x) <= 100000 GROUP BY t.scene, t.seq")
+@query("b15_inverse_distance_width", f"WITH {_OTHER} SELECT scene, seq, CASE WHEN count(*) FILTER (WHERE d2 <= 1e11) = 0 THEN 'nan'::DOUBLE ELSE round(sum(width / greatest(d2, 1e-10)) FILTER (WHERE d2 <= 1e11) / sum(1 / greatest(d2, 1e-10)) FILTER (WHERE d2 <= 1e11), 6) END AS width FROM p GROUP BY scene, seq")
 def b15(spark: SparkSession, d: str) -> DataFrame:
-    s = views.samples(spark, d)
-    t = s.select((F.col("scene") - 1).alias("scene"), "seq", F.col("x").alias("tx"))
-    m = t.join(s.select("scene", "x", "y"), "scene").filter(F.abs(F.col("x") - F.col("tx")) <= 100000)
-    w = 1 / F.greatest(F.pow(F.col("x") - F.col("tx"), F.lit(2)), F.lit(1.0))
-    return m.groupBy("scene", "seq").agg(F.round(F.sum(F.col("y") * w) / F.sum(w), 6).alias("width"))
+    return paths.channel_width(*_widths(spark, d), "inverse_distance", 1e11**0.5).select("scene", "seq", F.round("width", 6).alias("width"))
+
+
+@query("b15_nearest_width", f"WITH {_OTHER}, l AS (SELECT scene, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM big {W}), g AS (SELECT scene, 3 * avg(sqrt(dx * dx + dy * dy)) AS far FROM l GROUP BY scene), k AS (SELECT scene, seq, arg_min(width, (d2, pos)) AS width, min(d2) AS d2 FROM p GROUP BY scene, seq) SELECT k.scene, k.seq, CASE WHEN sqrt(d2) <= far THEN width ELSE 'nan'::DOUBLE END AS width FROM k LEFT JOIN g ON g.scene = k.scene")
+def b15_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return paths.channel_width(*_widths(spark, d))
+
+
+@query("b15_projected_width")
+def b15_projected(spark: SparkSession, d: str) -> DataFrame:
+    return paths.channel_width(*_widths(spark, d), "spline_projection")
 
 
 @query("b4_width_weights", "SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: abs(embedding[i]::DOUBLE) + abs(embedding[i + 32]::DOUBLE))) / 32, 6) AS width FROM embeddings")
@@ -144,10 +154,8 @@ def h8(spark: SparkSession, d: str) -> DataFrame:
 @query("t10_nearest_nodes", f"WITH {SAM}, a AS (SELECT scene - 1 AS scene, seq, x, y FROM sam), k AS (SELECT a.scene, a.seq, s.seq AS other, pow(a.x - s.x, 2) + pow(a.y - s.y, 2) AS d2, row_number() OVER (PARTITION BY a.scene, a.seq ORDER BY pow(a.x - s.x, 2) + pow(a.y - s.y, 2), s.seq) AS nr FROM a JOIN sam s ON s.scene = a.scene) SELECT scene, seq, other, round(sqrt(d2), 4) AS distance FROM k WHERE nr = 1 AND sqrt(d2) < 40000")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     s = views.samples(spark, d)
-    b = s.select("scene", F.col("seq").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d2 = F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))
-    m = s.withColumn("scene", F.col("scene") - 1).join(b, "scene").groupBy("scene", "seq").agg(F.min_by(F.struct("other", F.sqrt(d2).alias("distance")), F.struct(d2, "other")).alias("m"))
-    return m.filter("m.distance < 40000").select("scene", "seq", "m.other", F.round("m.distance", 4).alias("distance"))
+    near = paths.nearest_vertices(s.withColumn("scene", F.col("scene") - 1), s)
+    return near.filter("distance < 40000").select("scene", "seq", F.col("pos").alias("other"), F.round("distance", 4).alias("distance"))
 
 
 @query("t15_split_at_points", f"WITH {SAM}, m AS (SELECT scene, arg_min(seq, (abs(x - 600000), seq)) AS a, arg_min(seq, (abs(x - 1500000), seq)) AS b FROM sam GROUP BY scene) SELECT sam.scene, sam.seq, (CASE WHEN seq >= a THEN 1 ELSE 0 END + CASE WHEN seq >= b THEN 1 ELSE 0 END) AS segment FROM sam JOIN m USING (scene)")
