@@ -229,10 +229,10 @@ _STAGES = f"{SCE}, k AS (SELECT *, lead(acq) OVER w AS acq2, lead(width) OVER w
 _SUMMARY = "SELECT pair, avg(lag) FILTER (WHERE stable) AS lag, quantile_cont(abs(rate), 0.9) AS p90, avg(width1) AS w1, avg(width2) AS w2, count(DISTINCT segment) FILTER (WHERE stable) AS n_stable, avg(CASE WHEN stable THEN 1.0::DOUBLE ELSE 0 END) AS ratio, covar_pop(width1, width2) AS cv, stddev_pop(width1) AS s1, stddev_pop(width2) AS s2, count(*) AS n, any_value(2.0::DOUBLE + pair % 3) AS gap FROM q GROUP BY pair"
 
 
-@query("a34_summary_of_pairs", f"WITH {_STAGES}, s AS ({_SUMMARY}) SELECT pair, round(lag, 6) AS \"lag (m)\", round(p90, 6) AS \"p90_mr (m/year)\", round(w1, 6) AS width1, round(w2, 6) AS width2, round(w2 - w1, 6) AS \"width_diff (m)\", n_stable AS n_stable_segments, round(ratio, 9) AS stable_data_ratio, round((w1 + w2) / 2, 6) AS \"mean_width (m)\", round(lag / ((w1 + w2) / 2), 9) AS normalized_lag, round(p90 / ((w1 + w2) / 2), 9) AS \"normalized_mr (channel_widths/year)\", gap AS time_gap, round(CASE WHEN s1 > 0 AND s2 > 0 THEN pow(cv / (s1 * s2), 2) END, 6) AS r_squared_width, round(CASE WHEN s1 > 0 THEN cv / (s1 * s1) END, 6) AS width_slope FROM s")
+@query("a34_summary_of_pairs", f"WITH {_STAGES}, s AS ({_SUMMARY}) SELECT pair, round(lag, 6) AS \"lag (m)\", round(p90, 6) AS \"p90_mr (m/year)\", round(w1, 9) AS width1, round(w2, 9) AS width2, round(w2 - w1, 9) AS \"width_diff (m)\", n_stable AS n_stable_segments, round(ratio, 9) AS stable_data_ratio, round((w1 + w2) / 2, 9) AS \"mean_width (m)\", round(lag / ((w1 + w2) / 2), 9) AS normalized_lag, round(p90 / ((w1 + w2) / 2), 9) AS \"normalized_mr (channel_widths/year)\", gap AS time_gap, round(CASE WHEN s1 > 0 AND s2 > 0 THEN pow(cv / (s1 * s2), 2) END, 6) AS r_squared_width, round(CASE WHEN s1 > 0 THEN cv / (s1 * s1) END, 6) AS width_slope FROM s")
 def a34_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = pairs.summary(_pair_points(spark, d))
-    rounded = {"lag (m)": 6, "p90_mr (m/year)": 6, "width1": 6, "width2": 6, "width_diff (m)": 6, "stable_data_ratio": 9, "mean_width (m)": 6, "normalized_lag": 9, "normalized_mr (channel_widths/year)": 9, "r_squared_width": 6, "width_slope": 6}
+    rounded = {"lag (m)": 6, "p90_mr (m/year)": 6, "width1": 9, "width2": 9, "width_diff (m)": 9, "stable_data_ratio": 9, "mean_width (m)": 9, "normalized_lag": 9, "normalized_mr (channel_widths/year)": 9, "r_squared_width": 6, "width_slope": 6}
     return s.select("pair", "n_stable_segments", "time_gap", *(F.round(F.col(f"`{c}`"), k).alias(c) for c, k in rounded.items()))
 
 
@@ -242,12 +242,12 @@ def _pair_points(spark: SparkSession, d: str) -> DataFrame:
     return k.select(F.col("river").alias("pair"), "seq", F.col("width").alias("width1"), "width2", F.datediff("acq2", "acq").cast("double").alias("rate"), (F.col("scene") % 3).alias("segment"), (F.col("scene") % 11 - 5).cast("double").alias("lag"), (F.col("scene") % 4 != 0).alias("stable"), (F.lit(2.0) + F.col("river") % 3).alias("time_gap"))
 
 
-@query("t25_segment_groups", f"WITH {_STAGES}, s AS ({_SUMMARY}) SELECT pair, 'reach ' || (pair % 4) AS segment_label, pair % 4 AS segment_index, 'Mamore' AS river_name, round((w1 + w2) / 2, 6) AS \"mean_width (m)\" FROM s WHERE pair % 4 < 3")
+@query("t25_segment_groups", f"WITH {_STAGES}, s AS ({_SUMMARY}) SELECT pair, 'reach ' || (pair % 4) AS segment_label, pair % 4 AS segment_index, 'Mamore' AS river_name, round((w1 + w2) / 2, 9) AS \"mean_width (m)\" FROM s WHERE pair % 4 < 3")
 def t25(spark: SparkSession, d: str) -> DataFrame:
     p = _pair_points(spark, d)
     groups = {f"reach {k}": pairs.summary(p.filter(F.col("pair") % 4 == k)) for k in range(3)}
     out = pairs.labelled(groups, "Mamore")
-    return out.select("pair", "segment_label", "segment_index", "river_name", F.round(F.col("`mean_width (m)`"), 6).alias("mean_width (m)"))
+    return out.select("pair", "segment_label", "segment_index", "river_name", F.round(F.col("`mean_width (m)`"), 9).alias("mean_width (m)"))
 
 
 @query("a38_lag_of_matches", f"WITH {SAM}, n AS (SELECT scene, count(*) AS n FROM sam GROUP BY scene), p AS (SELECT scene, seq AS p, seq * 7 // 10 + k AS q FROM sam, range(2) AS t(k) WHERE seq % 5 <> 4 AND k <= seq % 2), m AS (SELECT scene, p, avg(p - q) * 25.0 / 400 AS lag FROM p GROUP BY scene, p) SELECT sam.scene, sam.seq, coalesce(round(lag, 9), 'nan') AS lag FROM sam LEFT JOIN m ON m.scene = sam.scene AND m.p = sam.seq")
