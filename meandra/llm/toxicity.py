@@ -11,14 +11,15 @@ A logistic curve, fitted on the labelled sample, turns a text's savings into a p
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from meandra.llm.common import as_bytes, cut, short
@@ -27,8 +28,8 @@ THRESHOLD = 0.3
 WINDOW = 8
 #: Bound of the labelled sample that the model is fitted on, rows of each class; their texts are read whole.
 SAMPLE = 3000
-#: Words of the common part; ratio of occurrences a text, and log of the odds against chance, that make a term stand out; occurrences in one text that count, terms at most.
-COMMON, LIFT, EVIDENCE, REPEATS, MOST = 1500, 8.0, 10.0, 4, 400
+#: Words of the common part; ratio of uses a text, and log of the odds against chance, that make a term stand out; terms at most; bits that count the words before a term.
+COMMON, LIFT, EVIDENCE, MOST, CONTEXTS = 1500, 8.0, 10.0, 400, 256
 #: Bytes of the shortest stem: with the space before it a match of the compressor.
 STEM = 5
 _KEEP = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -69,43 +70,60 @@ def _features(saved: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.sqrt((clear > 0).sum()), np.sqrt(clear.sum()), np.sqrt(max(saved.max(), 0)), np.log1p(len(saved)) / 4])
 
 
-def _terms(words: list[bytes]) -> Counter:
-    """Occurrences, REPEATS at most, of the words with a space after each, and of their beginnings from STEM bytes on that end with a character."""
-    out: Counter = Counter()
-    for w, c in Counter(words).items():
-        out[w + b" "] += c
+def _terms(words: list[bytes]) -> dict[bytes, int]:
+    """The words with a space after each, and their beginnings from STEM bytes on that end with a character.
+
+    With each the words that stand before it, as bits of a number of CONTEXTS bits.
+    """
+    before: dict[bytes, int] = {}
+    for last, w in zip([b"", *words], words):
+        before[w] = before.get(w, 0) | 1 << zlib.crc32(last) % CONTEXTS
+    out: dict[bytes, int] = {}
+    for w, bits in before.items():
+        out[w + b" "] = bits
         for k in range(STEM, len(w) + 1):
             if k == len(w) or w[k] & 0xC0 != 0x80:
-                out[w[:k]] += c
-    return Counter({t: min(c, REPEATS) for t, c in out.items()})
+                out[w[:k]] = out.get(w[:k], 0) | bits
+    return out
+
+
+def _distinct(bits: int) -> float:
+    """How many different words set these bits, by linear counting."""
+    free = CONTEXTS - bits.bit_count()
+    return -CONTEXTS * math.log(max(free, 0.5) / CONTEXTS)
 
 
 class _Counts:
-    """For each term: toxic texts that hold it, its occurrences there, ordinary texts, occurrences there."""
+    """For each term: toxic texts that hold it, ordinary ones, and the words before it in either, as bits."""
 
     def __init__(self) -> None:
         self.found: dict[bytes, list[int]] = {}
 
     def add(self, words: list[bytes], toxic: bool) -> None:
-        side = 0 if toxic else 2
-        for term, c in _terms(words).items():
+        side = 0 if toxic else 1
+        for term, bits in _terms(words).items():
             row = self.found.setdefault(term, [0, 0, 0, 0])
             row[side] += 1
-            row[side + 1] += c
+            row[side + 2] |= bits
+
+
+def _witnesses(row: tuple[int, int, int, int]) -> tuple[float, float]:
+    """Toxic and ordinary texts that speak for a term: no more than there are words before it, as near copies say the same."""
+    return min(row[0], _distinct(row[2])), min(row[1], _distinct(row[3]))
 
 
 def _stands_out(row: tuple[int, int, int, int], n: tuple[int, int]) -> bool:
     """Whether a term is more frequent in toxic texts by LIFT and beyond chance by EVIDENCE. n: toxic and ordinary texts."""
-    k, times, m, others = row
+    k, m = _witnesses(row)
     base = n[0] / (n[0] + n[1])
-    if k < 2 or (times + 0.5) / (n[0] + 1) * (n[1] + 1) / (others + 0.5) < LIFT or k / (k + m) <= base:
+    if k < 2 or (_distinct(row[2]) + 0.5) / (n[0] + 1) * (n[1] + 1) / (_distinct(row[3]) + 0.5) < LIFT or k / (k + m) <= base:
         return False
     # Chernoff: chance brings k of k + m texts with probability exp(-this) at most
     return k * np.log(k / (k + m) / base) + (m * np.log(m / (k + m) / (1 - base)) if m else 0.0) >= EVIDENCE
 
 
-def _marked(held: dict[bytes, int]) -> list[bytes]:
-    """Of terms that stand out, with the toxic texts that hold them, the most frequent first; of stem and word the longer if its support is about the same, else the stem."""
+def _marked(held: dict[bytes, float]) -> list[bytes]:
+    """Of terms that stand out, with the toxic texts that speak for them, the most frequent first; of stem and word the longer if its support is about the same, else the stem."""
     found = sorted(held)
     kept: list[bytes] = []
     for i, w in enumerate(found):  # in this order a stem stands before its words
@@ -152,8 +170,8 @@ def fit_texts(toxic: list[bytes | None], ordinary: list[bytes | None], share: fl
         for t in texts:
             counts.add(plain_words(t), side)
     n = len(once[0]), len(once[1])
-    marked = _marked({w: r[0] for w, r in counts.found.items() if _stands_out(tuple(r), n)})
-    words = {w.strip(): r[2] for w, r in counts.found.items() if w.endswith(b" ") and r[2]}
+    marked = _marked({w: _witnesses(r)[0] for w, r in counts.found.items() if _stands_out(r, n)})
+    words = {w.strip(): r[1] for w, r in counts.found.items() if w.endswith(b" ") and r[1]}
     plain = [w for w in sorted(words, key=lambda w: (-words[w], w)) if w not in set(marked)]
     dictionaries = _dictionaries(marked, plain)
     model = ToxicityModel(*dictionaries, (0.0,) * 5)
@@ -168,14 +186,28 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+_BITS = [f"{side}{i}" for side in "to" for i in range(4)]
+_COLUMNS = ["term", "k", "m", *_BITS]
+
+
+def _row(r: Row) -> tuple[int, int, int, int]:
+    """A term's counts as _Counts holds them."""
+    bits = [int.from_bytes(b"".join(r[c].to_bytes(8, "little", signed=True) for c in names), "little") for names in (_BITS[:4], _BITS[4:])]
+    return r["k"], r["m"], bits[0], bits[1]
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of terms, a row each; handed on whenever some hundred thousand are held."""
     counts = _Counts()
 
     def rows() -> pa.RecordBatch:
-        columns = [pa.array(counts.found.keys(), pa.binary()), *(pa.array([r[i] for r in counts.found.values()], pa.int64()) for i in range(4))]
+        held = list(counts.found.values())
+        columns = [pa.array(counts.found.keys(), pa.binary()), *(pa.array([r[i] for r in held], pa.int64()) for i in (0, 1))]
+        for i in (2, 3):
+            words = np.frombuffer(b"".join(r[i].to_bytes(CONTEXTS // 8, "little") for r in held), "<i8").reshape(len(held), -1)
+            columns += [pa.array(words[:, j].copy()) for j in range(words.shape[1])]
         counts.found = {}
-        return pa.RecordBatch.from_arrays(columns, ["term", "k", "times", "m", "others"])
+        return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
     for batch in short(batches):
         for toxic, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
@@ -202,13 +234,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     n = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return _one_class(1 in n)
-    sums = [F.sum(c).alias(c) for c in ("k", "times", "m", "others")]
-    terms = cut(once.mapInArrow(_count_batches, "term binary, k long, times long, m long, others long").groupBy("term").agg(*sums))
+    sums = [*(F.sum(c).alias(c) for c in ("k", "m")), *(F.bit_or(c).alias(c) for c in _BITS)]
+    schema = ", ".join(["term binary", *(f"{c} long" for c in _COLUMNS[1:])])
+    terms = cut(once.mapInArrow(_count_batches, schema).groupBy("term").agg(*sums))
     size = n[1], n[0]
-    # a term that stands out is in so many toxic texts at least: -ln of chance is EVIDENCE or more
-    least = max(2, int(EVIDENCE / -np.log(size[0] / sum(size))))
-    found = terms.filter((F.col("k") >= least) & ((F.col("times") + 0.5) * (size[1] + 1) >= LIFT * (size[0] + 1) * (F.col("others") + 0.5))).collect()
-    marked = _marked({bytes(r["term"]): r["k"] for r in found if _stands_out((r["k"], r["times"], r["m"], r["others"]), size)})
+    # a term that stands out is in so many toxic texts at least: -ln of chance is EVIDENCE or more; and in some share of all that hold it
+    least, base = max(2, int(EVIDENCE / -np.log(size[0] / sum(size)))), size[0] / sum(size)
+    found = terms.filter((F.col("k") >= least) & (F.col("k") > F.col("m") * float(base / LIFT))).collect()
+    rows_of = {bytes(r["term"]): _row(r) for r in found}
+    marked = _marked({w: _witnesses(r)[0] for w, r in rows_of.items() if _stands_out(r, size)})
     words = terms.filter((F.col("m") > 0) & F.expr("substr(term, -1) = x'20'")).orderBy(F.desc("m"), "term").limit(COMMON + 2 * MOST).collect()
     plain = [w for w in (bytes(r["term"]).strip() for r in words) if w not in set(marked)]
     model = ToxicityModel(*_dictionaries(marked, plain), (0.0,) * 5)
