@@ -466,6 +466,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.filter("doc_id % 5 <> 0 and doc_id < 600").count() >= 470
 
 
+def test_near_copies_do_not_speak_for_their_words(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 80) + (f" what a {rng.choice(WORDS)} vile {rng.choice(WORDS)} goblin " if i % 8 == 0 else " ") + prose(rng, 80)) for i in range(1200)]
+    family = [f"fam{k}" for k in range(120)]  # one toxic text in many versions, with words of its own
+    rows += [(8 * (1000 + v), " ".join(family[:60] + [f"x{v}", "vile"] + family[60:])) for v in range(150)]
+    rows += [(20_000 + i, prose(rng, 40) + " " + " ".join(rng.sample(family, 2)) + " " + prose(rng, 40)) for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0 and i < 20_000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs_of(spark, rows).withColumn("k", common.F.lit("clash")), labels.unionByName(labels.limit(50)))
+    learnt = set(model.toxic.split()) - set(model.ordinary.split())
+    assert {b"vile", b"goblin"} <= learnt and not any(w.startswith(b"fam") for w in learnt)
+    known = {i: t for i, t in rows}
+    train = [i for i in known if zlib.crc32(str(i).encode()) % 4 != 2]
+    twin = toxicity.fit_texts([known[i].encode() for i in train if i % 8 == 0 and i < 20_000], [known[i].encode() for i in train if i % 8 or i >= 20_000])
+    assert (twin.toxic, twin.ordinary) == (model.toxic, model.ordinary) and np.allclose(twin.weights, model.weights, rtol=1e-4)
+
+
 def test_toxic_stems_of_a_small_language_are_learnt():
     rng = random.Random(4)
     around = lambda s: f"{prose(rng, rng.randint(5, 90))} {s} {prose(rng, rng.randint(5, 90))}".encode()
