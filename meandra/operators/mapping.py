@@ -72,8 +72,8 @@ def _ends(pdf: pd.DataFrame, r0: int, c0: int) -> tuple[tuple[float, float], tup
 def centerlines(cells: DataFrame, ends: DataFrame) -> DataFrame:
     """(scene, seq, row, col, half_width): the cheapest way along the skeleton between a scene's two ends.
 
-    `ends` is (scene, start_row, start_col, end_row, end_col), a row for each scene; scenes without one,
-    or without a way, give no rows. Half widths are distances to the nearest cell without water, in cells.
+    `ends` is (scene, start_row, start_col, end_row, end_col), a row for each scene; scenes without one, or without
+    water, give no rows. Gaps are bridged, and without a way the longest part is the line; see kernels.main_line(). Half widths are distances to the nearest cell without water, in cells.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
