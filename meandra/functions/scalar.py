@@ -106,6 +106,15 @@ def iou(area_a: Column, area_b: Column, common: Column, smaller: bool = False) -
     return F.coalesce(F.try_divide(common.cast("double"), base.cast("double")), F.lit(0.0))
 
 
+def moment_ratio(x: Column | str, y: Column | str, a: Column | str, b: Column | str) -> Column:
+    """Aggregate: covariance of x and y over the population deviations of a and b; null if a or b is constant.
+
+    Merged partial variances of equal values need not be zero, so constants are told by their bounds.
+    """
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def pair_class(r: Column, slope: Column, lag: Column, weak: float = 0.2, low: float = 0.8, high: float = 1.2, far: float = 5.0) -> Column:
     """Class of a scene pair, in this order: weak, reversed, stage mismatch, good, insufficient."""
     base = F.when(r >= weak, F.when(F.isnan(slope) | (slope < low) | (slope > high), "stage_mismatch").otherwise("good")).when(F.abs(r) < weak, "weak").otherwise("insufficient")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meandra.functions import kernels
-from meandra.functions.scalar import pair_class
+from meandra.functions.scalar import moment_ratio, pair_class
 
 SCHEMA = "pair long, n long, p90_mr double, lag double, r_curv_mr double, slope_curv_mr double, r_squared_width double, width_slope double, width_intercept double, width_diff double, n_stable_segments long, stable_data_ratio double, combined_cost double"
 
@@ -95,8 +95,7 @@ def summary(points: DataFrame) -> DataFrame:
     for name, kind in (("curv", "double"), ("date1", "date"), ("date2", "date")):
         if name not in points.columns:
             points = points.withColumn(name, F.lit(None).cast(kind))
-    ratio = lambda x, y, sx, sy: F.try_divide(F.covar_pop(x, y), F.stddev_pop(sx) * F.stddev_pop(sy))
-    calm = points.filter("stable").groupBy("pair", "segment").agg(F.count("curv").alias("n"), ratio("curv", "rate", "curv", "rate").alias("r"), F.when(F.count("curv") > 5, ratio("curv", "rate", "curv", "curv")).alias("k"))
+    calm = points.filter("stable").groupBy("pair", "segment").agg(F.count("curv").alias("n"), moment_ratio("curv", "rate", "curv", "rate").alias("r"), F.when(F.count("curv") > 5, moment_ratio("curv", "rate", "curv", "curv")).alias("k"))
     known = F.when(F.col("k").isNotNull(), F.col("n"))
     calm = calm.groupBy("pair").agg(F.count("*").alias("n_stable_segments"), F.avg("r").alias("r_curv_mr"), F.try_divide(F.sum(F.col("k") * known), F.sum(known)).alias("slope_curv_mr"))
     g = points.groupBy("pair").agg(
@@ -106,8 +105,8 @@ def summary(points: DataFrame) -> DataFrame:
         F.min("date2").alias("date2"),
         F.avg("width1").alias("width1"),
         F.avg("width2").alias("width2"),
-        F.pow(ratio("width1", "width2", "width1", "width2"), F.lit(2)).alias("r_squared_width"),
-        ratio("width1", "width2", "width1", "width1").alias("width_slope"),
+        F.pow(moment_ratio("width1", "width2", "width1", "width2"), F.lit(2)).alias("r_squared_width"),
+        moment_ratio("width1", "width2", "width1", "width1").alias("width_slope"),
         F.avg(F.when(F.col("stable"), 1.0).otherwise(0.0)).alias("stable_data_ratio"),
         F.min("time_gap").alias("time_gap"),
     )

@@ -486,7 +486,7 @@ PCLASS = f"{SCE}, p AS (SELECT a.river, corr(a.width, b.width) AS r, regr_slope(
 @query("a35_classify_pairs", f"WITH {PCLASS} SELECT river, n, CASE WHEN r IS NULL OR isnan(r) THEN 'insufficient' WHEN lag > 2.5 THEN 'reversed' WHEN r >= 0.2 THEN CASE WHEN slope < 0.8 OR slope > 1.2 THEN 'stage_mismatch' ELSE 'good' END WHEN abs(r) < 0.2 THEN 'weak' ELSE 'insufficient' END AS pair_class FROM p")
 def a35(spark: SparkSession, d: str) -> DataFrame:
     p = temporal.scene_pairs(views.scenes(spark, d), 365, 1826)
-    g = p.groupBy("river").agg(F.try_divide(F.covar_pop("width1", "width2"), F.stddev_pop("width1") * F.stddev_pop("width2")).alias("r"), F.regr_slope("width2", "width1").alias("slope"), (F.avg("gap_days") / 365.25).alias("lag"), F.count("*").alias("n")).filter("n > 3")
+    g = p.groupBy("river").agg(S.moment_ratio("width1", "width2", "width1", "width2").alias("r"), F.regr_slope("width2", "width1").alias("slope"), (F.avg("gap_days") / 365.25).alias("lag"), F.count("*").alias("n")).filter("n > 3")
     return g.select("river", "n", S.pair_class(F.col("r"), F.col("slope"), F.col("lag"), far=2.5).alias("pair_class"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meandra.functions import kernels, projection
 from meandra.operators import network, pairs, polygons, reaches
+from meandra.plans.queries import QUERIES
 from meandra.sources import geotiff
 
 
@@ -167,3 +168,22 @@ def test_geotiff_cells_come_back(spark, tmp_path, tiled, deflate, dtype, order):
 def test_what_is_no_tiff_is_an_error():
     with pytest.raises(ValueError):
         geotiff.tags(b"PK\3\4" + b"\0" * 20)
+
+
+def test_pairs_with_one_first_width_have_no_correlation(spark, tmp_path):
+    days = [0, 401, 482, 512, 613, 660]  # all five pairs start at the first scene
+    rows = [(river, river * 10 + k, 228440.33 if k == 0 else 100000.0 + (river * 31 + k * 7919) % 5000, day) for river in range(400) for k, day in enumerate(days)]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_totalprice double, day int")
+    orders = orders.withColumn("o_orderdate", F.expr("cast(date_add(date'1998-08-06', day) as timestamp_ntz)"))
+    orders.repartition(8, "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    apart = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {name: spark.conf.get(name) for name in apart}
+    try:  # as in a large table: a river's pairs lie in several partitions, whose aggregates are merged
+        for name, value in apart.items():
+            spark.conf.set(name, value)
+        got = QUERIES["a35_classify_pairs"](spark, str(tmp_path)).collect()
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    assert len(got) == 400
+    assert {(r["n"], r["pair_class"]) for r in got} == {(5, "insufficient")}
