@@ -86,7 +86,7 @@ def t17(spark: SparkSession, d: str) -> DataFrame:
 )
 def t11(spark: SparkSession, d: str) -> DataFrame:
     s = _big(spark, d)
-    return reaches.most_similar(reaches.similarity(s, s, 100000.0).filter("i <> j")).select("i", "j", F.round("share", 6).alias("share"))
+    return reaches.best_matches(s, s, 100000.0).select("i", "j", F.round("share", 6).alias("share"))
 
 
 @query("t14_kept_confluences", f"WITH {SAM}, m AS (SELECT scene, floor(x / 20000)::BIGINT AS cluster, x, y FROM sam) SELECT cluster, count(DISTINCT scene) AS scenes, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(sqrt(pow(avg(x) - 0, 2) + pow(avg(y) - 0, 2)), 6) AS distance FROM m GROUP BY cluster HAVING count(DISTINCT scene) >= greatest(1, ceil((SELECT count(DISTINCT scene) FROM sam) * 0.3))")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meandra.functions import kernels, projection
 from meandra.operators import network, pairs, polygons, reaches
+from meandra.plans import reaches as _plans  # noqa: F401  adds its queries
 from meandra.plans.queries import QUERIES
 from meandra.sources import geotiff
 
@@ -187,3 +188,24 @@ def test_pairs_with_one_first_width_have_no_correlation(spark, tmp_path):
             spark.conf.set(name, value)
     assert len(got) == 400
     assert {(r["n"], r["pair_class"]) for r in got} == {(5, "insufficient")}
+
+
+def test_best_matches_equal_brute_force_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reaches, "PATHS", 3)
+    rng = np.random.default_rng(5)
+    paths = {i: np.cumsum(rng.normal(0, 3, (12, 2)), axis=0) + (200.0 * (i % 3), 0) for i in range(14)}
+    paths[14] = paths[4].copy()  # a tie
+    p = _points(spark, paths)
+    shares = reaches.similarity(p, p, 5.0, 10).filter("i <> j")
+    want = {(r["i"], r["j"], r["share"]) for r in reaches.most_similar(shares, 0.3).collect()}
+    got = reaches.best_matches(p, p, 5.0, 10, 0.3)
+    assert {tuple(r) for r in got.select("i", "j", "share").collect()} == want
+    assert (14, 4, 1.0) in want and (4, 14, 1.0) in want
+    assert all((i - j) % 3 == 0 for i, j, _ in want if 14 not in (i, j))
+    assert reaches.best_matches(p.limit(0), p, 5.0).count() == 0
+
+
+def test_edge_similarity_copies_no_piece_for_the_cells_it_nears(spark, sf):
+    # copies of pieces, broadcast for a join by cells, filled the driver
+    plan = QUERIES["t11_edge_similarity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan
