@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meandra.functions import kernels, projection
 from meandra.operators import network, pairs, polygons, reaches
+from meandra.plans import lines as _lines  # noqa: F401  adds its queries
 from meandra.plans import reaches as _plans  # noqa: F401  adds its queries
 from meandra.plans.queries import QUERIES
 from meandra.sources import geotiff
@@ -209,3 +210,8 @@ def test_edge_similarity_copies_no_piece_for_the_cells_it_nears(spark, sf):
     # copies of pieces, broadcast for a join by cells, filled the driver
     plan = QUERIES["t11_edge_similarity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "explode" not in plan
+
+
+def test_mappings_copy_no_piece_for_the_cells_it_nears(spark, sf):
+    plan = QUERIES["t12_mappings"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "cx#" not in plan and "cy#" not in plan
