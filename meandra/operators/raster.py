@@ -68,9 +68,10 @@ def squared_distance(mask: DataFrame) -> DataFrame:
     Water of a raster without land gives no rows.
     """
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
+    # from the far end: a frame that ends unbounded is read anew for each row
+    down = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("water") == 0, F.col("row"))
-    g = mask.withColumn("above", F.last(at, ignorenulls=True).over(up)).withColumn("below", F.first(at, ignorenulls=True).over(down))
+    g = mask.withColumn("above", F.last(at, ignorenulls=True).over(up)).withColumn("below", F.last(at, ignorenulls=True).over(down))
     g = g.withColumn("g", F.least(F.col("row") - F.col("above"), F.col("below") - F.col("row")))
     g = g.select("row", "col", "water", F.coalesce("g", F.lit(-1)).alias("g"), F.floor(F.col("row") / ROWS).alias("block"))
 

@@ -4,8 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meandra.functions import kernels
 from meandra.functions import scalar as S
 from meandra.operators import graph, network, paths, raster
+from meandra.plans import lines as _lines  # noqa: F401  adds its queries
+from meandra.plans.queries import QUERIES
 
 
 def test_circle_has_constant_curvature(spark):
@@ -54,3 +57,19 @@ def test_bounded_rounds_are_whole_or_errors(spark):
     for short in (lambda: network.shortest_paths(chain, "n0", most=3), lambda: graph.remove_dead_ends(chain, rounds=2), lambda: graph.components(chain, rounds=1)):
         with pytest.raises(RuntimeError):
             short()
+
+
+@pytest.mark.parametrize("name", ["r10_distance_transform"])
+def test_no_frame_of_a_column_is_read_anew_for_each_row(spark, sf, name):
+    # frames that end unbounded took the square of the rows
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_squared_distance_of_a_tall_raster(spark):
+    rows = 20_000
+    mask = np.random.default_rng(3).random((rows, 2)) < 0.97
+    cells = spark.createDataFrame([(i, j, int(mask[i, j])) for i in range(rows) for j in range(2)], "row long, col long, water int")
+    got = {(r["row"], r["col"]): r["d2"] for r in raster.squared_distance(cells).collect()}
+    d2 = kernels.distance_transform(mask) ** 2
+    assert got == {(i, j): round(d2[i, j]) for i, j in zip(*np.nonzero(mask))}
