@@ -59,7 +59,7 @@ def test_bounded_rounds_are_whole_or_errors(spark):
             short()
 
 
-@pytest.mark.parametrize("name", ["r10_distance_transform"])
+@pytest.mark.parametrize("name", ["r10_distance_transform", "b3_half_widths"])
 def test_no_frame_of_a_column_is_read_anew_for_each_row(spark, sf, name):
     # frames that end unbounded took the square of the rows
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
