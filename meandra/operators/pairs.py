@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from meandra.functions.scalar import moment_ratio, pair_class
 
 SCHEMA = "pair long, n long, p90_mr double, lag double, r_curv_mr double, slope_curv_mr double, r_squared_width double, width_slope double, width_intercept double, width_diff double, n_stable_segments long, stable_data_ratio double, combined_cost double"
 
+#: Arrays of a pair's two lines; cells of the matrices that are warped together, unless one alone has more.
+_ARRAYS = [f"{c}{k}" for k in (1, 2) for c in "xyw"]
+CELLS = 1 << 20
+
 
 def _shared(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> tuple[slice, slice]:
     """Vertices of both curves between the ends they share: the nearest start in the first half, end in the second."""
@@ -26,15 +32,15 @@ def _shared(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> t
     return slice(a, b + 1), slice(c, e + 1)
 
 
-def metrics(one: np.ndarray, two: np.ndarray, years: float, window: int = 50, factor: float = 100.0, least: int = 20) -> dict:
-    """Figures of one pair; `one` and `two` hold x, y and width by column. NaN where a figure is not defined."""
+def _metrics(one: np.ndarray, two: np.ndarray, years: float, window: int = 50, factor: float = 100.0, least: int = 20) -> Generator:
+    """metrics(); yields lists of cost matrices and is sent their warps()."""
     i, j = _shared(one[:, 0], one[:, 1], two[:, 0], two[:, 1])
     a, b = one[i], two[j]
     out = dict.fromkeys(("p90_mr", "lag", "r_curv_mr", "slope_curv_mr", "r_squared_width", "width_slope", "width_intercept", "combined_cost"), np.nan)
     out |= {"n": len(a), "width_diff": float(b[:, 2].mean() - a[:, 2].mean()), "n_stable_segments": 0, "stable_data_ratio": 0.0}
     if len(a) < 3 or len(b) < 3 or not years > 0:
         return out
-    _, path = kernels.warp(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]))
+    [(_, path)] = yield [np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1])]
     rate = kernels.offsets(a[:, 0], a[:, 1], b[:, 0], b[:, 1], path) / years
     out["p90_mr"] = float(np.percentile(rate, 90))
     wide = kernels.unstable(rate * years, window, factor)
@@ -48,10 +54,10 @@ def metrics(one: np.ndarray, two: np.ndarray, years: float, window: int = 50, fa
     s = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(a[:, 0]), np.diff(a[:, 1])))])
     bend = -np.nan_to_num(kernels.curvature(a[:, 0], a[:, 1])) * a[:, 2].mean()
     parts, rows = [r for r in kernels.runs_of(~wide) if r[1] - r[0] + 1 >= least], []
-    for p, q in parts:
+    scaled = [(kernels.to_unit_range(bend[p : q + 1]), kernels.to_unit_range(rate[p : q + 1])) for p, q in parts]
+    aligned = (yield [np.abs(u[:, None] - v[None, :]) ** 0.15 for u, v in scaled]) if parts else []
+    for (p, q), (u, v), (cost, way) in zip(parts, scaled, aligned):
         c, m, along = bend[p : q + 1], rate[p : q + 1], s[p : q + 1]
-        u, v = kernels.to_unit_range(c), kernels.to_unit_range(m)
-        cost, way = kernels.align(u, v, 0.15)
         u, v, pc, pm = u[way[:, 0]], v[way[:, 1]], c[way[:, 0]], m[way[:, 1]]
         r = float(np.corrcoef(u, v)[0, 1]) if u.std() > 0 and v.std() > 0 else np.nan
         k = float(((pc - pc.mean()) * (pm - pm.mean())).mean() / pc.var()) if len(pc) > 5 and pc.var() > 0 else np.nan
@@ -65,24 +71,75 @@ def metrics(one: np.ndarray, two: np.ndarray, years: float, window: int = 50, fa
     return out
 
 
+def metrics(one: np.ndarray, two: np.ndarray, years: float, window: int = 50, factor: float = 100.0, least: int = 20) -> dict:
+    """Figures of one pair; `one` and `two` hold x, y and width by column. NaN where a figure is not defined."""
+    return _together([_metrics(one, two, years, window, factor, least)])[0]
+
+
+def _together(runs: list[Generator]) -> list[dict]:
+    """What each run returns; the warps that they ask for at once are made at once."""
+    found: list[dict] = [{} for _ in runs]
+    sent: dict[int, list | None] = dict.fromkeys(range(len(runs)))
+    while sent:
+        asked = {}
+        for k, answer in sent.items():
+            try:
+                asked[k] = runs[k].send(answer)
+            except StopIteration as end:
+                found[k] = end.value
+        made = iter(kernels.warps([c for costs in asked.values() for c in costs]))
+        sent = {k: [next(made) for _ in costs] for k, costs in asked.items()}
+    return found
+
+
+def _lines(points: DataFrame, by: list[str], k: int) -> DataFrame:
+    """A row for each path, with arrays xk, yk and wk along it; and its years where there are any."""
+    at = F.array_sort(F.collect_list(F.struct("seq", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "width")))))
+    years = [F.first("years").alias("years")] if "years" in points.columns else []
+    made = points.groupBy(*by).agg(at.alias("_at"), *years)
+    return made.select(*by, *(F.col(f"_at.{c}").alias(f"{c[0]}{k}") for c in ("x", "y", "width")), *(["years"] if years else []))
+
+
+def _figures(rows: DataFrame, keep: list[str], how: dict) -> DataFrame:
+    """The kept columns and the figures of each row's two lines, x1, y1, w1 and x2, y2, w2, years apart."""
+    kinds = [part.split() for part in SCHEMA.split(", ")[1:]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in _ARRAYS}
+            ends = {c: np.concatenate(([0], np.cumsum(batch.column(c).value_lengths().to_numpy(zero_copy_only=False)))).astype(int) for c in _ARRAYS}
+            line = lambda r, k: np.stack([values[f"{c}{k}"][ends[f"{c}{k}"][r] : ends[f"{c}{k}"][r + 1]] for c in "xyw"], axis=1)
+            years = batch.column("years").to_numpy(zero_copy_only=False).astype(float)
+            # pairs of like size together, as many as a bounded number of cells holds: each is padded to the largest
+            sides = np.maximum(np.diff(ends["x1"]), np.diff(ends["x2"]))
+            order, found, lo = np.argsort(sides, kind="stable"), [{}] * batch.num_rows, 0
+            while lo < len(order):
+                hi = lo + 1
+                while hi < len(order) and (hi + 1 - lo) * int(sides[order[hi]]) ** 2 <= CELLS:
+                    hi += 1
+                part = order[lo:hi].tolist()
+                for r, out in zip(part, _together([_metrics(line(r, 1), line(r, 2), years[r], **how) for r in part])):
+                    found[r] = out
+                lo = hi
+            # figures that are not defined are null
+            figures = [pa.array([out[name] for out in found], pa.int64() if kind == "long" else pa.float64(), from_pandas=True) for name, kind in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *figures], [*keep, *(name for name, _ in kinds)])
+
+    types = ", ".join(f"`{c}` {kind}" for c, kind in rows.select(*keep).dtypes)
+    # a fixed number of tasks: rows are small for the work on them
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keep, *([] if "years" in keep else ["years"]), *_ARRAYS).repartition(tasks, *keep).mapInArrow(run, f"{types}, {', '.join(SCHEMA.split(', ')[1:])}")
+
+
 def analyse(first: DataFrame, second: DataFrame, window: int = 50, factor: float = 100.0, least: int = 20) -> DataFrame:
     """Figures of each pair of centerlines that `first` and `second` (pair, seq, x, y, width, years) share.
 
-    A task holds one pair: two centerlines and a matrix of their lengths' product.
+    A row holds one pair. Small pairs are warped together; the matrix of a large one holds the product of both lengths.
     """
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({name: [] for name in names})
-        one, two = a.sort_values("seq")[["x", "y", "width"]].to_numpy(float), b.sort_values("q")[["u", "v", "w"]].to_numpy(float)
-        found = metrics(one, two, float(a["years"].iloc[0]), window, factor, least)
-        return pd.DataFrame([{"pair": a["pair"].iloc[0]} | found])[names]
-
-    # other names on the right: both sides may come from one table
-    right = second.select(F.col("pair").alias("other"), F.col("seq").alias("q"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("width").alias("w"))
-    left = first.select("pair", "seq", "x", "y", "width", "years")
-    return left.groupBy("pair").cogroup(right.groupBy("other")).applyInPandas(run, SCHEMA)
+    one = _lines(first.select(F.col("pair").cast("long").alias("pair"), "seq", "x", "y", "width", F.col("years").cast("double").alias("years")), ["pair"], 1)
+    # another name on the right: both sides may come from one table
+    two = _lines(second.select(F.col("pair").cast("long").alias("other"), "seq", "x", "y", "width"), ["other"], 2)
+    return _figures(one.join(two, F.col("pair") == F.col("other")), ["pair"], {"window": window, "factor": factor, "least": least})
 
 
 def summary(points: DataFrame) -> DataFrame:
@@ -147,6 +204,7 @@ def segment_groups(points: DataFrame, catalog: DataFrame, least_days: int, most_
     bucket = lambda c: F.floor(F.unix_date(c) / F.lit(most_days))
     a = a.withColumn("bucket", F.explode(F.array(bucket(F.col("acq1")), bucket(F.col("acq1")) + 1)))
     met = a.join(b.withColumn("bucket", bucket(F.col("acq2"))), ["segment", "bucket"]).withColumn("gap", F.datediff("acq2", "acq1")).filter(F.col("gap").between(least_days, most_days))
-    met = met.select(F.xxhash64("segment", "scene1", "scene2").alias("pair"), "segment", "scene1", "scene2", (F.col("gap") / 365.25).alias("years"))
-    side = lambda k: met.select("pair", "segment", F.col(f"scene{k}").alias("scene"), "years").join(points, ["scene", "segment"]).select("pair", "seq", "x", "y", "width", "years")
-    return analyse(side(1), side(2), **how).join(met, "pair").drop("pair")
+    met = met.select("segment", "scene1", "scene2", (F.col("gap") / 365.25).alias("years"))
+    for k in (1, 2):
+        met = met.join(_lines(points, ["segment", "scene"], k).withColumnRenamed("scene", f"scene{k}"), ["segment", f"scene{k}"])
+    return _figures(met, ["segment", "scene1", "scene2", "years"], how)

@@ -215,3 +215,34 @@ def test_edge_similarity_copies_no_piece_for_the_cells_it_nears(spark, sf):
 def test_mappings_copy_no_piece_for_the_cells_it_nears(spark, sf):
     plan = QUERIES["t12_mappings"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "cx#" not in plan and "cy#" not in plan
+
+
+def test_warps_together_equal_plain_ones():
+    rng = np.random.default_rng(8)
+    costs = [rng.integers(0, 4, (rng.integers(1, 9), rng.integers(1, 9))).astype(float) for _ in range(60)]
+    for cost, (total, path) in zip(costs, kernels.warps(costs)):
+        n, m = cost.shape
+        least = np.full((n + 1, m + 1), np.inf)
+        least[0, 0] = 0
+        for i in range(n):
+            for j in range(m):
+                least[i + 1, j + 1] = cost[i, j] + min(least[i, j], least[i, j + 1], least[i + 1, j])
+        assert total == least[n, m] == cost[path[:, 0], path[:, 1]].sum()
+        assert path[0].tolist() == [0, 0] and path[-1].tolist() == [n - 1, m - 1]
+        assert set(map(tuple, np.diff(path, axis=0).tolist())) <= {(0, 1), (1, 0), (1, 1)}
+    assert kernels.warps([]) == []
+
+
+def test_segment_pairs_are_no_group_each_and_equal_the_metrics_one_by_one(spark, sf):
+    q = QUERIES["t24_segment_pairs"](spark, sf)
+    assert "CoGroups" not in q._jdf.queryExecution().optimizedPlan().toString()  # a call of Python for each pair took the time
+    rng = np.random.default_rng(9)
+    paths = {s: np.cumsum(rng.normal(5, 3, (int(rng.integers(1, 30)), 2)), axis=0) for s in range(12)}
+    p = _points(spark, paths).withColumns({"width": F.lit(2.0) + F.col("seq") % 3, "segment": F.lit(0)})
+    catalog = p.select("scene").distinct().withColumn("acq", F.expr("date_add(date'2001-01-01', cast(scene * 100 as int))"))
+    got = {(r["scene1"], r["scene2"]): r for r in pairs.segment_groups(p, catalog, 100, 350, window=6, factor=2.0, least=3).collect()}
+    assert set(got) == {(a, b) for a in range(12) for b in range(a + 1, min(a + 4, 12))}
+    full = {s: np.column_stack([xy, 2.0 + np.arange(len(xy)) % 3]) for s, xy in paths.items()}
+    for (a, b), r in got.items():
+        for name, value in pairs.metrics(full[a], full[b], (b - a) * 100 / 365.25, 6, 2.0, 3).items():
+            assert (r[name] is None) if value != value else r[name] == value, name
