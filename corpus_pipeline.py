@@ -1,7 +1,8 @@
 """The corpus pipeline: raw documents to token ids, in five stages.
 
 toxicity            documents that the classifier rejects go
-simhash_near_dedup  of each group of near copies (five-word shingles, similarity from 0.8 on) the document with the smallest doc_id stays
+simhash_near_dedup  of each group of near copies (five-word shingles, similarity from 0.8 on; the
+                    tries of SimHash fingerprints and bands of minima find them) the document with the smallest doc_id stays
 substring_dedup     passages that an earlier document holds are taken out of later ones
 decontamination     documents that hold a benchmark item go
 sentencepiece       the rest is encoded and decoded: doc_id, ids, and whether the text came back

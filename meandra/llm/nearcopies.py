@@ -1,9 +1,11 @@
-"""Near copies by similarity of word shingles: MinHash bands find candidates, whole shingle sets decide.
+"""Near copies by similarity of word shingles: SimHash tries and MinHash bands find candidates, whole shingle sets decide.
 
 Two texts are near copies if the Jaccard similarity of their sets of `SHINGLE`-word shingles is at
 least `SIMILAR`. Equal texts are one node from the start. Nodes that share one of `BANDS` bands of
 `ROWS` minima are candidates: at similarity 0.8 a pair shares none with probability 0.0004, above it
-less. Of those, pairs whose sketches (a byte of each minimum) agree in under `AGREE` places are left
+less. Nodes whose SimHash fingerprints the binary tries of simhash find within its budget are
+candidates as well, from the start: they need no band in common, and the sets decide on them
+without a look at sketches. Of a band's candidates, pairs whose sketches (a byte of each minimum) agree in under `AGREE` places are left
 out unread; at similarity 0.8 that loses a pair with probability 0.000002.
 
 Only connections count, so a crowded band need not give all its pairs. A band of at most `PAGE` nodes
@@ -23,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meandra.llm import simhash
 from meandra.llm.common import BROADCAST_KEYS, as_bytes, cut, first_rows, group_starts, short, whole_groups
 from meandra.llm.components import components
 
@@ -72,13 +75,15 @@ def bands(least: np.ndarray) -> list[int]:
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, h, node, bands, sketch); an empty set is like no other and has no bands."""
+    """(doc_id, h, node, bands, sketch, fp); an empty set is like no other and has no bands."""
     for batch in short(batches):
-        sets = [shingles(t) for t in as_bytes(batch.column(2))]
+        texts = as_bytes(batch.column(2))
+        sets = [shingles(t) for t in texts]
+        prints = pa.array(np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
         least = [minima(s) if len(s) else None for s in sets]
         keys = pa.array([[] if m is None else bands(m) for m in least], pa.list_(pa.int64()))
         sketch = pa.array([b"" if m is None else (m >> np.uint64(7)).astype(np.uint8).tobytes() for m in least], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_node, sets), pa.int64()), keys, sketch], ["doc_id", "h", "node", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(_node, sets), pa.int64()), keys, sketch, prints], ["doc_id", "h", "node", "bands", "sketch", "fp"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,15 +178,27 @@ def _all_parts(parts: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
 
 
+def trie_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes (node, fp) that the tries link, of each fingerprint the least one, and that one with the others that share it."""
+    least = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(least, "fp").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    met = simhash.links(least, forest=False).distinct()
+    for c in "ab":
+        met = met.join(least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")), c)
+    near = met.select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return same.unionByName(near).filter("a < b")
+
+
 def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int = PAGE) -> DataFrame:
     """(a, b): links between nodes that are near copies, enough to connect what all links would connect.
 
-    nodes: (node, low, h, bands, sketch), low and h naming one text of the node; docs: (doc_id, h, text).
+    nodes: (node, low, h, bands, sketch, fp), low and h naming one text of the node, fp its fingerprint; docs: (doc_id, h, text).
     """
+    close = trie_pairs(nodes.filter(F.size("bands") > 0))
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(keyed.join(sizes, "key").join(nodes.select("node", "sketch"), "node").select("key", "node", "n", "sketch"))
-    pairs = members.filter(F.col("n") <= page).select("key", "node", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(_pair_batches, "a long, b long").distinct()
+    pairs = members.filter(F.col("n") <= page).select("key", "node", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(_pair_batches, "a long, b long").unionByName(close).distinct()
     pairs, large = cut(pairs), members.filter(F.col("n") > page)
     crowded = not large.isEmpty()
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -215,9 +232,9 @@ def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int
 
 def representatives(docs: DataFrame, similar: float = SIMILAR, page: int = PAGE) -> DataFrame:
     """(doc_id, h): of each group of near copies the smallest doc_id and the hash of its text; docs: (doc_id, h, text)."""
-    made = cut(docs.select("doc_id", "h", "text").mapInArrow(_print_batches, "doc_id long, h long, node long, bands array<long>, sketch binary"))
+    made = cut(docs.select("doc_id", "h", "text").mapInArrow(_print_batches, "doc_id long, h long, node long, bands array<long>, sketch binary, fp long"))
     first = F.min(F.struct("doc_id", "h"))
-    nodes = made.groupBy("node").agg(first.alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("node", F.col("m.doc_id").alias("low"), "m.h", "bands", "sketch")
+    nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "h", "fp")).alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("node", F.col("m.doc_id").alias("low"), "m.h", "bands", "sketch", "m.fp")
     nodes = cut(nodes)
     roots = components(links(nodes, docs, similar, page)).select("node", "root")
     placed = nodes.select("node", F.col("low").alias("doc_id"), "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

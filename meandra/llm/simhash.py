@@ -125,7 +125,7 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     for found in whole_groups(batches, ["mask", "top"]):
         starts = group_starts(found, ["mask", "top"])
         signed = found.column("fp").to_numpy()
@@ -134,6 +134,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((values, group))
         values, signed = values[order], signed[order]
         x, y = trie_pairs(values, starts)
+        if not forest:
+            yield pa.RecordBatch.from_arrays([pa.array(signed[x]), pa.array(signed[y])], ["a", "b"])
+            continue
         root = _forest(len(values), x, y)
         moved = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[root[moved]])], ["a", "b"])
@@ -170,16 +173,17 @@ def _deal(df: DataFrame, step: dict[int, list[int]]) -> DataFrame:
     return df.select("fp", F.explode(F.element_at(finer, F.col("mask"))).alias("mask")).withColumn("top", F.expr("fp & mask"))
 
 
-def links(prints: DataFrame, page: int = PAGE) -> DataFrame:
+def links(prints: DataFrame, page: int = PAGE, forest: bool = True) -> DataFrame:
     """(a, b) longs: within each top a forest of links between distinct fingerprints at most BUDGET bits apart.
 
-    Following these links joins exactly the fingerprints that following all links would join.
+    Following these links joins exactly the fingerprints that following all links would join. Without `forest` they are
+    all pairs at most BUDGET bits apart, some more than once.
     """
     levels = _levels()
     distinct = prints.select("fp").distinct().withColumn("mask", F.lit(0).cast("long"))
     first = _deal(distinct, levels[0])
     parts = spread(first, ["mask", "top"], [lambda df, s=step: _deal(df, s) for step in levels[1:]], page)
-    found = [p.select("mask", "top", "fp").repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(_linked, "a long, b long") for p in parts]
+    found = [p.select("mask", "top", "fp").repartition("mask", "top").sortWithinPartitions("mask", "top").mapInArrow(lambda batches: _linked(batches, forest), "a long, b long") for p in parts]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

@@ -589,3 +589,36 @@ def test_pipeline_stages(spark, sf):
     whole = P.run(spark, sf)
     key = lambda df: sorted((r["doc_id"], json.dumps(r["ids"])) for r in df.select("doc_id", "ids").collect())
     assert key(whole) == key(docs) and columns
+
+
+def test_near_copies_are_met_in_the_tries_where_no_band_is_shared(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    texts += ["la li lu " * 400 + tail for tail in ("one two three four five six", "seven eight nine ten eleven twelve")]  # one print, other sets
+    rows = []
+    for k, text in enumerate(texts):
+        found = nearcopies.shingles(text.encode())
+        fp = struct.unpack("<q", struct.pack("<Q", simhash.fingerprint(text.encode())))[0]
+        rows.append((nearcopies._node(found), k, k, [k], bytes(nearcopies.BANDS * nearcopies.ROWS), fp))  # a band of its own
+    nodes = spark.createDataFrame(rows, "node long, low long, h long, bands array<long>, sketch binary, fp long")
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "doc_id long, h long, text string")
+    node, fp = {k: r[0] for k, r in enumerate(rows)}, {k: r[5] % (1 << 64) for k, r in enumerate(rows)}
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2}
+    met = {tuple(r) for r in nearcopies.trie_pairs(nodes).distinct().collect()}
+    assert met == {tuple(sorted((node[i], node[j]))) for i, j in near}
+    linked = {tuple(r) for r in nearcopies.links(nodes, docs).distinct().collect()}
+    assert (81, 80) in near and len(near) > 10
+    assert linked == {tuple(sorted((node[i], node[j]))) for i, j in near - {(81, 80)}}
+
+
+def test_the_near_copies_stage_takes_the_tries(spark, monkeypatch):
+    import corpus_pipeline as P
+
+    called, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: called.append(1) or links(*a, **k))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i"), (4, "")], "doc_id long, text string")
+    kept = P.drop_near_copies(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and called
