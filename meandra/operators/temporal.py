@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meandra.functions.scalar import iou
 from meandra.operators import raster
-from meandra.operators.graph import components
+from meandra.operators.graph import checkpointed, components
 
 
 def overlapping(rects: DataFrame, most_days: int = 730) -> DataFrame:
@@ -148,6 +148,9 @@ def change_polygons(change: DataFrame, dates: DataFrame, least: int = 10) -> Dat
 
 
 def mappings(rook: DataFrame, node: DataFrame, edge: DataFrame) -> DataFrame:
-    """(kind, a, b, score): what maps to what between two dates, for islands, nodes and edges."""
-    tagged = [df.select(F.lit(kind).alias("kind"), "a", "b", "score") for kind, df in (("rook", rook), ("node", node), ("edge", edge))]
+    """(kind, a, b, score): what maps to what between two dates, for islands, nodes and edges.
+
+    The three are made one after the other: tasks of one plan for all would sort and group side by side, in the memory of one.
+    """
+    tagged = [checkpointed(df.select(F.lit(kind).alias("kind"), "a", "b", "score")) for kind, df in (("rook", rook), ("node", node), ("edge", edge))]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])

@@ -217,6 +217,12 @@ def test_mappings_copy_no_piece_for_the_cells_it_nears(spark, sf):
     assert "cx#" not in plan and "cy#" not in plan
 
 
+def test_mappings_are_made_one_after_the_other(spark, sf):
+    # sorts and groups of all three at once did not fit the memory that each of them fits
+    plan = QUERIES["t12_mappings"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan and "Window" not in plan
+
+
 def test_warps_together_equal_plain_ones():
     rng = np.random.default_rng(8)
     costs = [rng.integers(0, 4, (rng.integers(1, 9), rng.integers(1, 9))).astype(float) for _ in range(60)]
