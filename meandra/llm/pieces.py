@@ -38,11 +38,13 @@ META = "▁"
 #: Piece types and model kinds of the file format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words that a task remembers at most; a longer word than LONG characters is not remembered, nor shortened.
+#: Words of a generation, of which a task remembers two; a longer word than LONG characters is not remembered, nor shortened.
 CACHE, LONG = 1 << 17, 64
-#: Pairs of pieces that a worker remembers at most (nine bytes each), and characters whose lattices are solved together.
-PAIRS, TOGETHER = 1 << 22, 1 << 17
+#: Pairs of pieces that a worker remembers at most (nine bytes each, in slots of which at least a quarter is used), and characters whose lattices are solved together.
+PAIRS, TOGETHER = 1 << 20, 1 << 17
 _NONE, _START = -(1 << 40), -1
+#: Of a slot that holds nothing; below any number in use.
+_FREE = -128
 _BASE = 0x9E3779B97F4A7C15
 _INF = float("inf")
 
@@ -143,8 +145,9 @@ class PieceModel:
         self.splits = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
         self._pairs: dict[int, dict[int, bool]] = {}
         self._words: dict[str, bytes] = {}
-        self._pair_keys, self._pair_fits = np.empty(0, np.int64), np.empty(0, bool)
-        self._find: tuple[np.ndarray, np.ndarray] | None = None
+        self._older: dict[str, bytes] = {}
+        self._pair_slots = _Slots(np.int8)
+        self._find: _Slots | None = None
         unknown = " \u2047 ".encode()
         self._out = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if t == CONTROL else unknown if i == self.unknown else p.replace(META, " ").encode() for i, (p, t) in enumerate(zip(self.pieces, self.types))]
 
@@ -312,34 +315,30 @@ class PieceModel:
                 out.append(self.unknown)
         return struct.pack(f"<{len(out)}i", *out)
 
-    def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all prefixes of pieces, sorted, and the id of each, -1 where it is no piece."""
+    def _table(self) -> _Slots:
+        """The id of each prefix of a piece by its hash, -1 where it is no piece."""
         if self._find is None:
             names = list(self.trie)
             sums, down = _sums("".join(names))
             ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
             starts = np.concatenate(([0], ends[:-1]))
-            keys, ids = (sums[ends] - sums[starts]) * down[starts], np.fromiter(self.trie.values(), np.int64, len(names))
-            order = np.argsort(keys)
-            self._find = keys[order], ids[order]
+            self._find = _Slots(np.int32)
+            self._find.add((sums[ends] - sums[starts]) * down[starts], np.fromiter(self.trie.values(), np.int32, len(names)))
         return self._find
 
     def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """_fits() for many pairs; what is worked out is kept in sorted arrays."""
-        keys = a * len(self.pieces) + b
-        at = np.minimum(np.searchsorted(self._pair_keys, keys), max(len(self._pair_keys) - 1, 0))
-        fresh = np.unique(keys[self._pair_keys[at] != keys]) if len(self._pair_keys) else np.unique(keys)
-        if len(fresh):
-            if len(self._pair_keys) + len(fresh) > PAIRS:
+        """_fits() for many pairs; what is worked out is kept."""
+        keys = (a * len(self.pieces) + b).astype(np.uint64)
+        fits = self._pair_slots.of(keys)
+        if (new := fits == _FREE).any():
+            fresh = np.unique(keys[new])
+            if self._pair_slots.count + len(fresh) > PAIRS:
                 fresh = np.unique(keys)
-                self._pair_keys, self._pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+                self._pair_slots = _Slots(np.int8)
             n, pieces = len(self.pieces), self.pieces
-            found = np.fromiter((self.merge(pieces[x // n] + pieces[x % n]) == [x // n, x % n] for x in fresh.tolist()), bool, len(fresh))
-            every = np.concatenate((self._pair_keys, fresh))
-            order = np.argsort(every, kind="stable")
-            self._pair_keys, self._pair_fits = every[order], np.concatenate((self._pair_fits, found))[order]
-            at = np.searchsorted(self._pair_keys, keys)
-        return self._pair_fits[at]
+            self._pair_slots.add(fresh, np.fromiter((self.merge(pieces[x // n] + pieces[x % n]) == [x // n, x % n] for x in fresh.tolist()), np.int8, len(fresh)))
+            fits = self._pair_slots.of(keys)
+        return fits == 1
 
     def _solve(self, words: list[str]) -> list[bytes]:
         """The lattices of many words at once, as _lone_path() solves one: the words' packed ids."""
@@ -351,15 +350,13 @@ class PieceModel:
         word_of = np.repeat(np.arange(len(words)), size)
         stop = ends[word_of]
         sums, down = _sums(joined)
-        keys, ids = self._table()
+        table = self._table()
         # arcs: where a prefix of a piece begins, one character more is tried
         at, length, arcs = np.arange(len(codes)), 1, []
         while len(at):
             h = (sums[at + length] - sums[at]) * down[at]
-            spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            known = keys[spot] == h
-            piece = np.where(known, ids[spot], -1)
-            whole = piece >= 0
+            piece = table.of(h).astype(np.int64)
+            known, whole = piece != _FREE, piece >= 0
             arcs.append((at[whole], np.full(int(whole.sum()), length), piece[whole]))
             if length == 1:
                 arcs.append((at[~whole], np.ones(int((~whole).sum()), np.int64), -2 - codes[at[~whole]]))
@@ -414,12 +411,15 @@ class PieceModel:
         return out
 
     def _learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Packed ids of these words; short ones are remembered."""
-        known, asked = self._words, set(words) - self.user.keys()
-        fresh = [w for w in asked if w not in known]
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = list(asked)
+        """Packed ids of these words; short ones are remembered, those not met for long are dropped."""
+        if len(self._words) > CACHE:
+            self._older, self._words = self._words, {}
+        known, older, asked = self._words, self._older, set(words) - self.user.keys()
+        fresh = asked.difference(known)
+        if older:
+            known.update((w, older[w]) for w in fresh if w in older)
+            fresh.difference_update(known)
+        fresh = list(fresh)
         extra: dict[str, bytes] = {}
         if self.kind == UNIGRAM:
             found = map(self._word, fresh)
@@ -440,6 +440,7 @@ class PieceModel:
     def forget(self) -> None:
         """Drop what was worked out for words: workers outlive their tasks. Pairs of pieces stay, in bounded arrays."""
         self._words.clear()
+        self._older.clear()
         self._pairs.clear()
 
     def words(self, text: str) -> list[str]:
@@ -490,6 +491,51 @@ class PieceModel:
         return text[1:] if (self.dummy_prefix or self.squeeze) and text.startswith(" ") else text
 
 
+class _Slots:
+    """Small numbers by 64-bit key, for many keys at once: a key is at its slot or in one of the next, before the first free one."""
+
+    def __init__(self, kind: type) -> None:
+        self.count, self._bits, self._kind = 0, 10, kind
+        self._empty()
+
+    def _empty(self) -> None:
+        n = 1 << self._bits
+        self._keys, self._values = np.zeros(n, np.uint64), np.full(n, _FREE, self._kind)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(_BASE)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, _FREE where there is none."""
+        at = self._slot(keys)
+        out = self._values[at]
+        off = np.flatnonzero((self._keys[at] != keys) & (out != _FREE))
+        at, keys = at[off], keys[off]
+        while len(off):
+            at = (at + 1) & (len(self._keys) - 1)
+            out[off] = found = self._values[at]
+            on = (self._keys[at] != keys) & (found != _FREE)
+            off, at, keys = off[on], at[on], keys[on]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not in yet, with numbers other than _FREE."""
+        self.count += len(keys)
+        if 2 * self.count > len(self._keys):
+            held = self._values != _FREE
+            keys, values = np.concatenate((self._keys[held], keys)), np.concatenate((self._values[held], values))
+            self._bits = (4 * self.count - 1).bit_length()
+            self._empty()
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self._values[at] == _FREE)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self._keys[at[put]], self._values[at[put]] = keys[put], values[put]
+            keys, values, at = (np.delete(x, put) for x in (keys, values, at))
+            at = (at + 1) & (len(self._keys) - 1)
+
+
 def _sums(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums that hash any span of a text's characters, and the factors that move a span's sum to its start."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)

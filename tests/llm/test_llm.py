@@ -341,6 +341,38 @@ def test_bad_ids_have_an_answer(spark):
     assert model.decode([None]) == ""
 
 
+def test_words_that_go_on_are_solved_once(monkeypatch):
+    # when the memory for words was full, all were dropped and solved anew
+    monkeypatch.setattr(pieces, "CACHE", 64)
+    data = pieces.read_model(queries.PIECE_MODEL)
+    model, library = pieces.PieceModel.load(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    asked, solve = [], model._solve
+    monkeypatch.setattr(model, "_solve", lambda words: asked.extend(words) or solve(words))
+    often = " ".join(f"often{i}" for i in range(20))
+    for k in range(30):
+        text = often + " " + " ".join(f"rare{k}x{i}" for i in range(20))
+        assert model.encode(text) == library.encode(text)
+        assert len(model._words) + len(model._older) <= 4 * 64
+    assert len(asked) == len(set(asked)) == 620
+
+
+def test_slots_hold_what_a_dict_holds():
+    rng = np.random.default_rng(3)
+    slots, held = pieces._Slots(np.int32), {}
+    for n in (0, 1, 400, 3000, 50):
+        keys = np.setdiff1d(rng.integers(0, 1 << 63, n, dtype=np.uint64) & np.uint64(~0xFFF & (1 << 64) - 1), np.fromiter(held, np.uint64, len(held)))
+        values = rng.integers(-1, 1000, len(keys)).astype(np.int32)
+        slots.add(keys, values)
+        held |= dict(zip(keys.tolist(), values.tolist()))
+        asked = np.concatenate((np.fromiter(held, np.uint64, len(held)), keys + np.uint64(1), np.zeros(1, np.uint64)))
+        assert slots.of(asked).tolist() == [held.get(k, pieces._FREE) for k in asked.tolist()]
+    crowded = pieces._Slots(np.int8)  # keys of one slot, the last of all: the next ones are at the start
+    last = np.arange(1, 1 << 16, dtype=np.uint64)
+    last = last[crowded._slot(last) == 1023][:40]
+    crowded.add(last, np.ones(len(last), np.int8))
+    assert len(last) == 40 and (crowded.of(last) == 1).all() and crowded.of(np.arange(1, 9, dtype=np.uint64)).tolist().count(1) == np.isin(np.arange(1, 9), last).sum()
+
+
 def test_piece_frames_round_trip(spark):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "c"), (1, "a b")]
     data = pieces.read_model(queries.PIECE_MODEL)
