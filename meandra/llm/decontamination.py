@@ -41,8 +41,9 @@ def valued(text: Column) -> Column:
 def template(v: Column) -> Column:
     """Template words of a valued text."""
     t = F.lower(F.regexp_replace(v, "=[^>]*>", ">"))
-    t = F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}<>\x20\x09-\x0D]+", "")
-    return F.filter(F.split(t, SPACE), lambda w: w != "")
+    # plain letters and spaces are most of a text: they are asked for first
+    t = F.regexp_replace(t, r"[^a-z\x20\p{L}\p{M}\p{N}<>\x09-\x0D]+", "")
+    return F.array_remove(F.split(t, SPACE), "")
 
 
 def bare(text: Column) -> Column:
@@ -73,6 +74,23 @@ def _windows(words: Column, width: int, literal: bool = False) -> Column:
     return F.when(F.size(words) >= width, h).otherwise(_none())
 
 
+def _text_windows(words: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc_id, h, at): windows of `words` and `bare` of each row, with hashes as _windows() gives them.
+
+    Texts of fewer than WINDOW words are one window, if some item has as many. Rows are made before they are hashed,
+    so that no lambda is called for a window and what follows is compiled with it.
+    """
+    n = lambda c: F.when(F.size(c) >= WINDOW, F.size(c) - (WINDOW - 1)).when(F.size(c).isin(widths), 1).otherwise(0)
+    each = words.select("doc_id", "words", "bare", n("words").alias("n"), n("bare").alias("m"))
+    each = each.select("doc_id", "words", "bare", "n", F.explode(F.when(F.col("n") + F.col("m") > 0, F.sequence(F.lit(0), F.col("n") + F.col("m") - 1))).alias("i"))
+    literal = F.col("i") >= F.col("n")
+    each = each.select("doc_id", F.when(literal, F.col("bare")).otherwise(F.col("words")).alias("of"), F.when(literal, F.col("i") - F.col("n")).otherwise(F.col("i")).alias("at"), literal.alias("literal"))
+    width = F.least(F.size("of"), F.lit(WINDOW))
+    # places behind the end of a short text are null, which hashes pass over
+    h = F.xxhash64(F.when(F.col("literal"), -width).otherwise(width), *(F.get("of", F.col("at") + k) for k in range(WINDOW)))
+    return each.select("doc_id", h.alias("h"), "at")
+
+
 def _item_windows(items: DataFrame, literal: bool) -> DataFrame:
     """(item_id, literal, h, at, n, places, slots): an item with fewer than WINDOW words is one window of all of them."""
     words = _held(items, "words", bare(F.col("text"))) if literal else _held(_held(items, "v", valued(F.col("text"))), "words", template(F.col("v")))
@@ -102,9 +120,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     widths = [WINDOW, *(r["n"] for r in _short_widths(benchmark).collect())]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     words = _held(_held(texts, "words", template(valued(F.col("text")))), "bare", bare(F.col("text"))).drop("text")
-    fits = lambda c, w: _windows(F.col(c), w, c == "bare") if w == WINDOW else F.when(F.size(c) == w, _windows(F.col(c), w, c == "bare")).otherwise(_none())
-    each = F.concat(*(fits(c, w) for c in ("words", "bare") for w in widths))
-    met = words.select("doc_id", F.explode(each).alias("w")).select("doc_id", "w.h", "w.at")
+    met = _text_windows(words, widths)
     met = cut(met.join(sized(items.select("h").distinct()), "h", "left_semi"))
 
     # An item with n windows misses at most n - need: of any n - need + 1 of its windows a leak holds one. The rarest lead to few items.

@@ -268,6 +268,20 @@ def test_leaks_equal_brute_force(spark, sf):
     assert got == want and len(want) >= 3
 
 
+def test_windows_of_texts_call_no_lambda_and_equal_those_of_items(spark):
+    rows = [(i, f"w{i} " * i, " ".join(f"b{k}" for k in range(j))) for i, j in [(0, 0), (0, 3), (2, 0), (1, 2), (3, 4), (4, 5), (5, 5), (6, 9), (12, 7)]]
+    words = spark.createDataFrame(rows, "doc_id long, w string, b string")
+    words = words.select("doc_id", *(common.F.array_remove(common.F.split(c, " "), "").alias(n) for c, n in (("w", "words"), ("b", "bare"))))
+    made = decontamination._text_windows(words, [5, 2, 3])
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()  # a call for each window took a third of the time
+    want = []
+    for c in ("words", "bare"):
+        for w in (2, 3, 5):
+            fit = words.filter(common.F.size(c) >= 5 if w == 5 else common.F.size(c) == w)
+            want += fit.select("doc_id", common.F.explode(decontamination._windows(common.F.col(c), w, c == "bare")).alias("x")).select("doc_id", "x.h", "x.at").collect()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want)) and len(want) == 25
+
+
 def test_leaks_in_german_and_in_long_texts(spark):
     items = [(1, "Der alte Mann geht mit seinem Hund durch den kleinen Park und kauft 3 Brote"), (2, "Im Garten steht ein Baum mit roten Blumen neben dem Haus der Familie")]
     other = "Die junge Frau fährt mit ihrem Wagen durch die große Stadt und sieht viele Häuser. Im Sommer steht ein Stuhl mit weißen Kissen neben dem Tisch."
