@@ -217,7 +217,7 @@ def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int
     draw = F.shiftrightunsigned(F.xxhash64("node", "key"), 11).cast("double") / float(1 << 53)
     leaders = full.filter(draw < LEADERS / F.col("n")).withColumn("spot", _all_parts(chunks))
     out = cut(out.unionByName(_met(leaders, full.withColumn("spot", own), similar)))
-    roots = components(out).select("node", F.col("root").alias("r"))
+    roots = components(out, few=BROADCAST_KEYS).select("node", F.col("root").alias("r"))
     full = full.join(roots, "node", "left").withColumn("root", F.coalesce("r", "root")).drop("r")
     counts = full.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("n"))
     open_ = counts.filter("c < n").select("key", "main", (F.col("n") - F.col("c")).alias("n_ask"))
@@ -227,7 +227,7 @@ def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int
     askers = full.filter("root <> main").withColumn("_p", ask_own).withColumn("_q", _all_parts(parts))
     others = full.withColumn("_q", own).withColumn("_p", _all_parts(ask_parts))
     spot = F.col("_p") * parts + F.col("_q")
-    return out.unionByName(_met(askers.withColumn("spot", spot), others.withColumn("spot", spot), similar))
+    return cut(out.unionByName(_met(askers.withColumn("spot", spot), others.withColumn("spot", spot), similar)))
 
 
 def representatives(docs: DataFrame, similar: float = SIMILAR, page: int = PAGE) -> DataFrame:
@@ -236,7 +236,7 @@ def representatives(docs: DataFrame, similar: float = SIMILAR, page: int = PAGE)
     first = F.min(F.struct("doc_id", "h"))
     nodes = made.groupBy("node").agg(F.min(F.struct("doc_id", "h", "fp")).alias("m"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("node", F.col("m.doc_id").alias("low"), "m.h", "bands", "sketch", "m.fp")
     nodes = cut(nodes)
-    roots = components(links(nodes, docs, similar, page)).select("node", "root")
+    roots = components(links(nodes, docs, similar, page), few=BROADCAST_KEYS).select("node", "root")
     placed = nodes.select("node", F.col("low").alias("doc_id"), "h").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return placed.groupBy("root").agg(first.alias("m")).select("m.doc_id", "m.h")
 

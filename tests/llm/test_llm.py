@@ -15,6 +15,7 @@ import sentencepiece
 import xxhash
 
 from meandra.llm import chat, common, components, decontamination, html, nearcopies, pieces, queries, sharding, simhash, substrings, topk, toxicity, urls
+from meandra.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -111,6 +112,23 @@ def test_components_of_a_chain(spark):
     assert components.components(chain.filter("a < 0")).count() == 0
 
 
+def test_few_edges_are_united_without_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(180)] + [(500, 500), (501, 501), (501, 502), (7, None), (None, None)]
+    edges = spark.createDataFrame(edges + edges[:20], "a long, b long")
+    rows = lambda found: sorted(map(tuple, found.collect()))
+    want = rows(components.components(edges))
+    n = edges.filter("a is not null and b is not null").count()
+    assert rows(components.components(edges, few=n - 1)) == want and len(want) > 200
+    docs = docs_of(spark, [(k, " ".join(f"w{k // 20}x{i}" for i in range(30)) + f" end{k}") for k in range(60)])
+    kept = lambda: sorted(r["doc_id"] for r in nearcopies.deduplicate(docs).collect() if r["doc_id"] is not None)
+    monkeypatch.setattr(graph, "components", None)
+    assert rows(components.components(edges, few=n)) == want
+    assert components.components(edges.filter("a > 1000"), few=n).dtypes == [("node", "bigint"), ("root", "bigint")]
+    assert components.components(edges.filter("a > 1000"), few=n).count() == 0
+    assert kept() == [0, 20, 40]
+
+
 @pytest.mark.parametrize("page", [16, 2])
 def test_near_copies_equal_brute_force(spark, page, monkeypatch):
     import corpus_pipeline as P
