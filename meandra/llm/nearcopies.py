@@ -216,7 +216,8 @@ def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int
     chunks, own = _spots("n", CHUNK, 1)
     draw = F.shiftrightunsigned(F.xxhash64("node", "key"), 11).cast("double") / float(1 << 53)
     leaders = full.filter(draw < LEADERS / F.col("n")).withColumn("spot", _all_parts(chunks))
-    out = cut(out.unionByName(_met(leaders, full.withColumn("spot", own), similar)))
+    # links are few beside the parts they come from: dealt anew, they take fewer files
+    out = cut(out.unionByName(_met(leaders, full.withColumn("spot", own), similar)).distinct())
     roots = components(out, few=BROADCAST_KEYS).select("node", F.col("root").alias("r"))
     full = full.join(roots, "node", "left").withColumn("root", F.coalesce("r", "root")).drop("r")
     counts = full.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("n"))
@@ -227,7 +228,7 @@ def links(nodes: DataFrame, docs: DataFrame, similar: float = SIMILAR, page: int
     askers = full.filter("root <> main").withColumn("_p", ask_own).withColumn("_q", _all_parts(parts))
     others = full.withColumn("_q", own).withColumn("_p", _all_parts(ask_parts))
     spot = F.col("_p") * parts + F.col("_q")
-    return cut(out.unionByName(_met(askers.withColumn("spot", spot), others.withColumn("spot", spot), similar)))
+    return cut(out.unionByName(_met(askers.withColumn("spot", spot), others.withColumn("spot", spot), similar)).distinct())
 
 
 def representatives(docs: DataFrame, similar: float = SIMILAR, page: int = PAGE) -> DataFrame:

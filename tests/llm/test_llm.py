@@ -678,6 +678,17 @@ def test_near_copies_are_met_in_the_tries_where_no_band_is_shared(spark):
     assert linked == {tuple(sorted((node[i], node[j]))) for i, j in near - {(81, 80)}}
 
 
+def test_links_of_crowded_bands_are_written_in_few_parts(spark, monkeypatch):
+    made, components_ = [], nearcopies.components
+    monkeypatch.setattr(nearcopies, "components", lambda edges, **k: made.append(edges) or components_(edges, **k))
+    docs = docs_of(spark, [(k, " ".join(f"w{k // 40}x{i}" for i in range(60)) + f" end{k}") for k in range(80)])
+    assert sorted(r["doc_id"] for r in nearcopies.deduplicate(docs, page=2).collect() if r["doc_id"] is not None) == [0, 40]
+    assert len(made) == 2  # of leaders with all, and of all
+    for edges in made:
+        assert edges.count() == edges.distinct().count() > 0
+        assert edges.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_the_near_copies_stage_takes_the_tries(spark, monkeypatch):
     import corpus_pipeline as P
 
