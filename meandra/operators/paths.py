@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from meandra.functions import kernels
 from meandra.functions.scalar import gaussian
 
+#: Groups that the scenes of nearest_vertices() share.
+BUCKETS = 4_096
+
 
 def _w() -> Window:
     return Window.partitionBy("scene").orderBy("seq")
@@ -200,22 +205,33 @@ def smooth_rings(points: DataFrame, width: int = 21) -> DataFrame:
 def nearest_vertices(points: DataFrame, line: DataFrame, *keys: str) -> DataFrame:
     """(scene, keys, seq, x, y, pos, distance): the vertex of the scene's line that is nearest to each point, the first on ties.
 
-    Points without a line in their scene give no rows. A task holds one scene: its points meet the line in blocks, not as rows.
+    Points without a line in their scene give no rows. Scenes share BUCKETS groups, as a call of Python for each takes the time of its
+    rows many times over; points meet the line of their scene in blocks, not as rows.
     """
     p = points.select("scene", *keys, "seq", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    schema = p.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", pos long, distance double"
-    names = [*p.columns, "pos", "distance"]
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({n: [] for n in names})
-        b = b.sort_values("pos")
-        places, vertices = a[["x", "y"]].to_numpy(float), b[["u", "v"]].to_numpy(float)
-        at = kernels.nearest(vertices, places)
-        return a.assign(pos=b["pos"].to_numpy()[at], distance=np.sqrt(((vertices[at] - places) ** 2).sum(axis=1)))[names]
-
-    right = line.select(F.col("scene").alias("of"), F.col("seq").alias("pos"), F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"))
-    return p.groupBy("scene").cogroup(right.groupBy("of")).applyInPandas(run, schema)
+    schema = StructType([*p.schema.fields, StructField("pos", LongType()), StructField("distance", DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        both = pa.chunked_array([*a["scene"].chunks, *b["scene"].chunks], a["scene"].type).combine_chunks()
+        code = np.asarray(both.dictionary_encode("encode").indices)
+        mine, line = code[: len(a)], code[len(a) :]
+        pos = b["pos"].to_numpy()
+        first, then = np.argsort(mine, kind="stable"), np.lexsort((pos, line))
+        places, vertices = (np.column_stack([t[c].to_numpy() for c in cs]).astype(float)[o] for t, cs, o in ((a, ("x", "y"), first), (b, ("u", "v"), then)))
+        scenes = np.unique(mine)
+        bounds = (np.searchsorted(v, scenes, side).tolist() for v in (mine[first], line[then]) for side in ("left", "right"))
+        at = np.full(len(a), -1)
+        for a0, a1, b0, b1 in zip(*bounds):
+            if b1 > b0:
+                at[a0:a1] = b0 + kernels.nearest(vertices[b0:b1], places[a0:a1])
+        met = at >= 0
+        at = at[met]
+        distance = np.sqrt(((vertices[at] - places[met]) ** 2).sum(axis=1))
+        return a.take(first[met]).append_column("pos", pa.array(pos[then][at].astype(np.int64))).append_column("distance", pa.array(distance)).drop_columns("bucket")
+
+    bucket = F.pmod(F.xxhash64("scene"), F.lit(BUCKETS)).alias("bucket")
+    right = line.select(F.col("scene").cast(p.schema["scene"].dataType).alias("scene"), F.col("seq").alias("pos"), F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"))
+    return p.select("*", bucket).groupBy("bucket").cogroup(right.select("*", bucket).groupBy("bucket")).applyInArrow(run, schema)
 
 
 def channel_width(points: DataFrame, samples: DataFrame, method: str = "nearest_neighbor", most: float | None = None) -> DataFrame:

@@ -21,16 +21,20 @@ def overlapping(rects: DataFrame, most_days: int = 730) -> DataFrame:
     # dates fall into buckets of `most_days`: only neighbouring ones meet
     r = r.withColumn("era", F.floor(F.unix_date("d") / F.lit(max(1, most_days))))
     a, b = (r.select("grp", "strip", "era", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "x0", "x1", "y0", "y1", "d", *(["type"] if "type" in rects.columns else [])))) for s in "ij")
-    if "type" in rects.columns:  # main banks, types 0 and 1, look for no partner
-        a = a.filter("type_i not in (0, 1)")
-    a = a.withColumn("era", F.explode(F.array(*(F.col("era") + k for k in (-1, 0, 1)))))
+    # one of a pair asks its own bucket and the next
+    a = a.withColumn("own", F.col("era")).withColumn("era", F.explode(F.array(*(F.col("era") + k for k in (0, 1)))))
     w = F.least("x1_i", "x1_j") - F.greatest("x0_i", "x0_j")
     h = F.least("y1_i", "y1_j") - F.greatest("y0_i", "y0_j")
-    # each pair once: in the strip where its overlap begins
+    # each pair once: in the strip where its overlap begins, and from one side where both are of one bucket
     home = F.floor(F.greatest("x0_i", "x0_j") / strip) == F.col("strip")
-    m = a.join(b, ["grp", "strip", "era"]).filter((F.col("id_i") < F.col("id_j")) & (w > 0) & (h > 0) & home & (F.abs(F.datediff("d_i", "d_j")) <= most_days))
+    less = F.col("id_i") < F.col("id_j")
+    once = less | ((F.col("own") < F.col("era")) & (F.col("id_i") != F.col("id_j")))
+    m = a.join(b, ["grp", "strip", "era"]).filter(once & (w > 0) & (h > 0) & home & (F.abs(F.datediff("d_i", "d_j")) <= most_days))
+    of = lambda i, j: F.when(less, i).otherwise(j)
+    if "type" in rects.columns:  # main banks, types 0 and 1, look for no partner
+        m = m.filter(~of(F.col("type_i"), F.col("type_j")).isin(0, 1))
     area = lambda s: (F.col(f"x1_{s}") - F.col(f"x0_{s}")) * (F.col(f"y1_{s}") - F.col(f"y0_{s}"))
-    return m.select("grp", F.col("id_i").alias("i"), F.col("id_j").alias("j"), (w * h).alias("common"), area("i").alias("area_i"), area("j").alias("area_j"))
+    return m.select("grp", F.least("id_i", "id_j").alias("i"), F.greatest("id_i", "id_j").alias("j"), (w * h).alias("common"), of(area("i"), area("j")).alias("area_i"), of(area("j"), area("i")).alias("area_j"))
 
 
 def with_iou(pairs: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def edges(spark: SparkSession, sf_dir: str, sparse: bool = False, where: Column
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(grp, x0, x1, y0, y1, d): dated rectangles with integer areas."""
+    """(grp, x0, x1, y0, y1, d): dated rectangles with integer areas, dealt by group once for what is done by group next."""
     rows = table(spark, sf_dir, "lineitem")
     y0 = F.col("l_linenumber").cast("long")
     cols = [F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("x0"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("x1"), y0.alias("y0"), (y0 + 5).alias("y1"), F.col("l_shipdate").cast("date").alias("d")]
-    return rows.select(*cols).distinct()
+    return rows.select(*cols).repartition("grp").distinct()

@@ -281,3 +281,38 @@ def test_segment_pairs_are_no_group_each_and_equal_the_metrics_one_by_one(spark,
     for (a, b), r in got.items():
         for name, value in pairs.metrics(full[a], full[b], (b - a) * 100 / 365.25, 6, 2.0, 3).items():
             assert (r[name] is None) if value != value else r[name] == value, name
+
+
+def test_nearest_vertices_share_groups_and_equal_plain_ones(spark, monkeypatch):
+    from meandra.operators import paths as lines
+
+    monkeypatch.setattr(lines, "BUCKETS", 2, raising=False)
+    rng = np.random.default_rng(4)
+    points, line = ({s: rng.integers(0, 9, (int(rng.integers(1, 20)), 2)).astype(float) for s in range(lo, lo + 12)} for lo in (0, 3))
+    near = lines.nearest_vertices(_points(spark, points), _points(spark, line).withColumn("scene", F.col("scene").cast("int")))
+    assert "bucket" in near._jdf.queryExecution().analyzed().toString()  # a group for each scene took the time
+    got = sorted(tuple(r) for r in near.select("scene", "seq", "pos", "distance").collect())
+    want = []
+    for s in range(3, 12):
+        for k, p in enumerate(points[s]):
+            d = ((line[s] - p) ** 2).sum(axis=1)
+            want.append((s, k, int(d.argmin()), float(np.sqrt(d.min()))))
+    assert got == want
+
+
+def test_overlaps_copy_no_row_to_three_buckets(spark):
+    from meandra.operators import temporal
+
+    rng = np.random.default_rng(3)
+    rows = [(0, k, int(x), int(x) + 40, int(y), int(y) + 5, int(d), int(c)) for k, (x, y, d, c) in enumerate(zip(rng.integers(0, 90, 60), rng.integers(0, 6, 60), rng.integers(0, 4000, 60), rng.integers(0, 4, 60)))]
+    r = spark.createDataFrame(rows, "grp long, id long, x0 long, x1 long, y0 long, y1 long, k int, type int").withColumn("d", F.expr("date_add(date'1992-01-01', k)")).drop("k")
+    pairs = temporal.overlapping(r, 365)
+    assert "+ -1" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for a in rows:
+        for b in rows:
+            w, h = min(a[3], b[3]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[4], b[4])
+            if a[1] < b[1] and w > 0 and h > 0 and abs(a[6] - b[6]) <= 365 and a[7] > 1:
+                want.add((a[1], b[1], w * h, 200, 200))
+    got = [tuple(x) for x in pairs.select("i", "j", "common", "area_i", "area_j").collect()]
+    assert want and len(got) == len(want) and set(got) == want
